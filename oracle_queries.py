@@ -179,3 +179,195 @@ latest AS (SELECT gt_c FROM sales ORDER BY sale_date DESC NULLS FIRST, id DESC L
 SELECT CAST(least((SELECT count(*) FROM products WHERE is_active), 100) AS BIGINT) AS products_listed,
   (SELECT CAST(count(*) AS BIGINT) FROM latest) AS sales_listed,
   (SELECT coalesce(sum(gt_c) / 100.0, 0.0) FROM latest) AS recent_revenue""")
+
+# ---------------------------------------------------------------- inventory and product reports
+PCOLS = """id, sku, name, description, CAST(category_id AS BIGINT) AS category_id, supplier_id,
+  cost_c / 100.0 AS cost_price, sp_c / 100.0 AS selling_price,
+  CASE WHEN cost_c > 0 THEN CAST(100 * (sp_c - cost_c) AS DOUBLE) / cost_c END AS margin,
+  current_stock, min_stock_level, max_stock_level, brand, barcode, is_active"""
+SCOLS = """id, sale_number, customer_name, gt_c / 100.0 AS grand_total, payment_method, payment_status,
+  status, user_id, sale_date"""
+STATUS = """CASE WHEN current_stock = 0 THEN 'Out of Stock' WHEN current_stock <= min_stock_level THEN 'Low Stock'
+  WHEN current_stock <= 2 * min_stock_level THEN 'Adequate' ELSE 'Over Stock' END"""
+TYPE_FILTER = {
+    "stock_summary": "TRUE",
+    "low_stock": "current_stock <= min_stock_level",
+    "out_of_stock": "current_stock = 0",
+    "slow_moving": "current_stock > 0",
+}
+NAMED = """products p LEFT JOIN categories c ON p.category_id = c.id LEFT JOIN suppliers s ON p.supplier_id = s.id"""
+CAT_NA = "CASE WHEN c.id IS NULL THEN 'N/A' ELSE c.name END"
+SUP_NA = "CASE WHEN s.id IS NULL THEN 'N/A' ELSE s.name END"
+
+q("inventory_summary", """
+SELECT CAST(count(*) AS BIGINT) AS total_products, CAST(coalesce(sum(current_stock), 0) AS BIGINT) AS total_stock,
+  coalesce(sum(current_stock * cost_c) / 100.0, 0.0) AS total_inventory_value,
+  coalesce(sum(current_stock * sp_c) / 100.0, 0.0) AS total_potential_revenue,
+  CAST(count(*) FILTER (WHERE current_stock <= min_stock_level) AS BIGINT) AS low_stock_count,
+  CAST(count(*) FILTER (WHERE current_stock = 0) AS BIGINT) AS out_of_stock_count
+FROM products WHERE is_active""")
+
+for _t, _f in TYPE_FILTER.items():
+    _n = "inventory_report" if _t == "stock_summary" else f"inventory_report_{_t}"
+    q(_n, f"""
+SELECT p.id AS product_id, p.sku, p.name, {CAT_NA} AS category, {SUP_NA} AS supplier,
+  current_stock, min_stock_level, max_stock_level, cost_c / 100.0 AS cost_price, sp_c / 100.0 AS selling_price,
+  current_stock * cost_c / 100.0 AS stock_value, current_stock * sp_c / 100.0 AS selling_value,
+  {STATUS} AS stock_status
+FROM {NAMED} WHERE p.is_active AND {_f}""")
+
+
+def _inv_summary(f: str) -> str:
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS total_products, CAST(coalesce(sum(current_stock), 0) AS BIGINT) AS total_stock_units,
+  coalesce(sum(current_stock * cost_c) / 100.0, 0.0) AS total_stock_value,
+  coalesce(sum(current_stock * sp_c) / 100.0, 0.0) AS total_selling_value,
+  avg(current_stock) AS avg_stock_level,
+  CAST(count(*) FILTER (WHERE current_stock <= min_stock_level) AS BIGINT) AS low_stock_count,
+  CAST(count(*) FILTER (WHERE current_stock = 0) AS BIGINT) AS out_of_stock_count,
+  CAST(count(*) FILTER (WHERE current_stock > max_stock_level) AS BIGINT) AS over_stock_count
+FROM products WHERE is_active AND {f}"""
+
+
+q("inventory_report_summary", _inv_summary(TYPE_FILTER["stock_summary"]))
+q("inventory_report_summary_low_stock", _inv_summary(TYPE_FILTER["low_stock"]))
+
+q("stock_status_counts", f"""
+SELECT {STATUS} AS stock_status, CAST(count(*) AS BIGINT) AS product_count FROM products WHERE is_active GROUP BY 1""")
+
+q("quick_inventory", """
+SELECT CAST(count(*) AS BIGINT) AS total_products, coalesce(sum(current_stock * cost_c) / 100.0, 0.0) AS total_stock_value,
+  CAST(count(*) FILTER (WHERE current_stock <= min_stock_level) AS BIGINT) AS low_stock_count,
+  CAST(count(*) FILTER (WHERE current_stock = 0) AS BIGINT) AS out_of_stock_count
+FROM products WHERE is_active""")
+
+q("category_distribution", """
+SELECT c.name AS category, CAST(count(p.id) AS BIGINT) AS product_count
+FROM categories c LEFT JOIN products p ON p.category_id = c.id GROUP BY c.name""")
+
+
+def _product_report(where: str) -> str:
+    return f"""
+SELECT p.id AS product_id, p.sku, p.name, p.description, {CAT_NA} AS category, {SUP_NA} AS supplier,
+  p.brand, p.model, p.current_stock, cost_c / 100.0 AS cost_price, sp_c / 100.0 AS selling_price,
+  CASE WHEN cost_c > 0 THEN CAST(100 * (sp_c - cost_c) AS DOUBLE) / cost_c END AS margin_percent,
+  current_stock * cost_c / 100.0 AS stock_value, p.is_active, CAST(NULL AS TIMESTAMP) AS last_restocked,
+  p.created_at
+FROM {NAMED} WHERE {where}"""
+
+
+q("product_report", _product_report("p.is_active"))
+q("product_report_filtered", _product_report("p.category_id = 3"))
+
+
+def _product_summary(where: str) -> str:
+    return f"""
+SELECT CAST(count(*) AS BIGINT) AS total_products,
+  CAST(count(*) FILTER (WHERE p.is_active) AS BIGINT) AS active_products,
+  coalesce(sum(current_stock * cost_c) / 100.0, 0.0) AS total_stock_value,
+  {ratio('sum(cost_c)', 'count(*)')} AS avg_cost_price,
+  {ratio('sum(sp_c)', 'count(*)')} AS avg_selling_price,
+  CASE WHEN count(m) > 0 THEN CAST(sum(m) AS DOUBLE) / count(m) END AS avg_margin,
+  CAST(count(DISTINCT {CAT_NA}) AS BIGINT) AS categories_count,
+  CAST(count(DISTINCT {SUP_NA}) AS BIGINT) AS suppliers_count
+FROM (SELECT *, CAST(CASE WHEN cost_c > 0 THEN CAST(100 * (sp_c - cost_c) AS DOUBLE) / cost_c END
+      AS DECIMAL(24, 4)) AS m FROM products) p
+  LEFT JOIN categories c ON p.category_id = c.id LEFT JOIN suppliers s ON p.supplier_id = s.id
+WHERE {where}"""
+
+
+q("product_report_summary", _product_summary("p.is_active"))
+q("product_report_summary_all", _product_summary("TRUE"))
+
+# ---------------------------------------------------------------- lookups, lists, search, joins
+q("product_by_key", f"""
+SELECT {PCOLS} FROM products WHERE sku IN (SELECT product_sku FROM sale_items
+  WHERE sale_id IN (SELECT id FROM sales WHERE status = 'cancelled'))""")
+q("sale_by_key", f"""
+SELECT {SCOLS} FROM sales WHERE sale_number IN (SELECT sale_number FROM sales
+  WHERE id IN (SELECT sale_id FROM sale_items WHERE quantity = 50))""")
+q("category_by_key", """
+SELECT CAST(id AS BIGINT) AS id, name, description FROM categories WHERE id IN (SELECT category_id FROM products)""")
+q("supplier_by_key", """
+SELECT id, name, email, country FROM suppliers WHERE id IN (SELECT supplier_id FROM products WHERE current_stock = 0)""")
+q("product_list", f"SELECT {PCOLS} FROM products WHERE is_active")
+q("product_list_filtered", f"SELECT {PCOLS} FROM products WHERE is_active AND category_id = 3")
+q("product_list_page", f"SELECT {PCOLS} FROM products ORDER BY id LIMIT 1000 OFFSET 100")
+
+
+def _ilike_any(cols: list[str], term: str) -> str:
+    return " OR ".join(f"{c} ILIKE '%{term}%'" for c in cols)
+
+
+q("product_search", f"SELECT {PCOLS} FROM products WHERE "
+  + _ilike_any(["name", "sku", "barcode", "brand", "description"], "Ring"))
+q("product_search_wildcard", f"SELECT {PCOLS} FROM products WHERE "
+  + _ilike_any(["name", "sku", "barcode", "brand", "description"], "brand#1_"))
+q("supplier_search", "SELECT id, name, email, phone FROM suppliers WHERE "
+  + _ilike_any(["name", "contact_person", "email", "phone"], "00000001"))
+q("supplier_list", """
+SELECT id, name, contact_person, email, phone, country, is_active, rating FROM suppliers WHERE is_active""")
+q("category_list", "SELECT CAST(id AS BIGINT) AS id, name, description FROM categories")
+q("low_stock", f"SELECT {PCOLS} FROM products WHERE is_active AND current_stock <= min_stock_level")
+q("out_of_stock", f"SELECT {PCOLS} FROM products WHERE is_active AND current_stock = 0")
+q("slow_moving", f"SELECT {PCOLS} FROM products WHERE is_active AND current_stock > 0")
+q("sale_list", f"""
+SELECT {SCOLS.replace('id,', 's.id,', 1)}, coalesce(nullif(u.full_name, ''), u.username) AS user_name
+FROM sales s LEFT JOIN users u ON s.user_id = u.id
+WHERE status = 'completed' AND payment_status = 'paid'
+  AND sale_date >= TIMESTAMP '1996-01-01 00:00:00' AND sale_date <= TIMESTAMP '1999-12-31 00:00:00'""")
+q("sales_in_range", f"""
+SELECT {SCOLS} FROM sales WHERE sale_day BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""")
+q("product_table", """
+SELECT id, sku, name, current_stock, current_stock <= min_stock_level AS reorder,
+  cost_c / 100.0 AS cost_price, sp_c / 100.0 AS selling_price,
+  CASE WHEN coalesce(is_active, FALSE) THEN 'Active' ELSE 'Inactive' END AS status_label
+FROM products""")
+q("sale_table", """
+SELECT s.id, s.sale_number, coalesce(s.sale_date, s.created_at) AS date,
+  coalesce(nullif(s.customer_name, ''), 'Walk-in') AS customer,
+  CAST(coalesce(n.items, 0) AS BIGINT) AS items_count, s.gt_c / 100.0 AS grand_total, s.status
+FROM sales s LEFT JOIN (SELECT sale_id, count(*) AS items FROM sale_items GROUP BY sale_id) n ON n.sale_id = s.id""")
+PCOLS_P = """p.id, p.sku, p.name, p.description, CAST(p.category_id AS BIGINT) AS category_id, p.supplier_id,
+  p.cost_c / 100.0 AS cost_price, p.sp_c / 100.0 AS selling_price,
+  CASE WHEN p.cost_c > 0 THEN CAST(100 * (p.sp_c - p.cost_c) AS DOUBLE) / p.cost_c END AS margin,
+  p.current_stock, p.min_stock_level, p.max_stock_level, p.brand, p.barcode, p.is_active"""
+q("product_enriched", f"""
+SELECT {PCOLS_P}, c.name AS category_name, s.name AS supplier_name FROM {NAMED}""")
+q("products_by_category", f"""
+SELECT {PCOLS} FROM products WHERE is_active AND category_id IN (SELECT id FROM categories WHERE name ILIKE '%ar%')""")
+q("products_by_supplier", f"""
+SELECT {PCOLS} FROM products WHERE is_active AND supplier_id IN (SELECT id FROM suppliers WHERE name ILIKE '%00000001%')""")
+q("product_with_details", f"""
+SELECT p.id, p.sku, c.name AS category_name, s.name AS supplier_name, CAST(c.id AS BIGINT) AS category_struct_id,
+  c.description AS category_description, s.email AS supplier_email, s.country AS supplier_country,
+  s.rating AS supplier_rating, s.is_active AS supplier_is_active
+FROM {NAMED} WHERE p.is_active""")
+q("product_detail", f"""
+SELECT p.id, p.name, c.name AS category_name, s.name AS supplier_name, s.contact_person AS supplier_contact,
+  s.email AS supplier_email
+FROM {NAMED}""")
+q("sale_with_items", """
+SELECT s.id, s.sale_number, coalesce(nullif(u.full_name, ''), u.username) AS user_name,
+  CAST(coalesce(n.c, 0) AS BIGINT) AS item_count, CAST(coalesce(n.u, 0) AS BIGINT) AS units,
+  coalesce(n.t, 0) / 100.0 AS items_total
+FROM sales s LEFT JOIN users u ON s.user_id = u.id
+  LEFT JOIN (SELECT sale_id, count(*) AS c, sum(quantity) AS u, sum(tot_c) AS t FROM sale_items GROUP BY sale_id) n
+  ON n.sale_id = s.id""")
+q("fk_violations", """
+SELECT 'sale_line_product' AS kind, sale_id AS request_id, product_id AS missing_key FROM sale_items
+  WHERE product_id NOT IN (SELECT id FROM products)
+UNION ALL
+SELECT 'product_category', id, CAST(category_id AS BIGINT) FROM products
+  WHERE category_id IS NOT NULL AND category_id NOT IN (SELECT id FROM categories)
+UNION ALL
+SELECT 'product_supplier', id, supplier_id FROM products
+  WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT id FROM suppliers)""")
+q("category_performance", """,
+lines AS (SELECT * FROM sale_items WHERE sale_id IN (SELECT id FROM sales WHERE status = 'completed'
+  AND sale_day BETWEEN DATE '2001-05-03' AND DATE '2001-08-01'))
+SELECT CASE WHEN c.id IS NULL THEN 'N/A' ELSE c.name END AS category, CAST(sum(l.quantity) AS BIGINT) AS total_quantity,
+  sum(l.tot_c) / 100.0 AS total_revenue, (sum(l.up_c) / 100.0) / count(*) AS avg_price,
+  CAST(count(*) AS BIGINT) AS line_count
+FROM lines l LEFT JOIN products p ON l.product_id = p.id LEFT JOIN categories c ON p.category_id = c.id
+GROUP BY 1""")

@@ -35,14 +35,21 @@ def shop(spark: SparkSession, sf_dir: str):
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Calendar dates as ISO text (``yyyy-MM-dd``), the form the reports hand
-    out; every other column is left as it is."""
+    """Calendar dates as ISO text (``yyyy-MM-dd``) and money as double, the
+    forms the reports hand out; every other column is left as it is."""
     from pyspark.sql import functions as F
-    from pyspark.sql.types import DateType
-    if not any(isinstance(f.dataType, DateType) for f in df.schema.fields):
+    from pyspark.sql.types import DateType, DecimalType
+    fields = df.schema.fields
+    if not any(isinstance(f.dataType, (DateType, DecimalType)) for f in fields):
         return df
-    return df.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, DateType)
-                       else F.col(f.name) for f in df.schema.fields])
+
+    def one(f):
+        if isinstance(f.dataType, DateType):
+            return F.col(f.name).cast("string").alias(f.name)
+        if isinstance(f.dataType, DecimalType):
+            return F.col(f.name).cast("double").alias(f.name)
+        return F.col(f.name)
+    return df.select(*[one(f) for f in fields])
 
 
 def all_queries() -> dict[str, QueryFn]:
