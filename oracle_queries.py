@@ -371,3 +371,115 @@ SELECT CASE WHEN c.id IS NULL THEN 'N/A' ELSE c.name END AS category, CAST(sum(l
   CAST(count(*) AS BIGINT) AS line_count
 FROM lines l LEFT JOIN products p ON l.product_id = p.id LEFT JOIN categories c ON p.category_id = c.id
 GROUP BY 1""")
+
+# ---------------------------------------------------------------- table changes (I family)
+q("priced_lines", """
+SELECT i.sale_id AS request_id, i.product_id, i.quantity, i.up_c / 100.0 AS unit_price, i.tax_rate,
+  i.tax_c / 100.0 AS tax_amount, i.discount_percent, i.disc_c / 100.0 AS discount_amount,
+  i.sub_c / 100.0 AS subtotal, i.tot_c / 100.0 AS total, p.name AS product_name, p.sku AS product_sku,
+  p.barcode AS product_barcode
+FROM sale_items i JOIN products p ON p.id = i.product_id""")
+
+q("priced_sales", """,
+a AS (SELECT sale_id, sum(sub_c) AS s, sum(up_c * q * (100 - d) * t) AS xt, sum(up_c * q * d) AS xd,
+  count(*) AS n FROM sale_items GROUP BY sale_id)
+SELECT s.id AS request_id, coalesce(a.s, 0) / 100.0 AS total_amount,
+  ((coalesce(a.xt, 0) + 5000) // 10000) / 100.0 AS tax_amount,
+  ((coalesce(a.xd, 0) + 50) // 100) / 100.0 AS discount_amount,
+  ((10000 * coalesce(a.s, 0) + coalesce(a.xt, 0) - 100 * coalesce(a.xd, 0) + 5000) // 10000) / 100.0 AS grand_total,
+  s.payment_method, s.status,
+  CASE WHEN s.payment_method = 'cash' AND s.status = 'completed' THEN 'paid' ELSE s.payment_status END AS payment_status,
+  CAST(coalesce(a.n, 0) AS BIGINT) AS line_count
+FROM sales s LEFT JOIN a ON a.sale_id = s.id""")
+
+q("sale_numbers", """,
+ex AS (SELECT substring(sale_number, 5, 8) AS day_key,
+  max(CAST(split_part(sale_number, '-', 3) AS BIGINT)) AS last_seq
+  FROM sales WHERE status <> 'draft' AND sale_number LIKE 'SAL-%' GROUP BY 1),
+nw AS (SELECT id, sale_date, strftime(sale_date, '%Y%m%d') AS day_key,
+  row_number() OVER (PARTITION BY strftime(sale_date, '%Y%m%d') ORDER BY sale_date, id) AS rk
+  FROM sales WHERE status = 'draft')
+SELECT nw.id AS request_id, nw.sale_date, CAST(coalesce(ex.last_seq, 0) + rk AS BIGINT) AS seq,
+  'SAL-' || nw.day_key || '-' || printf('%03d', coalesce(ex.last_seq, 0) + rk) AS sale_number
+FROM nw LEFT JOIN ex ON ex.day_key = nw.day_key""")
+
+q("stock_check", """
+SELECT i.sale_id AS request_id, i.product_id, i.quantity,
+  (p.id IS NOT NULL AND i.quantity <= p.current_stock) AS ok,
+  CASE WHEN p.id IS NULL THEN printf('Product ID %d not found', i.product_id)
+    WHEN NOT (i.quantity <= p.current_stock) THEN printf('Insufficient stock for %s. Available: %d', p.name, p.current_stock)
+  END AS message
+FROM sale_items i LEFT JOIN products p ON p.id = i.product_id
+WHERE i.sale_id IN (SELECT id FROM sales WHERE status = 'draft')""")
+
+q("cancel_sales", """
+SELECT id AS request_id, status <> 'cancelled' AS accepted,
+  CASE WHEN status = 'cancelled' THEN 'Sale is already cancelled' ELSE 'Sale cancelled successfully' END AS message
+FROM sales WHERE payment_method = 'card'""")
+q("cancel_sales_stock", """
+SELECT p.id, CAST(p.current_stock + coalesce(b.q, 0) AS INTEGER) AS current_stock
+FROM products p LEFT JOIN (SELECT product_id, sum(quantity) AS q FROM sale_items WHERE sale_id IN
+  (SELECT id FROM sales WHERE payment_method = 'card' AND status <> 'cancelled') GROUP BY 1) b ON b.product_id = p.id""")
+q("cancel_sales_status", """
+SELECT id,
+  CASE WHEN payment_method = 'card' AND status <> 'cancelled' THEN 'cancelled' ELSE status END AS status,
+  CASE WHEN payment_method = 'card' AND status <> 'cancelled'
+    THEN (CASE WHEN payment_status = 'paid' THEN 'refunded' ELSE 'pending' END) ELSE payment_status END AS payment_status
+FROM sales""")
+
+q("patch_sales", """
+SELECT id AS request_id, status NOT IN ('completed', 'cancelled') AS accepted,
+  CASE WHEN status IN ('completed', 'cancelled') THEN 'Cannot update ' || status || ' sale'
+    ELSE 'Sale updated successfully' END AS message
+FROM sales WHERE payment_method = 'upi'""")
+q("patch_sales_rows", """
+SELECT id,
+  CASE WHEN payment_method = 'upi' AND status NOT IN ('completed', 'cancelled') THEN upper(customer_name)
+    ELSE customer_name END AS customer_name,
+  CASE WHEN payment_method = 'upi' AND status NOT IN ('completed', 'cancelled') THEN 'priority' END AS notes,
+  status
+FROM sales""")
+
+q("delete_drafts", """
+SELECT id AS request_id, status = 'draft' AS accepted,
+  CASE WHEN status = 'draft' THEN 'Sale deleted successfully' ELSE 'Sale not found or not a draft' END AS message
+FROM sales WHERE payment_method = 'cheque'""")
+q("delete_drafts_remaining", """,
+gone AS (SELECT id FROM sales WHERE payment_method = 'cheque' AND status = 'draft')
+SELECT CAST((SELECT count(*) FROM sales WHERE id NOT IN (SELECT id FROM gone)) AS BIGINT) AS sales_left,
+  CAST((SELECT count(*) FROM sale_items WHERE sale_id NOT IN (SELECT id FROM gone)) AS BIGINT) AS items_left""")
+
+MARGIN = "CASE WHEN cost_c > 0 THEN CAST(100 * (sp_c - cost_c) AS DOUBLE) / cost_c END"
+q("add_products", """
+SELECT id AS request_id, barcode IS NULL AS accepted,
+  CASE WHEN barcode IS NOT NULL THEN 'Product with this barcode already exists' ELSE 'ok' END AS message
+FROM products""")
+q("add_products_new", f"""
+SELECT (SELECT max(id) FROM products) + row_number() OVER (ORDER BY id) AS id, sku || '-V2' AS sku,
+  {MARGIN} AS margin, current_stock,
+  CASE WHEN current_stock > 0 THEN TIMESTAMP '2001-08-01 12:00:00' END AS last_restocked
+FROM products WHERE barcode IS NULL""")
+q("patch_products", """
+SELECT id, (sp_c + 100) / 100.0 AS selling_price,
+  CASE WHEN cost_c > 0 THEN CAST(100 * (sp_c + 100 - cost_c) AS DOUBLE) / cost_c END AS margin,
+  CASE WHEN brand = 'Brand#1' THEN NULL ELSE description END AS description
+FROM products""")
+q("adjust_stock", """
+SELECT id AS request_id, current_stock - min_stock_level >= 0 AS accepted,
+  CASE WHEN current_stock - min_stock_level >= 0 THEN 'ok' ELSE 'Product not found or insufficient stock' END AS message
+FROM products""")
+q("adjust_stock_rows", """
+SELECT id, CASE WHEN current_stock >= min_stock_level THEN current_stock - min_stock_level ELSE current_stock END
+  AS current_stock FROM products""")
+q("bulk_stock", "SELECT id AS product_id, current_stock + (10 - 2 * current_stock) >= 0 AS success FROM products")
+q("deactivate_products", "SELECT id, CASE WHEN current_stock = 0 THEN FALSE ELSE is_active END AS is_active FROM products")
+q("merge_dimension", """
+SELECT CAST(substring(brand, 7, 10) AS BIGINT) AS request_id, TRUE AS accepted, 'ok' AS message
+FROM (SELECT DISTINCT brand FROM products)
+UNION ALL SELECT 1000, FALSE, 'Category with this name already exists'
+UNION ALL SELECT 3, TRUE, 'ok'""")
+q("merge_dimension_rows", """
+SELECT CAST(id AS BIGINT) AS id, name, description FROM categories WHERE id <> 3
+UNION ALL
+SELECT CAST(7 + row_number() OVER (ORDER BY CAST(substring(brand, 7, 10) AS BIGINT)) AS BIGINT), brand, 'Brand ' || brand
+FROM (SELECT DISTINCT brand FROM products)""")
