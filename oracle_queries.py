@@ -483,3 +483,60 @@ SELECT CAST(id AS BIGINT) AS id, name, description FROM categories WHERE id <> 3
 UNION ALL
 SELECT CAST(7 + row_number() OVER (ORDER BY CAST(substring(brand, 7, 10) AS BIGINT)) AS BIGINT), brand, 'Brand ' || brand
 FROM (SELECT DISTINCT brand FROM products)""")
+
+# ---------------------------------------------------------------- data-quality rules (J family)
+# Shop columns the oracle views do not carry are NULL, as in the Spark views.
+DQ_PRODUCTS = """(SELECT id, sku, name, cost_c / 100.0 AS cost_price, sp_c / 100.0 AS selling_price, current_stock,
+  min_stock_level, max_stock_level, unit_of_measure, brand, model, weight, CAST(NULL AS VARCHAR) AS dimensions,
+  barcode, tax_rate FROM products)"""
+DQ_SALES = """(SELECT id, sale_number, customer_name, CAST(NULL AS VARCHAR) AS customer_email,
+  CAST(NULL AS VARCHAR) AS customer_phone, CAST(NULL AS VARCHAR) AS payment_reference,
+  CAST(NULL AS VARCHAR) AS shipping_city, CAST(NULL AS VARCHAR) AS shipping_state,
+  CAST(NULL AS VARCHAR) AS shipping_country, CAST(NULL AS VARCHAR) AS shipping_pincode,
+  payment_method, payment_status, status, gt_c FROM sales)"""
+DQ_SUPPLIERS = """(SELECT id, name, contact_person, email, phone, CAST(NULL AS VARCHAR) AS city,
+  CAST(NULL AS VARCHAR) AS state, country, CAST(NULL AS VARCHAR) AS postal_code, CAST(NULL AS VARCHAR) AS tax_id,
+  CAST(NULL AS VARCHAR) AS website, payment_terms, rating FROM suppliers)"""
+LINE_KEY = "CAST(sale_id AS VARCHAR) || ':' || CAST(product_id AS VARCHAR)"
+
+
+def _rules_sql(table: str, source: str, rules, key: str = "CAST(id AS VARCHAR)") -> str:
+    parts = [f"SELECT '{table}' AS table_name, {key} AS record_key, '{name}' AS rule FROM {source} t "
+             f"WHERE NOT coalesce({pred}, TRUE)" for name, pred in rules]
+    return "\nUNION ALL\n".join(parts)
+
+
+from stockline.operators import quality as _dq  # noqa: E402  (fixed rule texts only)
+
+q("dq_product_checks", _rules_sql("products", DQ_PRODUCTS, _dq.PRODUCT_CHECKS))
+q("dq_product_fields", _rules_sql("products", DQ_PRODUCTS, _dq.PRODUCT_FIELDS))
+q("dq_sales", _rules_sql("sales", DQ_SALES, _dq.SALE_CHECKS))
+q("dq_suppliers", _rules_sql("suppliers", DQ_SUPPLIERS, _dq.SUPPLIER_CHECKS + [
+    ("email_shape", "regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')")]))
+q("dq_sale_lines", _rules_sql("sale_items", "(SELECT sale_id, product_id, quantity, up_c / 100.0 AS unit_price, "
+                                            "tax_rate, discount_percent FROM sale_items)",
+                              _dq.SALE_LINE_CHECKS, LINE_KEY) + """
+UNION ALL
+SELECT 'sales', CAST(id AS VARCHAR), 'has_lines' FROM sales WHERE id NOT IN (SELECT sale_id FROM sale_items)""")
+_uniq = []
+for _t, _c in _dq.UNIQUE:
+    _uniq.append(f"SELECT '{_t}' AS table_name, CAST({_c} AS VARCHAR) AS record_key, 'unique_{_c}' AS rule "
+                 f"FROM {_t} WHERE {_c} IS NOT NULL GROUP BY {_c} HAVING count(*) > 1")
+q("dq_unique", "\nUNION ALL\n".join(_uniq))
+q("dq_foreign_keys", f"""
+SELECT 'products' AS table_name, CAST(id AS VARCHAR) AS record_key, 'fk_category' AS rule FROM products
+  WHERE category_id IS NOT NULL AND category_id NOT IN (SELECT id FROM categories)
+UNION ALL SELECT 'products', CAST(id AS VARCHAR), 'fk_supplier' FROM products
+  WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT id FROM suppliers)
+UNION ALL SELECT 'sale_items', {LINE_KEY}, 'fk_sale' FROM sale_items WHERE sale_id NOT IN (SELECT id FROM sales)
+UNION ALL SELECT 'sale_items', {LINE_KEY}, 'fk_product' FROM sale_items WHERE product_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'sales', CAST(id AS VARCHAR), 'fk_user' FROM sales
+  WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT id FROM users)""")
+_nn = []
+_nn_src = {"products": DQ_PRODUCTS, "sales": "(SELECT *, gt_c AS total_amount, 0 AS tax_amount, 0 AS discount_amount,"
+           " gt_c AS grand_total FROM sales)", "sale_items": "(SELECT *, up_c AS unit_price, tax_c AS tax_amount, "
+           "disc_c AS discount_amount, sub_c AS subtotal, tot_c AS total FROM sale_items)"}
+for _t, _cols in _dq.NOT_NULL.items():
+    _key = LINE_KEY if _t == "sale_items" else "CAST(id AS VARCHAR)"
+    _nn.append(_rules_sql(_t, _nn_src[_t], [(f"not_null_{c}", f"{c} IS NOT NULL") for c in _cols], _key))
+q("dq_not_null", "\nUNION ALL\n".join(_nn))

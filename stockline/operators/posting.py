@@ -123,30 +123,57 @@ def stock_check(lines: DataFrame, products: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- I4
 
 def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
-               max_rounds: int = 10000) -> tuple[DataFrame, DataFrame]:
+               screening_rounds: int = 3, chunk_sales: int = 50000) -> tuple[DataFrame, DataFrame]:
     """I4: post a batch of sales against stock, all-or-nothing per sale, in
     arrival order (sale_date, then request_id). A refused sale takes nothing,
     so later sales may still get the stock. Every status lowers stock, drafts
     included. Returns ``(new products, result frame)``.
 
-    Exact and set-based. Lines are collapsed to (sale, product, qty). Each
-    round computes, per product in arrival order, ``low`` = units of earlier
-    accepted sales and ``high`` = units of earlier accepted + undecided sales
-    (skew-safe running sums, :mod:`stockline.plans.ordered`). An undecided
-    sale is accepted when every line fits even under ``high``, refused when
-    some line fails even under ``low``. The earliest undecided sale always
-    has low = high, so every round decides at least one sale; in practice
-    most are decided in the first rounds. The state is checkpointed to the
-    shared folder each round.
+    Exact and set-based, in two phases. Lines are collapsed to (sale,
+    product, qty) (same-product lines of a sale are summed, which equals the
+    line-by-line decrement).
+
+    1. Screening rounds, fully parallel: per product in arrival order,
+       ``low`` = units of earlier accepted sales and ``high`` = units of
+       earlier accepted + undecided sales (skew-safe running sums,
+       :mod:`stockline.plans.ordered`). An undecided sale is accepted when
+       every line fits even under ``high`` and refused when a line fails even
+       under ``low``; both verdicts are final.
+    2. The sales still undecided are settled in arrival order, in chunks of
+       at most ``chunk_sales`` sales: each chunk is one bounded task that
+       replays the rule sale by sale, starting from the stock used by the
+       final accepted sales before it (``base``) and by earlier chunks
+       (``prior``, a checkpointed per-product frame).
+
+    State is checkpointed to the shared folder after every step.
     """
+    def settle_in_order(pdf):
+        """Sequential settlement of one bounded chunk of undecided sales (runs
+        in a task; defined here so it ships with the task by value)."""
+        import pandas as pd
+        pdf = pdf.sort_values(["seq", "product_id"])
+        used: dict = {}
+        out_ids, out_ok = [], []
+        for _, g in pdf.groupby("seq", sort=True):
+            fits = True
+            for pid, q, stock, base, prior in zip(g["product_id"], g["qty"], g["stock"], g["base"], g["prior"]):
+                if base + prior + used.get(pid, 0) + q > stock:
+                    fits = False
+                    break
+            if fits:
+                for pid, q in zip(g["product_id"], g["qty"]):
+                    used[pid] = used.get(pid, 0) + int(q)
+            out_ids.append(int(g["request_id"].iloc[0]))
+            out_ok.append(fits)
+        return pd.DataFrame({"request_id": pd.Series(out_ids, dtype="int64"),
+                             "accepted": pd.Series(out_ok, dtype="bool")})
+
     order = headers.select("request_id", F.col("sale_date").alias("_ts"))
     collapsed = (lines.groupBy("request_id", "product_id")
                  .agg(F.sum("quantity").cast("bigint").alias("qty")))
-    p = products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("stock"),
+    p = products.select(F.col("id").alias("product_id"), F.col("current_stock").cast("bigint").alias("stock"),
                         F.col("name").alias("pname"))
-    l = (collapsed.join(order, "request_id", "inner")
-         .join(p, "product_id", "left"))
-    l = cut_lineage(l)
+    l = cut_lineage(collapsed.join(order, "request_id", "inner").join(p, "product_id", "left"))
     unknown = (l.where(F.col("stock").isNull()).groupBy("request_id")
                .agg(F.min("product_id").alias("missing")))
     state = (order.join(unknown, "request_id", "left")
@@ -154,15 +181,16 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
                      .otherwise(F.lit("open")).alias("state"), "missing"))
     state = cut_lineage(state)
     known = l.where(F.col("stock").isNotNull()).select("request_id", "product_id", "qty", "stock", "_ts")
-    rounds = 0
-    while rounds < max_rounds:
+
+    def with_state(st):
+        return (known.join(st.select("request_id", "state"), "request_id")
+                .withColumn("acc_q", F.when(F.col("state") == "accepted", F.col("qty")).otherwise(F.lit(0)))
+                .withColumn("pend_q", F.when(F.col("state") != "refused", F.col("qty")).otherwise(F.lit(0))))
+
+    for _ in range(screening_rounds):
         if state.where(F.col("state") == "open").limit(1).count() == 0:
             break
-        rounds += 1
-        cur = known.join(state.select("request_id", "state"), "request_id")
-        cur = cur.withColumn("acc_q", F.when(F.col("state") == "accepted", F.col("qty")).otherwise(F.lit(0))) \
-                 .withColumn("pend_q", F.when(F.col("state") != "refused", F.col("qty")).otherwise(F.lit(0)))
-        sums = running_totals(cur, ["product_id"], ["_ts", "request_id"],
+        sums = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
                               {"low": "acc_q", "high": "pend_q"}, inclusive=False)
         verdict = (sums.where(F.col("state") == "open").groupBy("request_id").agg(
             F.min(F.col("high") + F.col("qty") <= F.col("stock")).alias("fits_high"),
@@ -174,6 +202,40 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
                              .otherwise(F.lit("open")))
                  .drop("fits_high", "fails_low"))
         state = cut_lineage(state)
+
+    if state.where(F.col("state") == "open").limit(1).count() > 0:
+        base = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
+                              {"base": "acc_q"}, inclusive=False)
+        open_sales = state.where(F.col("state") == "open").select("request_id", "_ts", F.lit(0).alias("_all"))
+        ranked = running_totals(open_sales, ["_all"], ["_ts", "request_id"], {"seq": None})
+        ranked = cut_lineage(ranked.withColumn("chunk", F.floor((F.col("seq") - 1) / F.lit(chunk_sales)))
+                             .select("request_id", "seq", "chunk"))
+        open_lines = cut_lineage(base.where(F.col("state") == "open")
+                                 .select("request_id", "product_id", "qty", "stock", "base")
+                                 .join(ranked, "request_id"))
+        n_chunks = int(ranked.agg(F.max("chunk")).collect()[0][0]) + 1
+        spark = lines.sparkSession
+        prior = spark.createDataFrame([], "product_id long, prior long")
+        settled = None
+        for c in range(n_chunks):
+            cl = (open_lines.where(F.col("chunk") == c).join(prior, "product_id", "left")
+                  .withColumn("prior", F.coalesce(F.col("prior"), F.lit(0)).cast("bigint")))
+            acc = cut_lineage(cl.select("chunk", "request_id", "seq", "product_id", "qty", "stock", "base",
+                                        "prior")
+                              .groupBy("chunk").applyInPandas(settle_in_order,
+                                                              "request_id long, accepted boolean"))
+            used = (cl.join(acc.where("accepted").select("request_id"), "request_id", "left_semi")
+                    .groupBy("product_id").agg(F.sum("qty").alias("prior")))
+            prior = cut_lineage(prior.unionByName(used).groupBy("product_id")
+                                .agg(F.sum("prior").cast("bigint").alias("prior")))
+            settled = acc if settled is None else settled.unionByName(acc)
+        settled = cut_lineage(settled)
+        state = cut_lineage(
+            state.join(settled, "request_id", "left")
+            .withColumn("state", F.when(F.col("state") != "open", F.col("state"))
+                        .when(F.col("accepted"), F.lit("accepted")).otherwise(F.lit("refused")))
+            .drop("accepted"))
+
     # Stock taken by accepted sales, per product (partial aggregate, then join).
     taken = (known.join(state.where(F.col("state") == "accepted").select("request_id"), "request_id",
                         "left_semi")
@@ -182,12 +244,10 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
                     .withColumn("current_stock", (F.col("current_stock")
                                                   - F.coalesce(F.col("_taken"), F.lit(0))).cast("int"))
                     .drop("product_id", "_taken"))
-    # Message of a refused sale: its first line (by product) that cannot fit
+    # Message of a refused sale: its first product (by id) that cannot fit
     # with the stock left by the sales accepted before it.
-    final_low = running_totals(
-        known.join(state.select("request_id", "state"), "request_id")
-             .withColumn("acc_q", F.when(F.col("state") == "accepted", F.col("qty")).otherwise(F.lit(0))),
-        ["product_id"], ["_ts", "request_id"], {"low": "acc_q"}, inclusive=False)
+    final_low = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
+                               {"low": "acc_q"}, inclusive=False)
     short = (final_low.where((F.col("state") == "refused") & (F.col("low") + F.col("qty") > F.col("stock")))
              .join(p.select("product_id", "pname"), "product_id")
              .groupBy("request_id")

@@ -1 +1,48 @@
-"""Registered queries."""
+"""Registered data-quality queries (J1-J8) over the whole tables."""
+
+from __future__ import annotations
+
+from stockline.operators import quality as dq
+from stockline.plans.registry import register, shop
+
+
+@register("dq_product_checks")
+def dq_product_checks(spark, sf):
+    return dq.dq_product_checks(shop(spark, sf).products)
+
+
+@register("dq_product_fields")
+def dq_product_fields(spark, sf):
+    return dq.dq_product_fields(shop(spark, sf).products)
+
+
+@register("dq_unique")
+def dq_unique(spark, sf):
+    return dq.dq_unique(dq.all_tables(shop(spark, sf)))
+
+
+@register("dq_foreign_keys")
+def dq_foreign_keys(spark, sf):
+    sh = shop(spark, sf)
+    return dq.dq_foreign_keys(sh.products, sh.categories, sh.suppliers, sh.sales, sh.sale_items, sh.users)
+
+
+@register("dq_sale_lines")
+def dq_sale_lines(spark, sf):
+    sh = shop(spark, sf)
+    return dq.dq_sale_lines(sh.sales, sh.sale_items)
+
+
+@register("dq_sales")
+def dq_sales(spark, sf):
+    return dq.dq_sales(shop(spark, sf).sales)
+
+
+@register("dq_suppliers")
+def dq_suppliers(spark, sf):
+    return dq.dq_suppliers(shop(spark, sf).suppliers)
+
+
+@register("dq_not_null")
+def dq_not_null(spark, sf):
+    return dq.dq_not_null(dq.all_tables(shop(spark, sf)))
