@@ -540,3 +540,10 @@ for _t, _cols in _dq.NOT_NULL.items():
     _key = LINE_KEY if _t == "sale_items" else "CAST(id AS VARCHAR)"
     _nn.append(_rules_sql(_t, _nn_src[_t], [(f"not_null_{c}", f"{c} IS NOT NULL") for c in _cols], _key))
 q("dq_not_null", "\nUNION ALL\n".join(_nn))
+
+# ---------------------------------------------------------------- sinks (read back)
+SQL["export_csv"] = SQL["sales_by_day"]
+SQL["sink_json"] = SQL["sales_by_product"]
+SQL["export_pair"] = SQL["inventory_report_summary"]
+SQL["export_report"] = SQL["sales_daily_report"]
+SQL["payment_method_map"] = SQL["payment_method_counts"]
