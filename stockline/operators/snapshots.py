@@ -61,6 +61,9 @@ def add_products(products: DataFrame, categories: DataFrame, suppliers: DataFram
     exist when given (0 means none). Margin by H1; ``last_restocked = now``
     when the opening stock is positive. Returns (products, result)."""
     r = requests
+    for f in S.PRODUCTS.fields:          # absent optional fields are NULL
+        if f.name not in r.columns and f.name != "id":
+            r = r.withColumn(f.name, F.lit(None).cast(f.dataType))
     for c, v in PRODUCT_DEFAULTS.items():
         r = r.withColumn(c, F.coalesce(F.col(c), F.lit(v))) if c in r.columns else r.withColumn(c, F.lit(v))
     sku_taken = products.select(F.col("sku").alias("_sku_old"))

@@ -32,11 +32,8 @@ PRIORITY_METHOD = {"5-LOW": "cash", "1-URGENT": "card", "2-HIGH": "upi",
 ORDER_STATUS = {"F": "completed", "O": "draft", "P": "cancelled"}
 EPOCH = "1995-01-01 00:00:00"
 
-CENT = F.lit(Decimal("0.01"))
-
-
 def _cents_to_money(cents: Column) -> Column:
-    return (cents.cast("decimal(18,0)") * CENT).cast(S.MONEY)
+    return (cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(S.MONEY)
 
 
 def _map_values(col: Column, mapping: dict, default=None) -> Column:

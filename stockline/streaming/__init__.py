@@ -1,0 +1,8 @@
+"""Streaming: none.
+
+The reference has no stream, watermark, event-time window or late-data
+handling (its ``StreamingResponse`` only sends a finished file over HTTP), so
+nothing is built here. Every operator in this package is a batch DataFrame
+function; the same functions can be applied per micro-batch through
+``DataStreamWriter.foreachBatch`` if a caller ever needs to.
+"""
