@@ -108,7 +108,10 @@ def sale_with_items(sales: DataFrame, sale_items: DataFrame, users: DataFrame |
              .withColumn("part", F.pmod(F.xxhash64(line), F.col("_k"))))
     items = (lines.groupBy("sale_id", "part")
              .agg(F.sort_array(F.collect_list(line)).alias("items")))
-    j = sales.join(items, sales.id == items.sale_id, "left").drop("sale_id")
+    # The arrays hold every line: their size grows with the data and has no
+    # bound, so this side is never broadcast (the static estimate comes from
+    # compressed file sizes and can be far too small).
+    j = sales.join(items.hint("merge"), sales.id == items.sale_id, "left").drop("sale_id")
     j = (j.withColumn("part", F.coalesce(F.col("part"), F.lit(0).cast("bigint")))
           .withColumn("items", F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType))))
     if users is not None:
