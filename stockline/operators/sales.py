@@ -40,6 +40,12 @@ def completed_between(sales: DataFrame, start: _dt.date | None, end: _dt.date |
         cond = cond & (d >= date_lit(start))
     if end:
         cond = cond & (d <= date_lit(end))
+    if "sale_month" in sales.columns:
+        # Stored layout (sources.store): the implied month range prunes partitions.
+        if start:
+            cond = cond & (F.col("sale_month") >= F.lit(f"{start.year:04d}-{start.month:02d}"))
+        if end:
+            cond = cond & (F.col("sale_month") <= F.lit(f"{end.year:04d}-{end.month:02d}"))
     return sales.where(cond)
 
 

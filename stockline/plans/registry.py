@@ -30,7 +30,23 @@ def register(name: str):
     return deco
 
 
+_STORED: dict[str, str] = {}
+
+
+def use_stored(sf_dir: str, database: str | None) -> None:
+    """Serve ``sf_dir`` from the bucketed catalog tables of ``database``
+    (see :mod:`stockline.sources.store`), or from the views again (None)."""
+    if database:
+        _STORED[sf_dir.rstrip("/")] = database
+    else:
+        _STORED.pop(sf_dir.rstrip("/"), None)
+
+
 def shop(spark: SparkSession, sf_dir: str):
+    db = _STORED.get(sf_dir.rstrip("/"))
+    if db:
+        from stockline.sources.store import stored_shop
+        return stored_shop(spark, db)
     return driver_shop(spark, sf_dir)
 
 
