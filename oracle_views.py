@@ -109,9 +109,10 @@ users AS (
 """
 
 
-def with_views(body: str) -> str:
+def with_views(body: str, recursive: bool = False) -> str:
     """``body`` is either a SELECT or further CTEs starting with a comma."""
+    head = VIEWS_SQL.replace("WITH\n", "WITH RECURSIVE\n", 1) if recursive else VIEWS_SQL
     body = body.strip()
     if body.startswith(","):
-        return VIEWS_SQL + body
-    return VIEWS_SQL + "\n" + body
+        return head + body
+    return head + "\n" + body

@@ -30,6 +30,7 @@ MSG_ALREADY_CANCELLED = "Sale is already cancelled"
 MSG_CANCELLED = "Sale cancelled successfully"
 MSG_UPDATED = "Sale updated successfully"
 MSG_CANNOT_UPDATE = "Cannot update {} sale"
+MSG_NO_ITEMS = "At least one item required"
 
 
 # ---------------------------------------------------------------- I1
@@ -174,11 +175,15 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
     p = products.select(F.col("id").alias("product_id"), F.col("current_stock").cast("bigint").alias("stock"),
                         F.col("name").alias("pname"))
     l = cut_lineage(collapsed.join(order, "request_id", "inner").join(p, "product_id", "left"))
-    unknown = (l.where(F.col("stock").isNull()).groupBy("request_id")
-               .agg(F.min("product_id").alias("missing")))
+    # A sale needs at least one line (the request schema's rule) and known products.
+    unknown = (l.groupBy("request_id")
+               .agg(F.min(F.when(F.col("stock").isNull(), F.col("product_id"))).alias("missing"),
+                    F.lit(True).alias("_has_lines")))
     state = (order.join(unknown, "request_id", "left")
-             .select("request_id", "_ts", F.when(F.col("missing").isNotNull(), F.lit("refused"))
-                     .otherwise(F.lit("open")).alias("state"), "missing"))
+             .select("request_id", "_ts",
+                     F.when(F.col("missing").isNotNull() | F.col("_has_lines").isNull(), F.lit("refused"))
+                     .otherwise(F.lit("open")).alias("state"), "missing",
+                     F.col("_has_lines").isNull().alias("empty")))
     state = cut_lineage(state)
     known = l.where(F.col("stock").isNotNull()).select("request_id", "product_id", "qty", "stock", "_ts")
 
@@ -256,6 +261,7 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
     result = (state.join(short, "request_id", "left").select(
         "request_id", (F.col("state") == "accepted").alias("accepted"),
         F.when(F.col("state") == "accepted", F.lit(MSG_CREATED))
+         .when(F.col("empty"), F.lit(MSG_NO_ITEMS))
          .when(F.col("missing").isNotNull(), F.format_string("Product ID %d not found", F.col("missing")))
          .otherwise(F.format_string("Insufficient stock for %s. Available: %d", F.col("s.pname"),
                                     F.col("s.avail"))).alias("message")))

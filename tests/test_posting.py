@@ -112,3 +112,50 @@ def test_stock_changes_and_products(spark):
     assert msgs == {10: sn.MSG_SKU_EXISTS, 11: sn.MSG_BARCODE_EXISTS, 12: "ok", 13: sn.MSG_SKU_EXISTS}
     new = out.where("id > 2").collect()
     assert len(new) == 1 and new[0].id == 3 and new[0].margin == 25.0 and new[0].last_restocked == now
+
+
+def test_lineless_sale_refused(spark):
+    from conftest import products_df as _p  # noqa: F401
+    p = products_df(spark, [{"id": 1, "sku": "s", "name": "n", "cost_price": D("1"), "selling_price": D("2"),
+                             "current_stock": 5}])
+    lines = spark.createDataFrame([(1, 1, 2, D("1.00"), 0.0, 0.0)],
+                                  "request_id long, product_id long, quantity int, unit_price decimal(10,2), "
+                                  "tax_rate double, discount_percent double")
+    headers = spark.createDataFrame([(1, dt.datetime(2001, 1, 1)), (2, dt.datetime(2001, 1, 2))],
+                                    "request_id long, sale_date timestamp_ntz")
+    _, res = po.post_sales(lines, headers, p)
+    got = {r.request_id: (r.accepted, r.message) for r in res.collect()}
+    assert got == {1: (True, po.MSG_CREATED), 2: (False, po.MSG_NO_ITEMS)}
+
+
+def test_real_data_matches_sequential_loop(spark):
+    """The registered posting query on the driver's sf0.001 tables equals the
+    reference's one-sale-at-a-time rule replayed in plain Python."""
+    import os
+
+    import duckdb
+
+    from oracle_views import with_views
+    from stockline.plans.registry import all_queries
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    con = duckdb.connect()
+    for t in ["customer", "supplier", "part", "orders", "lineitem", "nation"]:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    order = [r[0] for r in con.execute(with_views(
+        "SELECT id FROM sales WHERE status = 'draft' ORDER BY sale_date, id")).fetchall()]
+    lines = con.execute(with_views("SELECT sale_id, product_id, quantity FROM sale_items "
+                                   "WHERE sale_id IN (SELECT id FROM sales WHERE status = 'draft')")).fetchall()
+    stock = dict(con.execute(with_views("SELECT id, current_stock FROM products")).fetchall())
+    by_sale = {}
+    for s, pid, q in lines:
+        by_sale.setdefault(s, []).append((pid, q))
+    want, stock = sequential(stock, [(s, by_sale.get(s, [])) for s in order])
+    for s in order:                      # a sale without lines is refused (at least one item)
+        if not by_sale.get(s):
+            want[s] = False
+    q = all_queries()
+    got = {r.request_id: r.accepted for r in q["post_sales"](spark, sf).collect()}
+    assert got == want
+    assert {r.id: r.current_stock for r in q["post_sales_stock"](spark, sf).collect()} == stock
