@@ -169,6 +169,12 @@ def line_amounts(unit_price: ColumnOrName, quantity: ColumnOrName,
             "tax_amount": tax, "total": total}
 
 
+def input_price(c: ColumnOrName) -> Column:
+    """A price given on input, rounded to 2 places half-even (Python's
+    ``round`` of a Decimal), then stored as DEC(10,2)."""
+    return F.bround(_c(c).cast("decimal(20,6)"), 2).cast(S.MONEY)
+
+
 def store_money(c: ColumnOrName) -> Column:
     """Store an exact amount as DEC(10,2) (half up)."""
     return _c(c).cast(S.MONEY)

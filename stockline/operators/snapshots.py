@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline import schema as S
-from stockline.functions.exprs import margin_percent, ts_lit
+from stockline.functions.exprs import input_price, margin_percent, ts_lit
 from stockline.operators.posting import apply_patch
 from stockline.plans.ordered import running_totals
 
@@ -66,6 +66,8 @@ def add_products(products: DataFrame, categories: DataFrame, suppliers: DataFram
             r = r.withColumn(f.name, F.lit(None).cast(f.dataType))
     for c, v in PRODUCT_DEFAULTS.items():
         r = r.withColumn(c, F.coalesce(F.col(c), F.lit(v))) if c in r.columns else r.withColumn(c, F.lit(v))
+    for c in ("cost_price", "selling_price"):   # H21; a missing price is 0.00
+        r = r.withColumn(c, F.coalesce(input_price(c), F.lit(0).cast(S.MONEY)))
     sku_taken = products.select(F.col("sku").alias("_sku_old"))
     bc_taken = products.where(F.col("barcode").isNotNull()).select(F.col("barcode").alias("_bc_old"))
     j = (r.join(sku_taken, r.sku == sku_taken._sku_old, "left")
@@ -117,6 +119,9 @@ def patch_products(products: DataFrame, patches: DataFrame) -> tuple[DataFrame,
     marks = patches.select(F.col("request_id").alias("_mid"),
                            (F.coalesce(price_given, F.lit(False)) if price_given is not None
                             else F.lit(False)).alias("_price_given"))
+    for c in ("cost_price", "selling_price"):   # H21
+        if c in patches.columns:
+            patches = patches.withColumn(c, input_price(c))
     patched = apply_patch(products, patches, PATCHABLE_PRODUCT_FIELDS, "id")
     patched = patched.join(marks, patched.id == marks._mid, "left")
     new_margin = margin_percent("selling_price", "cost_price")

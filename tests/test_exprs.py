@@ -49,3 +49,9 @@ def test_labels(spark):
     d = spark.createDataFrame([(dt.date(2001, 8, 1), 7)], "d date, s int")
     assert d.select(X.sale_number("d", "s")).first()[0] == "SAL-20010801-007"
     assert d.select(X.sale_number("d", F.lit(1234))).first()[0] == "SAL-20010801-1234"
+
+
+def test_input_price_half_even(spark):
+    df = spark.createDataFrame([(Decimal("2.345"),), (Decimal("2.355"),), (Decimal("49.994"),)], "p decimal(10,3)")
+    assert [r[0] for r in df.select(X.input_price("p")).collect()] == [
+        Decimal("2.34"), Decimal("2.36"), Decimal("49.99")]
