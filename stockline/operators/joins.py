@@ -8,8 +8,6 @@ spread over several rows (see :func:`sale_with_items`).
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

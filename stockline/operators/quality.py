@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockline import schema as S
 
 # Fixed rule lists: (rule name, predicate that must hold). Limits are the
 # reference's field limits.
@@ -183,6 +182,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def all_tables(shop) -> dict[str, DataFrame]:
     return {n: shop.table(n) for n in ("categories", "suppliers", "products", "sales", "sale_items", "users")}
 
-
-__all__ = ["dq_product_checks", "dq_product_fields", "dq_unique", "dq_foreign_keys", "dq_sale_lines",
-           "dq_sales", "dq_suppliers", "dq_not_null", "S"]

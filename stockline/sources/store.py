@@ -18,7 +18,6 @@ write, so every bucket is one file per partition instead of one per task.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from stockline.functions.exprs import day_of, month_key
 from stockline.sources.tables import TABLE_NAMES, Shop
@@ -50,5 +49,3 @@ def month_bounds(start, end):
     return (None if start is None else f"{start.year:04d}-{start.month:02d}",
             None if end is None else f"{end.year:04d}-{end.month:02d}")
 
-
-__all__ = ["store_shop", "stored_shop", "month_bounds", "F"]
