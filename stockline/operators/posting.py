@@ -22,6 +22,7 @@ from stockline.functions.exprs import (auto_payment_status, cancel_payment_statu
 from stockline.plans.ordered import running_totals
 from stockline.session import cut_lineage
 
+# Fixed messages (as the reference words them).
 MSG_CREATED = "Sale created successfully"
 MSG_NOT_FOUND = "Product ID {} not found"
 MSG_INSUFFICIENT = "Insufficient stock for {}. Available: {}"
@@ -30,7 +31,7 @@ MSG_ALREADY_CANCELLED = "Sale is already cancelled"
 MSG_CANCELLED = "Sale cancelled successfully"
 MSG_UPDATED = "Sale updated successfully"
 MSG_CANNOT_UPDATE = "Cannot update {} sale"
-MSG_NO_ITEMS = "At least one item required"
+MSG_NO_ITEMS = "At least one item required"   # our own wording (schema rule)
 
 
 # ---------------------------------------------------------------- I1

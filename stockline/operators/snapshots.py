@@ -20,7 +20,7 @@ from stockline.functions.exprs import input_price, margin_percent, ts_lit
 from stockline.operators.posting import apply_patch
 from stockline.plans.ordered import running_totals
 
-# Fixed messages (as the reference's endpoints word them).
+# Fixed messages (as the reference words them; "ok" is ours).
 MSG_SKU_EXISTS = "Product with this SKU already exists"
 MSG_BARCODE_EXISTS = "Product with this barcode already exists"
 MSG_CATEGORY_NOT_FOUND = "Category not found"
