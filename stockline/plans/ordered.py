@@ -35,6 +35,8 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: di
 
     ``inclusive=False`` gives the total of the rows strictly before each row.
     Values must be integers (counts, quantities); totals are ``bigint``.
+    ``partitions`` (default: ``spark.sql.shuffle.partitions``, which a cluster
+    sizes to its data) is the number of ranges; each range is one task.
     """
     # Everything the tasks run is defined in here, so it ships with the task
     # (by value) and the workers need nothing but pandas.
