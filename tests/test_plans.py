@@ -46,3 +46,26 @@ def test_customer_lookup_removed_when_unused(spark):
     assert "customer" not in plan                 # the lookup join is pruned by the optimizer
     plan = _plan(all_queries()["inventory_summary"](spark, SF))
     assert plan.count("FileScan parquet") == 1     # one scan for a one-pass summary
+
+
+def test_no_single_partition_windows(spark):
+    """Per-day numbering and new ids use the range-partitioned running
+    totals: no Window operator and no exchange into a single partition."""
+    if not os.path.isdir(SF):
+        return
+    q = all_queries()
+    for name in ("sale_numbers", "add_products_new", "merge_dimension_rows"):
+        lines = _plan(q[name](spark, SF)).splitlines()
+        assert not any("Window" in line for line in lines), name
+        # a single-partition exchange only ever carries per-task partial aggregates (one row each)
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                assert "partial_" in lines[i + 1], (name, lines[i + 1])
+
+
+def test_item_arrays_never_broadcast(spark):
+    if not os.path.isdir(SF):
+        return
+    plan = _plan(all_queries()["sale_with_items"](spark, SF))
+    collect_side = [line for line in plan.splitlines() if "collect_list" in line]
+    assert collect_side and "SortMergeJoin" in plan
