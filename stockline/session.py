@@ -51,7 +51,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     tests) a private folder is created and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Connect session has no SparkContext
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir must be set for this session")
     if conf_dir:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
