@@ -547,3 +547,50 @@ SQL["sink_json"] = SQL["sales_by_product"]
 SQL["export_pair"] = SQL["inventory_report_summary"]
 SQL["export_report"] = SQL["sales_daily_report"]
 SQL["payment_method_map"] = SQL["payment_method_counts"]
+
+# ---------------------------------------------------------------- I4 posting: the sequential rule replayed
+# One recursion step per draft sale in arrival order; ``used`` maps a product
+# to the units taken by the sales accepted so far.
+POSTING = """,
+reqs AS MATERIALIZED (SELECT id AS request_id, row_number() OVER (ORDER BY sale_date, id) AS rn
+  FROM sales WHERE status = 'draft'),
+col AS (SELECT sale_id AS request_id, product_id, CAST(sum(quantity) AS BIGINT) AS qty FROM sale_items
+  WHERE sale_id IN (SELECT request_id FROM reqs) GROUP BY 1, 2),
+ln AS MATERIALIZED (SELECT r.rn, c.request_id, c.product_id, c.qty,
+    coalesce(CAST(p.current_stock AS BIGINT), -1) AS stock, p.name AS pname
+  FROM col c JOIN reqs r ON r.request_id = c.request_id LEFT JOIN products p ON p.id = c.product_id),
+per AS MATERIALIZED (SELECT r.rn, r.request_id,
+    coalesce(list(ln.product_id ORDER BY ln.product_id) FILTER (WHERE ln.product_id IS NOT NULL), []) AS pids,
+    coalesce(list(ln.qty ORDER BY ln.product_id) FILTER (WHERE ln.product_id IS NOT NULL), []) AS qtys,
+    coalesce(list(ln.stock ORDER BY ln.product_id) FILTER (WHERE ln.product_id IS NOT NULL), []) AS stocks,
+    coalesce(list(ln.pname ORDER BY ln.product_id) FILTER (WHERE ln.product_id IS NOT NULL), []) AS pnames
+  FROM reqs r LEFT JOIN ln ON ln.rn = r.rn GROUP BY r.rn, r.request_id),
+sim AS (
+  SELECT 0::BIGINT AS rn, MAP([]::BIGINT[], []::BIGINT[]) AS used, NULL::BIGINT AS request_id,
+    NULL::BOOLEAN AS ok, []::BIGINT[] AS before
+  UNION ALL
+  SELECT p.rn,
+    CASE WHEN f.fits THEN map_concat(s.used, MAP(p.pids, list_transform(p.pids,
+      lambda x, i: CAST(coalesce(s.used[x], 0) + p.qtys[i] AS BIGINT)))) ELSE s.used END,
+    p.request_id, f.fits,
+    list_transform(p.pids, lambda x: CAST(coalesce(s.used[x], 0) AS BIGINT))
+  FROM sim s JOIN per p ON p.rn = s.rn + 1,
+  LATERAL (SELECT coalesce(len(p.pids) > 0 AND list_bool_and(list_transform(p.pids,
+      lambda x, i: p.stocks[i] >= 0 AND coalesce(s.used[x], 0) + p.qtys[i] <= p.stocks[i])), FALSE) AS fits) f
+),
+res AS MATERIALIZED (SELECT s.request_id, s.ok, s.before, p.pids, p.qtys, p.stocks, p.pnames,
+    list_filter(generate_series(1, len(p.pids)), lambda i: s.before[i] + p.qtys[i] > p.stocks[i])[1] AS k
+  FROM sim s JOIN per p ON p.rn = s.rn WHERE s.rn > 0)"""
+SQL["post_sales"] = with_views(POSTING + """
+SELECT request_id, ok AS accepted,
+  CASE WHEN ok THEN 'Sale created successfully'
+    WHEN len(pids) = 0 THEN 'At least one item required'
+    WHEN list_bool_or(list_transform(stocks, lambda x: x < 0))
+      THEN printf('Product ID %d not found', list_min(list_filter(pids, lambda x, i: stocks[i] < 0)))
+    ELSE printf('Insufficient stock for %s. Available: %d', pnames[k], stocks[k] - before[k]) END AS message
+FROM res""", recursive=True)
+SQL["post_sales_stock"] = with_views(POSTING + """,
+taken AS (SELECT l.product_id, sum(l.qty) AS q FROM ln l JOIN res r ON r.request_id = l.request_id
+  WHERE r.ok GROUP BY 1)
+SELECT pr.id, CAST(pr.current_stock - coalesce(t.q, 0) AS INTEGER) AS current_stock
+FROM products pr LEFT JOIN taken t ON t.product_id = pr.id""", recursive=True)
