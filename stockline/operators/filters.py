@@ -26,16 +26,32 @@ SUPPLIER_KEYS = ("id", "name", "email")
 
 # ---------------------------------------------------------------- F1
 
-def page(df: DataFrame, order: list, skip: int = 0, limit: int | None = None) -> DataFrame:
+DEEP_PAGE = 100_000
+
+
+def page(df: DataFrame, order: list, skip: int = 0, limit: int | None = None,
+         deep_page: int = DEEP_PAGE) -> DataFrame:
     """``ORDER BY order OFFSET skip LIMIT limit`` (limit 1..1000, or None
     for the whole ordered list). The reference pages without an ORDER BY;
-    here the key always orders, so a page is repeatable."""
+    here the key always orders, so a page is repeatable.
+
+    A near page is a top-k (each task keeps skip + limit rows). From
+    ``deep_page`` rows on, rows are numbered by a range-partitioned running
+    count instead (:mod:`stockline.plans.ordered`) and the page is the rows
+    numbered skip+1 .. skip+limit, so no task holds more than its range."""
     if skip < 0:
         raise ValueError("skip must be >= 0")
+    if limit is not None and not 1 <= limit <= 1000:
+        raise ValueError("limit must be within 1..1000")
+    if skip and skip + (limit or 0) > deep_page:
+        from stockline.plans.ordered import running_totals
+        numbered = running_totals(df.withColumn("_all", F.lit(0)), ["_all"], list(order), {"_rn": None})
+        keep = F.col("_rn") > F.lit(skip)
+        if limit is not None:
+            keep = keep & (F.col("_rn") <= F.lit(skip + limit))
+        return numbered.where(keep).orderBy("_rn").drop("_all", "_rn")
     out = df.orderBy(*order)
     if limit is not None:
-        if not 1 <= limit <= 1000:
-            raise ValueError("limit must be within 1..1000")
         out = out.offset(skip).limit(limit) if skip else out.limit(limit)
     elif skip:
         out = out.offset(skip)

@@ -109,3 +109,14 @@ def test_search_wildcards_and_nulls(spark):
     assert {r.id for r in fl.product_search(p, "ham").collect()} == {1}     # NULL brand does not block
     assert {r.id for r in fl.product_search(p, "a%b").collect()} == {1, 2}  # % is a wildcard
     assert {r.id for r in fl.product_search(p, "BOSCH").collect()} == {2}   # inactive included
+
+
+def test_deep_page_equals_top_k(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(0, 500).select((F.col("id") * 7 % 500).alias("id"), (F.col("id") % 3).alias("g"))
+    for order in (["id"], [F.desc("g"), F.asc("id")]):
+        near = [tuple(r) for r in fl.page(df, order, skip=37, limit=50).collect()]
+        deep = [tuple(r) for r in fl.page(df, order, skip=37, limit=50, deep_page=0).collect()]
+        assert near == deep and len(deep) == 50
+    tail = fl.page(df, ["id"], skip=490, deep_page=0).collect()
+    assert [r.id for r in tail] == list(range(490, 500))
