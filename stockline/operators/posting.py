@@ -24,13 +24,13 @@ from stockline.session import cut_lineage
 
 # Fixed messages (as the reference words them).
 MSG_CREATED = "Sale created successfully"
-MSG_NOT_FOUND = "Product ID {} not found"
-MSG_INSUFFICIENT = "Insufficient stock for {}. Available: {}"
+MSG_NOT_FOUND = "Product ID %d not found"
+MSG_INSUFFICIENT = "Insufficient stock for %s. Available: %d"
 MSG_SALE_NOT_FOUND = "Sale not found"
 MSG_ALREADY_CANCELLED = "Sale is already cancelled"
 MSG_CANCELLED = "Sale cancelled successfully"
 MSG_UPDATED = "Sale updated successfully"
-MSG_CANNOT_UPDATE = "Cannot update {} sale"
+MSG_CANNOT_UPDATE = "Cannot update %s sale"
 MSG_NO_ITEMS = "At least one item required"   # our own wording (schema rule)
 
 
@@ -117,8 +117,8 @@ def stock_check(lines: DataFrame, products: DataFrame) -> DataFrame:
     j = lines.join(p, "product_id", "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     ok = known & (F.col("quantity") <= F.col("_stock"))
-    msg = (F.when(~known, F.format_string(MSG_NOT_FOUND.replace("{}", "%d"), F.col("product_id")))
-           .when(~ok, F.format_string("Insufficient stock for %s. Available: %d", F.col("_name"), F.col("_stock"))))
+    msg = (F.when(~known, F.format_string(MSG_NOT_FOUND, F.col("product_id")))
+           .when(~ok, F.format_string(MSG_INSUFFICIENT, F.col("_name"), F.col("_stock"))))
     return j.select("request_id", "product_id", "quantity", ok.alias("ok"), msg.alias("message"))
 
 
@@ -263,9 +263,8 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
         "request_id", (F.col("state") == "accepted").alias("accepted"),
         F.when(F.col("state") == "accepted", F.lit(MSG_CREATED))
          .when(F.col("empty"), F.lit(MSG_NO_ITEMS))
-         .when(F.col("missing").isNotNull(), F.format_string("Product ID %d not found", F.col("missing")))
-         .otherwise(F.format_string("Insufficient stock for %s. Available: %d", F.col("s.pname"),
-                                    F.col("s.avail"))).alias("message")))
+         .when(F.col("missing").isNotNull(), F.format_string(MSG_NOT_FOUND, F.col("missing")))
+         .otherwise(F.format_string(MSG_INSUFFICIENT, F.col("s.pname"), F.col("s.avail"))).alias("message")))
     return new_products, result
 
 
@@ -336,7 +335,7 @@ def patch_sales(sales: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFr
     ok = F.col("_old").isNotNull() & ~F.col("_old").isin("completed", "cancelled")
     result = r.select("request_id", ok.alias("accepted"),
                       F.when(F.col("_old").isNull(), F.lit(MSG_SALE_NOT_FOUND))
-                       .when(~ok, F.format_string("Cannot update %s sale", F.col("_old")))
+                       .when(~ok, F.format_string(MSG_CANNOT_UPDATE, F.col("_old")))
                        .otherwise(F.lit(MSG_UPDATED)).alias("message"))
     allowed = ~F.col("status").isin("completed", "cancelled")
     new_sales = apply_patch(sales, patches, PATCHABLE_SALE_FIELDS, "id", allowed)

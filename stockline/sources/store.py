@@ -42,10 +42,3 @@ def store_shop(spark: SparkSession, shop: Shop, database: str, location: str | N
 def stored_shop(spark: SparkSession, database: str) -> Shop:
     """The shop read from the bucketed catalog tables."""
     return Shop({name: (lambda n=name: spark.table(f"{database}.{n}")) for name in TABLE_NAMES})
-
-
-def month_bounds(start, end):
-    """``yyyy-MM`` keys of the months holding ``start`` and ``end``."""
-    return (None if start is None else f"{start.year:04d}-{start.month:02d}",
-            None if end is None else f"{end.year:04d}-{end.month:02d}")
-

@@ -115,7 +115,6 @@ def test_stock_changes_and_products(spark):
 
 
 def test_lineless_sale_refused(spark):
-    from conftest import products_df as _p  # noqa: F401
     p = products_df(spark, [{"id": 1, "sku": "s", "name": "n", "cost_price": D("1"), "selling_price": D("2"),
                              "current_stock": 5}])
     lines = spark.createDataFrame([(1, 1, 2, D("1.00"), 0.0, 0.0)],
