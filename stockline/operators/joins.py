@@ -104,7 +104,9 @@ def sale_with_items(sales: DataFrame, sale_items: DataFrame, users: DataFrame |
     line = F.struct(*ITEM_FIELDS)
     lines = (sale_items.join(parts, "sale_id")
              .withColumn("part", F.pmod(F.xxhash64(line), F.col("_k"))))
-    items = (lines.groupBy("sale_id", "part")
+    # Shuffle on (sale, part), not on sale alone: the parts of a hot sale go
+    # to different tasks, and the join above stays free for AQE's skew split.
+    items = (lines.repartition("sale_id", "part").groupBy("sale_id", "part")
              .agg(F.sort_array(F.collect_list(line)).alias("items")))
     # The arrays hold every line: their size grows with the data and has no
     # bound, so this side is never broadcast (the static estimate comes from
