@@ -35,23 +35,26 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: di
 
     ``inclusive=False`` gives the total of the rows strictly before each row.
     Values must be integers (counts, quantities); totals are ``bigint``.
-    ``partitions`` (default: ``spark.sql.shuffle.partitions``, which a cluster
-    sizes to its data) is the number of ranges; each range is one task.
+    ``partitions`` fixes the number of ranges; by default it is
+    ``spark.sql.shuffle.partitions`` ranges, merged by AQE to its advisory
+    partition size. Each range is one task.
     """
     # Everything the tasks run is defined in here, so it ships with the task
     # (by value) and the workers need nothing but pandas.
     def _key_json(values) -> str:
         return json.dumps([v.item() if hasattr(v, "item") else v for v in values])
 
-    spark = df.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     outs = list(values)
     work = df
     for name, src in values.items():
         work = work.withColumn(f"_v_{name}", F.lit(1).cast("bigint") if src is None
                                else F.col(src).cast("bigint"))
     keys = group + order
-    ranged = work.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count, AQE sizes the ranges from the data (it only
+    # merges neighbouring ranges, so every partition is still one contiguous
+    # range of the order).
+    ranged = (work.repartitionByRange(partitions, *keys) if partitions
+              else work.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     ranged = cut_lineage(ranged).withColumn("_pid", F.spark_partition_id())
     vcols = [f"_v_{o}" for o in outs]
 
