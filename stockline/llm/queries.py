@@ -12,6 +12,7 @@ from stockline.llm.storage import crc_bucket
 from stockline.session import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 
@@ -42,6 +43,26 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+MIX = {"clean": 0.85, "junk": 0.1, "toxic": 0.05}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table's domains: toxic, else junk (quality 0), else clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(
+        F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stockline.llm.mixing import mixing_rates
+    return mixing_rates(_table(spark, sf_dir, "documents"), label_domains(_table(spark, sf_dir, "labels")), MIX)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stockline.llm.token_counts import token_counts
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockline.llm.token_files import read_token_files, write_token_files
     folder = scratch_path(spark, "token-files")
@@ -49,6 +70,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, index)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stockline.llm.quality import judged
+    return judged(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stockline.llm.packing import packed
     return packed(_table(spark, sf_dir, "documents"), vocabulary_path(WORD_BPE), end_id=1)
@@ -59,10 +85,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+    return run(spark, sf_dir)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_simhash_near_dedup, op3_secret_scan, op4_embedding_near_dedup, op7_token_files,
-        op9_best_fit_packing, op10_lm_scoring)}
+        op1_toxicity, op2_simhash_near_dedup, op3_secret_scan, op4_embedding_near_dedup, op5_mixing,
+        op6_token_counts, op7_token_files, op8_quality_rules, op9_best_fit_packing, op10_lm_scoring, pipeline)}
 
 
 def all_sql() -> dict[str, str]:

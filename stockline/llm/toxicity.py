@@ -250,6 +250,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
+def score_column(model: Model):
+    """The score of a text column as a column function."""
+
+    @F.arrow_udf("double")
+    def score_of(texts: pa.Array) -> pa.Array:
+        out, cache = [], {}
+        for lo, hi in slices(texts):
+            for words, places, scores in _hits(texts.slice(lo, hi - lo), model.scores, cache):
+                out.append(model.probability(model.evidence(maximal_segments(places, scores), words)))
+        return pa.array(out, pa.float64())
+
+    return score_of
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, bucket, train_docs: int = TRAIN_DOCS,
              text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Score every document. Only texts enter a score; language, source, id and labels do not.
