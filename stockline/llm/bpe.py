@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from stockline.llm.words import encoded_words, slices
 
-CACHE_PARTS = 150_000     # parts remembered per task
-CACHE_WORDS = 150_000     # words remembered per task
+CACHE_PARTS = 400_000     # parts remembered per task
+CACHE_WORDS = 400_000     # words remembered per task
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -60,8 +60,12 @@ class WordEncoder:
         return ids
 
     def word(self, word: str) -> list[int]:
-        if word.isascii() and word.isalpha():
-            return self.part(word.lower())
+        if word.isascii():                      # a word, or a word and one mark: the commonest cases
+            word = word.lower()
+            if word.isalpha():
+                return self.part(word)
+            if word[:-1].isalpha() and not word[-1].isdigit() and word.isprintable():
+                return self.part(word[:-1]) + self.part(word[-1])
         if self.plain(word):
             parts = self.split(word.lower())
             if len(parts) == 1:

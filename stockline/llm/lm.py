@@ -7,7 +7,7 @@ up to ``DEPTH`` preceding words of the same document.
   sequences without its first and without its last word are. Those with at least ``MIN_SHARE`` of all
   training tokens go on; they are the contexts and the next symbols the tree may hold.
 * A context is retained if its next-symbol distribution diverges from that of the context one word shorter by
-  at least ``MIN_DIVERGENCE`` nats.
+  at least ``MIN_DIVERGENCE`` nats more than a sample of its size does by chance.
 * Distributions are smoothed by absolute discounting: what is taken from the seen symbols goes to the
   next shorter retained context. The root is the discounted word distribution; the discount's share goes to
   the one class of unknown words, so every text has a probability.
@@ -120,15 +120,16 @@ def add_level(tree: Tree, keys: np.ndarray, counts: np.ndarray) -> None:
         first_suffix = shorter.suffix[prefix]              # the context without its first word
         at = tree.find(len(tree.levels) - 1, first_suffix, word)
         level.suffix = at
-        shorter_p = _probability(tree, len(tree.levels), first_suffix, word, at)
+        shorter_p = _probability(tree, len(tree.levels) + 1, first_suffix, word, at)
     level.own = np.maximum(level.counts - DISCOUNT, 0.0) / context_counts[prefix]
     n = len(context_counts)
     rest = np.maximum(1.0 - np.bincount(prefix, level.own, n), 1e-12)
     p = level.own + rest[prefix] * shorter_p
     gain = np.bincount(prefix, p * np.log(p / shorter_p), n)
     unseen = np.maximum(1.0 - np.bincount(prefix, shorter_p, n), 0.0)
-    diverges = gain + rest * unseen * np.log(rest) >= MIN_DIVERGENCE
-    diverges &= np.bincount(prefix, minlength=n) > 0
+    kinds = np.bincount(prefix, minlength=n)
+    chance = kinds / (2.0 * np.maximum(context_counts, 1))      # divergence of a sample from its own law
+    diverges = (kinds > 0) & (gain + rest * unseen * np.log(rest) - chance >= MIN_DIVERGENCE)
     holder = tree if shorter is None else shorter
     holder.rest, holder.retained = rest, diverges
     tree.levels.append(level)
