@@ -36,7 +36,7 @@ DEPTH = 3
 MIN_SHARE = 2e-6
 MIN_DIVERGENCE = 0.02
 DISCOUNT = 0.75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 
 
 @dataclass
@@ -200,6 +200,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     "words": one(words, pa.string()),
                     "train": one(train, pa.int64())})
                 k += 1
+                pa.default_memory_pool().release_unused()
 
     return docs.select("id", "held", "text").mapInArrow(
         run, "block long, ids array<long>, held array<boolean>, sizes binary, codes binary, "
@@ -234,6 +235,7 @@ def fit(table: DataFrame, vocabulary: DataFrame, ends: int, n: int, v: int, disc
                     codes = _numbers(tree, words)[codes] if len(words) else codes
                     tokens, starts = with_ends(codes, sizes, tree.end)
                     keys, many = candidates(tree, tokens, starts, np.repeat(~held, sizes + 1))
+                    del words, codes, tokens
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(many, pa.int64())], ["key", "n"])
 
         found = table.select("sizes", "codes", "held", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(
