@@ -16,7 +16,8 @@ up to ``DEPTH`` preceding words of the same document.
 At most ``1 / MIN_SHARE`` sequences of each length can be that frequent, at any corpus size: that bounds
 the tree, which alone is sent to every task. Word counts are not bounded; they stay in tables. Documents are
 re-coded once into blocks (the distinct words of a few megabytes of text, and word numbers in text order),
-so counting words and looking counts up shuffles a row per distinct word of a block, not one per token.
+so counting words shuffles a row per distinct word of a block, not one per token; the counts go back to
+the blocks as one small file each in the shared folder, and the blocks themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,17 +27,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.storage import stored
+from stockline.llm.files import mapped, replaced
+from stockline.llm.storage import partitions, stored
 from stockline.llm.words import encoded_words, slices
+from stockline.session import scratch_path
 
 DEPTH = 3
 MIN_SHARE = 2e-6
 MIN_DIVERGENCE = 0.02
 DISCOUNT = 0.75
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -187,10 +191,10 @@ def blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held_all = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in slices(batch.column(2), BLOCK_BYTES):
-                rows, codes, words = encoded_words(batch.column(2).slice(lo, hi - lo), lower=True)
+                rows, codes, words = encoded_words(batch.column(2).slice(lo, hi - lo), lower=True, as_list=False)
                 held = held_all[lo:hi]
                 train = np.bincount(codes[~np.repeat(held, rows)], minlength=len(words))
-                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([task << 32 | k], pa.int64()),
                     "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
@@ -211,12 +215,49 @@ def _block(batch, k):
     """(tokens per document, codes, held, words) of the k-th block of a batch."""
     cell = lambda name: batch.column(batch.schema.get_field_index(name))[k]
     sizes, codes = (np.frombuffer(cell(x).as_py(), "<i4").astype(np.int64) for x in ("sizes", "codes"))
-    return sizes, codes, cell("held").values.to_numpy(zero_copy_only=False).astype(bool), cell("words").as_py()
+    return sizes, codes, cell("held").values.to_numpy(zero_copy_only=False).astype(bool), cell("words").values
 
 
-def _numbers(tree: Tree, words: list[str]) -> np.ndarray:
-    get = tree.words.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+def _numbers(frequent: pa.Array, words: pa.Array) -> np.ndarray:
+    """Numbers of a block's words among the frequent ones; -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def counted_words(table: DataFrame) -> DataFrame:
+    """(block, at, c, word) of every distinct word of every block: its place and its training count in the
+    whole corpus. The word itself stands in the first of its rows only."""
+    rows = table.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(
+        "block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train"))
+    same = Window.partitionBy("word")
+    return rows.withColumn("c", F.sum("train").over(same)).withColumn(
+        "turn", F.row_number().over(same.orderBy("block", "at"))).select(
+        "block", "at", "c", F.when(F.col("turn") == 1, F.col("word")).alias("word"))
+
+
+def write_counts(counted: DataFrame, folder: str) -> None:
+    """One file per block with its words' counts (int64, in the order of its words)."""
+
+    def run(batches):
+        def flush(block, counts):
+            with replaced(f"{folder}/{block}") as out:
+                out.write(counts.astype("<i8").tobytes())
+
+        block, parts = None, []
+        for batch in batches:
+            blocks_of, counts = (batch.column(k).to_numpy() for k in (0, 1))
+            edge = np.nonzero(np.concatenate(([True], blocks_of[1:] != blocks_of[:-1], [True])))[0]
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if blocks_of[lo] != block:
+                    if parts:
+                        flush(block, np.concatenate(parts))
+                    block, parts = int(blocks_of[lo]), []
+                parts.append(counts[lo:hi].copy())
+        if parts:
+            flush(block, np.concatenate(parts))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["done"])
+
+    rows = counted.select("block", "at", "c").repartition(partitions(counted.sparkSession), "block")
+    rows.sortWithinPartitions("block", "at").select("block", "c").mapInArrow(run, "done long").count()
 
 
 def fit(table: DataFrame, vocabulary: DataFrame, ends: int, n: int, v: int, discount: float,
@@ -229,10 +270,11 @@ def fit(table: DataFrame, vocabulary: DataFrame, ends: int, n: int, v: int, disc
     for _ in range(depth):
 
         def run(batches, tree=tree):
+            frequent = pa.array(list(tree.words), pa.string())
             for batch in batches:
                 for k in range(batch.num_rows):
                     sizes, codes, held, words = _block(batch, k)
-                    codes = _numbers(tree, words)[codes] if len(words) else codes
+                    codes = _numbers(frequent, words)[codes] if len(words) else codes
                     tokens, starts = with_ends(codes, sizes, tree.end)
                     keys, many = candidates(tree, tokens, starts, np.repeat(~held, sizes + 1))
                     del words, codes, tokens
@@ -255,29 +297,33 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = MIN
     empty result. Without training rows every count is 0 and ``score`` is 0. Extra columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"),
                        F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
     table = stored(blocks(rows), "lm-blocks")
-    vocabulary = stored(table.select(F.explode(F.arrays_zip("words", "train")).alias("w")).groupBy(
-        F.col("w.words").alias("word")).agg(F.sum("w.train").alias("c")), "lm-words")
+    counted = stored(counted_words(table), "lm-words")
+    vocabulary = counted.where("word is not null")
+    counts_folder = scratch_path(spark, "lm-counts")
+    write_counts(counted, counts_folder)
     ends = int(table.select(F.explode("held").alias("h")).agg(F.sum(F.expr("int(not h)"))).first()[0] or 0)
     n, v, once, twice = vocabulary.agg(
         F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
     n, v = int(n) + ends, int(v) + (ends > 0)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
     tree = fit(table, vocabulary, ends, n, v, discount, depth, min_share)
-    wanted = table.select("block", F.posexplode("words").alias("at", "word"))
-    values = wanted.join(vocabulary, "word").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("at", "c"))).alias("values"))
-
     def finish(batches):
         log_all = math.log10(n + 0.1 * (v + 1))
+        frequent = pa.array(list(tree.words), pa.string())
         for batch in batches:
             for k in range(batch.num_rows):
                 sizes, codes, held, words = _block(batch, k)
-                cell = batch.column(batch.schema.get_field_index("values"))[k].values
-                c = np.append(cell.field("c").to_numpy().astype(np.int64) if cell is not None else [], [ends]).astype(np.int64)
+                block = batch.column(batch.schema.get_field_index("block"))[k].as_py()
+                if len(words):
+                    with mapped(f"{counts_folder}/{block}", "<i8") as own:
+                        c = np.append(own, ends)
+                else:
+                    c = np.array([ends], np.int64)
                 tokens, starts = with_ends(codes, sizes, len(words))
                 count = c[tokens]
-                numbers = np.append(_numbers(tree, words), tree.end)[tokens]
+                numbers = np.append(_numbers(frequent, words), tree.end)[tokens]
                 p = token_probabilities(tree, numbers, starts, root_probability(c, n, v, discount)[tokens])
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every document has its end token
                 m = len(sizes)
@@ -288,6 +334,5 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = MIN
                      pa.array(total(np.log10(p)))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    small = table.select("block", "ids", "held", "sizes", "codes", "words")
-    return small.join(values, "block", "left").drop("block").mapInArrow(
+    return table.select("block", "ids", "held", "sizes", "codes", "words").mapInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

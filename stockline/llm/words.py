@@ -26,7 +26,7 @@ def slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES):
         yield lo, len(sizes)
 
 
-def encoded_words(texts: pa.Array, lower: bool):
+def encoded_words(texts: pa.Array, lower: bool, as_list: bool = True):
     """(words per row, word number of each token, distinct words) of a slice; null is an empty text.
 
     ``lower`` lower-cases A-Z only."""
@@ -37,13 +37,13 @@ def encoded_words(texts: pa.Array, lower: bool):
     coded = pc.dictionary_encode(split.flatten())
     codes = coded.indices.to_numpy(zero_copy_only=False)
     rows = np.asarray(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
-    words = coded.dictionary.to_pylist()
-    empty = [i for i, w in enumerate(words) if not w]
-    if empty:  # the splitter returns an empty string before leading and after trailing white space
+    words = coded.dictionary
+    empty = np.nonzero(pc.equal(words, "").to_numpy(zero_copy_only=False))[0]
+    if len(empty):  # the splitter returns an empty string before leading and after trailing white space
         real = codes != empty[0]
         owner = np.repeat(np.arange(len(rows)), rows)[real]
         rows = np.bincount(owner, minlength=len(rows)).astype(np.int64)
         codes = codes[real]
-        words.pop(empty[0])
+        words = words.filter(pc.not_equal(words, ""))
         codes = codes - (codes > empty[0])
-    return rows, codes.astype(np.int64), words
+    return rows, codes.astype(np.int64), words.to_pylist() if as_list else words
