@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.llm.files import mapped, replaced
-from stockline.llm.storage import partitions, stored
+from stockline.llm.storage import partitions, rows_per_batch, stored
 from stockline.llm.words import encoded_words, slices
 from stockline.session import scratch_path
 
@@ -280,8 +280,9 @@ def fit(table: DataFrame, vocabulary: DataFrame, ends: int, n: int, v: int, disc
                     del words, codes, tokens
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(many, pa.int64())], ["key", "n"])
 
-        found = table.select("sizes", "codes", "held", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(
-            F.sum("n").alias("n")).where(F.col("n") >= floor).collect()
+        with rows_per_batch(table.sparkSession, 1):
+            found = table.select("sizes", "codes", "held", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(
+                F.sum("n").alias("n")).where(F.col("n") >= floor).collect()
         add_level(tree, np.array([r.key for r in found], np.int64), np.array([r.n for r in found], np.int64))
         if not found:
             break
@@ -334,5 +335,7 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = MIN
                      pa.array(total(np.log10(p)))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return table.select("block", "ids", "held", "sizes", "codes", "words").mapInArrow(
-        finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with rows_per_batch(spark, 1):
+        return stored(table.select("block", "ids", "held", "sizes", "codes", "words").mapInArrow(
+            finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+                    "score double"), "lm-scores")

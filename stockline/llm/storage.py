@@ -7,6 +7,8 @@ cuts the lineage, so no later failure repeats the work before it. The folder is
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,15 @@ def crc_bucket(doc_id, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus`` (the contracts' train / held-out split).
     A null id has no remainder; it counts as held out (0)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within it, jobs hand at most so many rows at a time to Python: for rows of several megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
