@@ -41,7 +41,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies: the one whose id is the group's smallest."""
     found = near_duplicates(docs)
     firsts = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "firsts")
-    kept = docs.join(firsts.select(F.col("doc_id").alias("_first"), "_times"), F.col("doc_id") == F.col("_first"))
+    # The list of ids grows with the corpus: never broadcast, the same join at every size.
+    kept = docs.join(firsts.select(F.col("doc_id").alias("_first"), "_times").hint("merge"), F.col("doc_id") == F.col("_first"))
     many = kept.where("_times > 1").select(*[F.col(c) for c in docs.columns]).dropDuplicates(["doc_id"])
     once = kept.where("_times = 1").select(*[F.col(c) for c in docs.columns])
     return once.unionByName(many).unionByName(docs.where("doc_id is null"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stockline.llm.storage import drop_stored, stored
 
 TRAIN_DOCS = 20_000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 MIN_Z = 3.0
 MAX_SCORE = 60.0           # naive Bayes sums beyond this count as this
 STEPS = 25
@@ -72,10 +72,9 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: in
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
     train = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_label_id")), F.col("id") == F.col("_label_id"))
     train = stored(features(train.select("domain", "text")), "mixing-training")
-    cells = train.select("domain", F.explode("_buckets").alias("bucket")).groupBy("domain", "bucket").count().collect()
+    cells = train.select("domain", F.explode("_buckets").alias("bucket")).groupBy("domain", "bucket").count().toArrow()
     counts = np.zeros((len(domains), BUCKETS))          # at most domains x BUCKETS cells
-    for r in cells:
-        counts[r.domain - 1, r.bucket] = r["count"]
+    counts[cells["domain"].to_numpy() - 1, cells["bucket"].to_numpy()] = cells["count"].to_numpy()
     weights = []
     total, everywhere = counts.sum(axis=1) + 1.0, counts.sum(axis=0)
     for k in range(1, len(domains)):
