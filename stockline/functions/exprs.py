@@ -149,21 +149,23 @@ def active_label(is_active: ColumnOrName) -> Column:
 
 def percent_decimal(p: ColumnOrName) -> Column:
     """A double percentage as the decimal its text shows (``Decimal(str(x))``)."""
-    return _c(p).cast("string").cast("decimal(9,4)")
+    return _c(p).cast("string").cast("decimal(7,4)")
 
 
 def line_amounts(unit_price: ColumnOrName, quantity: ColumnOrName,
                  tax_rate: ColumnOrName, discount_percent: ColumnOrName) -> dict[str, Column]:
-    """Unrounded line amounts (decimal, scale 8 or more).
+    """Exact line amounts for percents of up to four decimals (scale 8 after the discount, 14 after the
+    tax; the operands are narrowed so that no product needs more than 38 digits).
 
     subtotal = price x qty; discount = subtotal x d% ; taxable = subtotal - discount;
     tax = taxable x t% ; total = taxable + tax. Rounding to cents happens only
     when a value is stored (``cast('decimal(10,2)')`` rounds half up).
     """
-    subtotal = _c(unit_price) * _c(quantity).cast("decimal(10,0)")
-    discount = subtotal * percent_decimal(discount_percent) / F.lit(100)
-    taxable = subtotal - discount
-    tax = taxable * percent_decimal(tax_rate) / F.lit(100)
+    hundredth = F.lit("0.01").cast("decimal(2,2)")
+    subtotal = (_c(unit_price) * _c(quantity).cast("decimal(10,0)")).cast("decimal(20,2)")
+    discount = subtotal * (percent_decimal(discount_percent) * hundredth).cast("decimal(9,6)")
+    taxable = (subtotal - discount).cast("decimal(28,8)")
+    tax = taxable * (percent_decimal(tax_rate) * hundredth).cast("decimal(9,6)")
     total = taxable + tax
     return {"subtotal": subtotal, "discount_amount": discount, "taxable": taxable,
             "tax_amount": tax, "total": total}

@@ -64,7 +64,7 @@ def by_keys(table: DataFrame, keys: DataFrame, by: str, allowed: tuple) -> DataF
     """Rows of ``table`` whose ``by`` column is among ``keys[by]`` (semi join)."""
     if by not in allowed:
         raise ValueError(f"lookup column must be one of {allowed}")
-    k = keys.select(F.col(by).alias("_k")).where(F.col("_k").isNotNull())
+    k = keys.select(F.col(by).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     return table.join(k, table[by] == k["_k"], "left_semi")
 
 

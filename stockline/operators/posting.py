@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.functions.exprs import (auto_payment_status, cancel_payment_status, day_of,
-                                       line_amounts, sale_number, sale_number_seq, store_money)
+                                       line_amounts, sale_number, sale_number_seq, store_money, ts_lit)
 from stockline.plans.ordered import running_totals
 from stockline.session import cut_lineage
 
@@ -83,27 +83,32 @@ def priced_sales(lines: DataFrame, headers: DataFrame, products: DataFrame) -> D
 
 # ---------------------------------------------------------------- I2
 
-def sale_numbers(new_sales: DataFrame, existing_sales: DataFrame) -> DataFrame:
+def sale_numbers(new_sales: DataFrame, existing_sales: DataFrame, now: "_dt.datetime | None" = None) -> DataFrame:
     """``SAL-YYYYMMDD-NNN`` for each new sale, numbered per calendar day
     of ``sale_date`` in (sale_date, request_id) order after the largest
     existing number of that day. The reference takes the string-largest
     number, which sticks after 999; the numeric largest is used here.
 
     Numbering within a day is a skew-safe running count, so a day holding a
-    third of all new sales is still spread over many tasks.
+    third of all new sales is still spread over many tasks. A sale without a
+    date counts as made ``now``; without ``now`` it gets no number (NULL).
     """
     seq_existing = (existing_sales
                     .select("sale_number", F.substring("sale_number", 5, 8).alias("day_key"),
                             sale_number_seq("sale_number").alias("seq"))
                     .where(F.col("sale_number").startswith("SAL-") & F.col("seq").isNotNull())
                     .groupBy("day_key").agg(F.max("seq").alias("last_seq")))
+    if now is not None:
+        new_sales = new_sales.withColumn("sale_date", F.coalesce("sale_date", ts_lit(now)))
     s = new_sales.select("request_id", "sale_date",
                          F.date_format(day_of("sale_date"), "yyyyMMdd").alias("day_key"))
-    numbered = running_totals(s, ["day_key"], ["sale_date", "request_id"], {"rank": None})
+    undated = s.where("sale_date is null").select(
+        "request_id", "sale_date", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("sale_number"))
+    numbered = running_totals(s.where("sale_date is not null"), ["day_key"], ["sale_date", "request_id"], {"rank": None})
     j = numbered.join(seq_existing, "day_key", "left")
     seq = F.coalesce(F.col("last_seq"), F.lit(0)) + F.col("rank")
-    return j.select("request_id", "sale_date", seq.alias("seq"),
-                    sale_number(day_of("sale_date"), seq).alias("sale_number"))
+    return j.select("request_id", "sale_date", seq.cast("bigint").alias("seq"),
+                    sale_number(day_of("sale_date"), seq).alias("sale_number")).unionByName(undated)
 
 
 # ---------------------------------------------------------------- I3
@@ -309,22 +314,36 @@ PATCHABLE_SALE_FIELDS = ("customer_name", "customer_email", "customer_phone", "p
                          "notes")
 
 
+def fold_patches(patches: DataFrame) -> DataFrame:
+    """One row per ``request_id`` (the key of the patched row). Of several patches of a key, each field
+    takes the value of the last one that gives it, by the optional ``seq`` column; without ``seq`` (or on
+    equal ones) the largest given value, so the result does not depend on row order."""
+    order = F.col("seq") if "seq" in patches.columns else F.lit(0)
+    flags = [c for c in patches.columns if c.startswith("set_")]
+    fields = [c for c in patches.columns if c not in ("request_id", "seq", *flags)]
+    given = {f: F.coalesce(F.col(f"set_{f}"), F.lit(False)) if f"set_{f}" in flags else F.lit(True) for f in fields}
+    last = [F.max(F.when(given[f], F.struct(order.alias("o"), F.col(f).alias("v"))))["v"].alias(f) for f in fields]
+    return patches.groupBy("request_id").agg(*last, *[F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in flags])
+
+
 def apply_patch(table: DataFrame, patches: DataFrame, fields: tuple, key: str = "id",
                 allowed: "F.Column | None" = None) -> DataFrame:
     """Patch semantics: a field is changed only when the patch row gives it,
     marked by the boolean ``set_<field>`` column ("given as NULL" clears,
-    "not given" keeps). ``allowed`` is an extra condition on the joined row."""
+    "not given" keeps). ``allowed`` is an extra condition on the row as it was
+    before the patch. Several patches of a key are folded first."""
+    patches = fold_patches(patches)
     pcols = [c for c in patches.columns if c != "request_id"]
     p = patches.select(F.col("request_id").alias("_pid"), *[F.col(c).alias(f"_p_{c}") for c in pcols])
     j = table.join(p, table[key] == p._pid, "left")
     hit = F.col("_pid").isNotNull()
     if allowed is not None:
         hit = hit & allowed
-    for f in fields:
-        if f"set_{f}" in pcols:
-            j = j.withColumn(f, F.when(hit & F.coalesce(F.col(f"_p_set_{f}"), F.lit(False)),
-                                       F.col(f"_p_{f}").cast(table.schema[f].dataType)).otherwise(F.col(f)))
-    return j.drop("_pid", *[f"_p_{c}" for c in pcols])
+    patched = {f for f in fields if f"set_{f}" in pcols}
+    return j.select(*[
+        F.when(hit & F.coalesce(F.col(f"_p_set_{f}"), F.lit(False)),
+               F.col(f"_p_{f}").cast(table.schema[f].dataType)).otherwise(F.col(f)).alias(f)
+        if f in patched else F.col(f) for f in table.columns])
 
 
 def patch_sales(sales: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:

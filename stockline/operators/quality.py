@@ -144,7 +144,7 @@ def dq_foreign_keys(products: DataFrame, categories: DataFrame, suppliers: DataF
 def dq_sale_lines(sales: DataFrame, sale_items: DataFrame) -> DataFrame:
     """Line ranges, and every sale has at least one line."""
     rows = row_rules(sale_items, "sale_items", SALE_LINE_CHECKS, line_key())
-    empty = (sales.join(sale_items.select(F.col("sale_id").alias("id")), "id", "left_anti")
+    empty = (sales.join(sale_items.select(F.col("sale_id").alias("id")).distinct(), "id", "left_anti")
              .select(F.lit("sales").alias("table_name"), F.col("id").cast("string").alias("record_key"),
                      F.lit("has_lines").alias("rule")))
     return rows.unionByName(empty)

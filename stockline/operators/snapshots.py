@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stockline import schema as S
 from stockline.functions.exprs import input_price, margin_percent, ts_lit
-from stockline.operators.posting import apply_patch
+from stockline.operators.posting import apply_patch, fold_patches
 from stockline.plans.ordered import running_totals
 
 # Fixed messages (as the reference words them; "ok" is ours).
@@ -107,6 +107,7 @@ def patch_products(products: DataFrame, patches: DataFrame) -> tuple[DataFrame,
     """Change only the given fields (``set_<field>`` flags). When a price
     is given, the margin is recomputed from the new prices if cost > 0,
     else the old margin stays."""
+    patches = fold_patches(patches)
     ids = products.select(F.col("id").alias("request_id"), F.lit(True).alias("_found"))
     r = patches.select("request_id").distinct().join(ids, "request_id", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
@@ -247,8 +248,8 @@ def merge_dimension(dim: DataFrame, products: DataFrame, kind: str, creates: Dat
         new_products = (products.join(d, products[fk] == d._did, "left")
                         .withColumn(fk, F.when(F.col("_did").isNotNull(), F.lit(None).cast("bigint"))
                                     .otherwise(F.col(fk))).drop("_did"))
-    result = results[0]
-    for r in results[1:]:
+    result = dim.sparkSession.createDataFrame([], S.RESULT)
+    for r in results:
         result = result.unionByName(r)
     return out, new_products, result
 

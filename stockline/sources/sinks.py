@@ -65,13 +65,14 @@ def report_for(shop, report_type: str, as_of, start: _dt.date | None = None, end
                group_by: str = "day", inventory_type: str = "stock_summary", category_id=None,
                supplier_id=None, include_inactive: bool = False) -> tuple[DataFrame, DataFrame]:
     """A8 dispatch by report-type prefix: ``sales*`` (default the last 30
-    days by day), ``inventory*`` (default stock_summary), ``product*``.
+    days by day, each bound on its own; by product with its product summary), ``inventory*`` (default stock_summary), ``product*``.
     Returns (data, summary); an unknown type is an error."""
     if report_type.startswith("sales"):
-        if start is None or end is None:
-            start, end = sal.rolling_window(as_of, 30)
+        first, last = sal.rolling_window(as_of, 30)
+        start, end = first if start is None else start, last if end is None else end
         return (sal.sales_by_period(shop.sales, shop.sale_items, start, end, group_by),
-                sal.sales_period_summary(shop.sales, shop.sale_items, start, end))
+                (sal.sales_by_product_summary if group_by == "product" else sal.sales_period_summary)(
+                    shop.sales, shop.sale_items, start, end))
     if report_type.startswith("inventory"):
         return (inv.inventory_report(shop.products, shop.categories, shop.suppliers, inventory_type),
                 inv.inventory_report_summary(shop.products, inventory_type))

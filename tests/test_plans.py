@@ -12,8 +12,10 @@ def _plan(df):
 
 def test_registry_matches_oracle_keys():
     import __spark_entry__ as E
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) == set(q)          # every registered query has a DuckDB oracle
+    from oracle_queries import SQL
+    from stockline.plans.registry import all_queries
+    assert set(SQL) == set(all_queries())          # every query of the reports has a DuckDB oracle
+    assert set(E.oracle_sql()) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 def test_filter_pushdown_and_pruning(spark):
