@@ -96,5 +96,22 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_token_counts, op7_token_files, op8_quality_rules, op9_best_fit_packing, op10_lm_scoring, pipeline)}
 
 
+# The other operators fit models, hash shingles or run tokenizers: SQL cannot express them, and tests/llm
+# compares them with brute-force versions.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op4_embedding_near_dedup": EMBEDDING_SQL}
