@@ -36,14 +36,15 @@ def page(df: DataFrame, order: list, skip: int = 0, limit: int | None = None,
     here the key always orders, so a page is repeatable.
 
     A near page is a top-k (each task keeps skip + limit rows). From
-    ``deep_page`` rows on, rows are numbered by a range-partitioned running
-    count instead (:mod:`stockline.plans.ordered`) and the page is the rows
-    numbered skip+1 .. skip+limit, so no task holds more than its range."""
+    ``deep_page`` rows on, and for an offset without a limit, rows are numbered
+    by a range-partitioned running count instead (:mod:`stockline.plans.ordered`)
+    and the page is the rows numbered skip+1 .. skip+limit, so no task holds more
+    than its range. Both ways give the same rows with the same values."""
     if skip < 0:
         raise ValueError("skip must be >= 0")
     if limit is not None and not 1 <= limit <= 1000:
         raise ValueError("limit must be within 1..1000")
-    if skip and skip + (limit or 0) > deep_page:
+    if skip and (limit is None or skip + limit > deep_page):
         from stockline.plans.ordered import running_totals
         numbered = running_totals(df.withColumn("_all", F.lit(0)), ["_all"], list(order), {"_rn": None})
         keep = F.col("_rn") > F.lit(skip)
@@ -53,8 +54,6 @@ def page(df: DataFrame, order: list, skip: int = 0, limit: int | None = None,
     out = df.orderBy(*order)
     if limit is not None:
         out = out.offset(skip).limit(limit) if skip else out.limit(limit)
-    elif skip:
-        out = out.offset(skip)
     return out
 
 

@@ -19,6 +19,7 @@ from stockline import schema as S
 from stockline.functions.exprs import input_price, margin_percent, ts_lit
 from stockline.operators.posting import apply_patch, fold_patches
 from stockline.plans.ordered import running_totals
+from stockline.session import cut_lineage
 
 # Fixed messages (as the reference words them; "ok" is ours).
 MSG_SKU_EXISTS = "Product with this SKU already exists"
@@ -36,11 +37,39 @@ PRODUCT_DEFAULTS = {"min_stock_level": 10, "max_stock_level": 100, "unit_of_meas
                     "is_active": True, "is_taxable": True, "tax_rate": 18.0, "current_stock": 0}
 
 
-def _first_per_key(requests: DataFrame, key: str) -> DataFrame:
-    """The earliest request (by request_id) of each non-null ``key`` value:
-    a later request with the same new key would hit the unique index."""
-    return (requests.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.min("request_id").alias(f"_first_{key}")))
+def _rivals(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The requests (request_id, *keys) that lose a key to an earlier one: (request_id, _lost), the number in
+    ``keys`` of the first key that an accepted request with a smaller id holds. Pass only requests that no other
+    check refuses: a refused request takes no key from a later one. NULL keys clash with nothing.
+
+    Each round accepts the open requests that come first for all their keys and refuses those that share a
+    key with one of them. The earliest open request always wins, so the rounds end; without rivals the
+    first round decides all."""
+    open_ = cut_lineage(requests.select("request_id", *keys))
+    accepted = None
+    while True:
+        firsts = open_
+        for k in keys:
+            first = open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("request_id").alias(f"_first_{k}"))
+            firsts = firsts.join(first, k, "left")
+        wins = F.lit(True)
+        for k in keys:
+            wins = wins & F.coalesce(F.col(f"_first_{k}") == F.col("request_id"), F.lit(True))
+        firsts = firsts.withColumn("_wins", wins)
+        won = cut_lineage(firsts.where("_wins").select("request_id", *keys))
+        accepted = won if accepted is None else cut_lineage(accepted.unionByName(won))
+        left = firsts.where("not _wins").select("request_id", *keys)
+        for k in keys:
+            left = left.join(won.where(F.col(k).isNotNull()).select(k), k, "left_anti")
+        open_ = cut_lineage(left)
+        if open_.isEmpty():
+            break
+    out = requests.select("request_id", *keys)
+    for n, k in enumerate(keys):
+        held = accepted.where(F.col(k).isNotNull()).select(F.col(k), F.col("request_id").alias(f"_by_{n}"))
+        out = out.join(held, k, "left")
+    lost = F.coalesce(*[F.when(F.col(f"_by_{n}") < F.col("request_id"), F.lit(n)) for n in range(len(keys))])
+    return out.select("request_id", lost.alias("_lost")).where("_lost is not null")
 
 
 def _assign_ids(accepted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -57,7 +86,7 @@ def _assign_ids(accepted: DataFrame, existing: DataFrame) -> DataFrame:
 def add_products(products: DataFrame, categories: DataFrame, suppliers: DataFrame,
                  requests: DataFrame, now: _dt.datetime) -> tuple[DataFrame, DataFrame]:
     """I8: add products. The sku (and barcode, when given) must be new, also
-    within the batch (the first request wins); category / supplier must
+    within the batch (the first accepted request wins); category / supplier must
     exist when given (0 means none). Margin by H1; ``last_restocked = now``
     when the opening stock is positive. Returns (products, result)."""
     r = requests
@@ -72,18 +101,18 @@ def add_products(products: DataFrame, categories: DataFrame, suppliers: DataFram
     bc_taken = products.where(F.col("barcode").isNotNull()).select(F.col("barcode").alias("_bc_old"))
     j = (r.join(sku_taken, r.sku == sku_taken._sku_old, "left")
          .join(bc_taken, r.barcode == bc_taken._bc_old, "left")
-         .join(_first_per_key(r, "sku"), "sku", "left")
-         .join(_first_per_key(r, "barcode"), "barcode", "left")
          .join(categories.select(F.col("id").alias("_cat")), F.col("category_id") == F.col("_cat"), "left")
          .join(suppliers.select(F.col("id").alias("_sup")), F.col("supplier_id") == F.col("_sup"), "left"))
-    sku_dup = F.col("_sku_old").isNotNull() | (F.col("_first_sku") != F.col("request_id"))
-    bc_dup = F.col("barcode").isNotNull() & (F.col("_bc_old").isNotNull()
-                                             | (F.col("_first_barcode") != F.col("request_id")))
+    sku_dup = F.col("_sku_old").isNotNull()
+    bc_dup = F.col("_bc_old").isNotNull()
     cat_bad = (F.coalesce(F.col("category_id"), F.lit(0)) != 0) & F.col("_cat").isNull()
     sup_bad = (F.coalesce(F.col("supplier_id"), F.lit(0)) != 0) & F.col("_sup").isNull()
     message = (F.when(sku_dup, F.lit(MSG_SKU_EXISTS)).when(bc_dup, F.lit(MSG_BARCODE_EXISTS))
                .when(cat_bad, F.lit(MSG_CATEGORY_NOT_FOUND)).when(sup_bad, F.lit(MSG_SUPPLIER_NOT_FOUND)))
     j = j.withColumn("message", message)
+    lost = _rivals(j.where(F.col("message").isNull()), ["sku", "barcode"])
+    j = j.join(lost, "request_id", "left").withColumn("message", F.coalesce(
+        "message", F.when(F.col("_lost") == 0, F.lit(MSG_SKU_EXISTS)).when(F.col("_lost") == 1, F.lit(MSG_BARCODE_EXISTS))))
     result = j.select("request_id", F.col("message").isNull().alias("accepted"),
                       F.coalesce(F.col("message"), F.lit(MSG_OK)).alias("message"))
     ok = j.where(F.col("message").isNull())
@@ -193,7 +222,7 @@ def merge_dimension(dim: DataFrame, products: DataFrame, kind: str, creates: Dat
                     now: _dt.datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add / patch / delete categories (``kind='category'``) or suppliers
     (``kind='supplier'``). A new name must be unused (and a new supplier's
-    email); deleting sets the products' link to NULL (``ON DELETE SET
+    email), also by an earlier accepted request; deleting sets the products' link to NULL (``ON DELETE SET
     NULL``). Returns (dimension, products, result)."""
     if kind not in ("category", "supplier"):
         raise ValueError("kind must be 'category' or 'supplier'")
@@ -204,18 +233,19 @@ def merge_dimension(dim: DataFrame, products: DataFrame, kind: str, creates: Dat
     out = S.conform(dim, schema)
     if creates is not None:
         names = out.select(F.col("name").alias("_old_name"))
-        c = (creates.join(names, creates.name == names._old_name, "left")
-             .join(_first_per_key(creates, "name"), "name", "left"))
-        msg = F.when(F.col("_old_name").isNotNull() | (F.col("_first_name") != F.col("request_id")),
-                     F.lit(MSG_CATEGORY_NAME_EXISTS if kind == "category" else MSG_SUPPLIER_NAME_EXISTS))
-        if kind == "supplier" and "email" in creates.columns:
+        keys = ["name", "email"] if kind == "supplier" and "email" in creates.columns else ["name"]
+        taken = [F.lit(MSG_CATEGORY_NAME_EXISTS if kind == "category" else MSG_SUPPLIER_NAME_EXISTS),
+                 F.lit(MSG_SUPPLIER_EMAIL_EXISTS)]
+        c = creates.join(names, creates.name == names._old_name, "left")
+        msg = F.when(F.col("_old_name").isNotNull(), taken[0])
+        if len(keys) > 1:
             emails = out.where(F.col("email").isNotNull()).select(F.col("email").alias("_old_email"))
-            c = (c.join(emails, c.email == emails._old_email, "left")
-                 .join(_first_per_key(creates, "email"), "email", "left"))
-            msg = msg.when(F.col("email").isNotNull() & (F.col("_old_email").isNotNull()
-                                                         | (F.col("_first_email") != F.col("request_id"))),
-                           F.lit(MSG_SUPPLIER_EMAIL_EXISTS))
+            c = c.join(emails, c.email == emails._old_email, "left")
+            msg = msg.when(F.col("_old_email").isNotNull(), taken[1])
         c = c.withColumn("message", msg)
+        lost = _rivals(c.where(F.col("message").isNull()), keys)
+        c = c.join(lost, "request_id", "left").withColumn("message", F.coalesce(
+            "message", F.when(F.col("_lost") == 0, taken[0]).when(F.col("_lost") == 1, taken[1])))
         results.append(c.select("request_id", F.col("message").isNull().alias("accepted"),
                                 F.coalesce(F.col("message"), F.lit(MSG_OK)).alias("message")))
         good = c.where(F.col("message").isNull())

@@ -5,14 +5,16 @@ task; when one group (one day, one product) holds a third of all rows that
 task holds a third of the data. Here the rows are instead range-partitioned
 on ``(group, order)``: the range partitioner samples the keys and cuts a hot
 group across many partitions, each a contiguous slice of the order. Each
-partition computes its local running sums (pandas, Arrow batches), and the
+partition computes its local running sums (Arrow batches; only group and value
+columns become pandas, all others pass through untouched), and the
 only cross-partition information is what the rows of a group in earlier
 partitions add up to: one summary row per partition, O(partitions), never
 O(rows). The partitioned rows are written to the shared checkpoint folder
 first, so both passes read the same partitions and a lost executor only
 recomputes its own part.
 
-Group columns must be non-null integers or strings (convert dates first).
+Group columns must be integers or strings (convert dates first); a NULL group
+is refused with an error.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import json
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +77,8 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: di
         for pdf in batches:
             if pdf.empty:
                 continue
+            if pdf[group].isna().any(axis=None):
+                raise ValueError(f"running totals need non-null groups: {group}")
             pid = int(pdf["_pid"].iloc[0])
             if first is None:
                 first = _key_json(pdf[group].iloc[0].tolist())
@@ -98,7 +103,8 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: di
                 row[f"all_{o}"] = all_tot[i]
             yield pd.DataFrame([row])
 
-    summary = ranged.mapInPandas(summarize, summary_schema).collect()  # one row per partition
+    needed = list(dict.fromkeys(group + vcols + ["_pid"]))
+    summary = ranged.select(*needed).mapInPandas(summarize, summary_schema).collect()  # one row per partition
     summary = sorted(summary, key=lambda r: r["pid"])
 
     # Carry-in of each partition's first group from the partitions before it.
@@ -117,12 +123,13 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: di
     out_schema = T.StructType(list(ranged.schema.fields)
                               + [T.StructField(o, T.LongType()) for o in outs])
 
-    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry_key = None
         carry_vals = None
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            pdf = batch.select(needed).to_pandas()
             if carry_key is None:
                 pid = int(pdf["_pid"].iloc[0])
                 carry_key = json.loads(first_keys[pid])
@@ -133,14 +140,16 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], values: di
                 mask &= pdf[c] == v
             tail = pdf[group].iloc[-1].tolist()
             new_vals = []
-            for i, (o, vc) in enumerate(zip(outs, vcols)):
+            totals = []
+            for vc, carried in zip(vcols, carry_vals):
                 csum = grouped[vc].cumsum().astype("int64")
-                csum = csum + mask.astype("int64") * int(carry_vals[i])
+                csum = csum + mask.astype("int64") * int(carried)
                 new_vals.append(int(csum.iloc[-1]))
-                pdf[o] = csum if inclusive else csum - pdf[vc].astype("int64")
+                total = csum if inclusive else csum - pdf[vc].astype("int64")
+                totals.append(pa.array(total.to_numpy(), pa.int64()))
             carry_key = [v.item() if hasattr(v, "item") else v for v in tail]
             carry_vals = new_vals
-            yield pdf
+            yield pa.RecordBatch.from_arrays(batch.columns + totals, batch.schema.names + outs)
 
-    result = ranged.mapInPandas(accumulate, out_schema)
+    result = ranged.mapInArrow(accumulate, out_schema)
     return result.drop("_pid", *vcols)

@@ -71,3 +71,26 @@ def test_report_with_one_bound(spark):
     assert data.count() == 1
     _, summary = sinks.report_for(Shop, "sales", dt.date(2001, 8, 1), start=dt.date(1998, 1, 1), group_by="product")
     assert summary.first().top_product == "p"
+
+
+def test_refused_request_takes_no_name(spark):
+    cats, sups = dims(spark)
+    p = products_df(spark, [{"id": 1, "sku": "s", "name": "n", "cost_price": D("1"), "selling_price": D("2"),
+                             "current_stock": 1}])
+    req = spark.createDataFrame(
+        [(1, "a", "x", 99), (2, "a", "y", None), (3, "b", "y", None), (4, "b", "z", None), (5, "a", "z", None)],
+        "request_id long, sku string, barcode string, category_id long").withColumn("name", F.lit("n")).withColumn(
+        "cost_price", F.lit(1.0)).withColumn("selling_price", F.lit(2.0))
+    _, result = snapshots.add_products(p, cats, sups, req, T0)
+    # 1 has no category and takes nothing; 2 takes (a, y); 3 loses y to it, so 4 may take (b, z); 5 loses a.
+    assert {r.request_id: r.message for r in result.collect()} == {
+        1: snapshots.MSG_CATEGORY_NOT_FOUND, 2: "ok", 3: snapshots.MSG_BARCODE_EXISTS, 4: "ok", 5: snapshots.MSG_SKU_EXISTS}
+
+
+def test_deep_page_keeps_large_nullable_integers(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(1, None), (2, big), (3, None), (4, big + 2)], "id long, v long")
+    want = [(2, big), (3, None)]
+    assert [tuple(r) for r in filters.page(df, ["id"], 1, 2).collect()] == want
+    assert [tuple(r) for r in filters.page(df, ["id"], 1, 2, deep_page=1).collect()] == want
+    assert [tuple(r) for r in filters.page(df, ["id"], 1).collect()] == want + [(4, big + 2)]
