@@ -124,9 +124,16 @@ def memberships(rows: DataFrame, model: Classifier) -> DataFrame:
 
 
 def rate_of(steps: list[list[float]]) -> Column:
-    """Rate of a row with posterior p_0, p_1, ... after the given projected-gradient steps, from rate 1.
+    """Rate of a row with posterior p_0, p_1, ... after the given projected-gradient steps, from rate 1."""
+    rate = F.lit(1.0)
+    for step in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(u) * F.col(f"p_{k}") for k, u in enumerate(step)), F.lit(0.0)))
+    return rate
 
-    The steps are data to one fixed expression, so that every round of :func:`solve` runs the same plan."""
+
+def _rate_by_data(steps: list[list[float]]) -> Column:
+    """:func:`rate_of` with the steps as data to one fixed expression: every round of :func:`solve` runs the
+    same plan. It is interpreted, hence for the small table of posteriors only."""
     if not steps:
         return F.lit(1.0)
     rows = ", ".join("array(" + ", ".join(f"{u!r}D" for u in step) + ")" for step in steps)
@@ -149,7 +156,7 @@ def solve(table: DataFrame, targets: list[float], steps: int = STEPS) -> list[li
         inverse = np.linalg.inv(gram + 1e-4 * np.eye(size))
         last = math.inf
         for _ in range(steps):
-            rate = F.col("n_words") * rate_of(taken)
+            rate = F.col("n_words") * _rate_by_data(taken)
             sums = table.agg(*[F.sum(rate * x) for x in p]).first()
             step = inverse @ (np.array(sums, float) / total - np.array(targets))
             miss = float(step @ gram @ step)     # the objective, twice
