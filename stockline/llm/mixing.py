@@ -192,11 +192,12 @@ def _solved(rows, labelled, targets, train_docs):
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` (doc_id, text, ...) in the mix: each row floor(rate) times, and once more with the chance of
     the rest, drawn by a hash of its id and text; rows drawn 0 times go. Columns are those of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    model, steps, _ = _solved(rows, labelled, targets, train_docs)
-    out = memberships(docs.select(F.struct(*docs.columns).alias("_own"), F.col("text").cast("string").alias("text")), model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
+                       F.struct(*docs.columns).alias("_own"))
+    # The rows are stored beside their posteriors: writing them costs less than finding their words again.
+    _, steps, table = _solved(rows, labelled, targets, train_docs)
     draw = F.pmod(F.xxhash64("_own.doc_id", "_own.text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = out.select("_own", rate_of(steps).alias("_rate"))
+    rows = table.select("_own", rate_of(steps).alias("_rate"))
     times = (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int")
     return rows.withColumn("_times", times).where("_times > 0").withColumn(
         "_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"_own.{c}") for c in docs.columns])
