@@ -3,7 +3,8 @@
 The vocabulary (``word_bpe_49k.json``) lower-cases, drops white space and never merges across it, so
 the ids of a text are the ids of its white-space words in turn. A batch's words are dictionary
 encoded, each distinct word is split once by the vocabulary's own pattern, each distinct part goes
-once through the library's BPE model, and ids are gathered by word number. Words with characters
+once through the library's BPE model, and ids are gathered by word number. Ids of remembered words are
+kept as little-endian 32-bit bytes, a fraction of the memory of lists of integers. Words with characters
 outside printable ASCII and the Latin letters U+00C0-U+024F, and texts that spell a special token,
 go through the library's full pipeline unchanged.
 """
@@ -46,22 +47,23 @@ class WordEncoder:
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.byte_letters = {b: 256 + k for k, b in enumerate(odd)}
         self.plain = regex.compile("[!-~À-ÖØ-öø-ɏ]*").fullmatch
-        self.parts: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def part(self, part: str) -> list[int]:
+    def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_letters)
-            ids = [t.id for t in self.model.tokenize(letters)]
+            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
             if len(self.parts) >= CACHE_PARTS:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """Ids of a word whose A-Z are lower-cased."""
         if word.isascii():                      # a word, or a word and one mark: the commonest cases
-            word = word.lower()
             if word.isalpha():
                 return self.part(word)
             if word[:-1].isalpha() and not word[-1].isdigit() and word.isprintable():
@@ -70,8 +72,8 @@ class WordEncoder:
             parts = self.split(word.lower())
             if len(parts) == 1:
                 return self.part(parts[0])
-            return [i for p in parts for i in self.part(p)]
-        return self.text(word)
+            return b"".join([self.part(p) for p in parts])
+        return np.array(self.text(word), "<u4").tobytes()
 
     def text(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -104,8 +106,8 @@ class WordEncoder:
                 if len(known) < CACHE_WORDS:  # the first words are the frequent ones
                     known[w] = x
             ids.append(x)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(sizes) - sizes
         per_token = sizes[codes]
         ends = np.cumsum(per_token)
@@ -115,7 +117,7 @@ class WordEncoder:
 
 
 def encoded_slices(texts: pa.Array, encoder: WordEncoder):
-    """(first row, last row, tokens per row, ids) over slices of a few megabytes."""
+    """(first row, last row, tokens per row, ids as unsigned 32-bit) over slices of a few megabytes."""
     for lo, hi in slices(texts):
         sizes, ids = encoder.encode(texts.slice(lo, hi - lo))
         yield lo, hi, sizes, ids

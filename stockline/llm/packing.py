@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.bpe import WordEncoder, encoded_slices
-from stockline.llm.storage import stored
+from stockline.llm.storage import TEXT_ROWS, lean, rows_per_batch, stored
 
 CAPACITY = 4096
 OPEN_BINS = 1024
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-                       ).mapInArrow(run, PIECES)
+                       ).mapInArrow(lean(run), PIECES)
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
@@ -128,4 +128,6 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
 
     A null or empty text is one piece holding the end id. Null ids stay null; repeated rows are
     packed once each. An empty table gives an empty result. Extra columns are not read."""
-    return pack(stored(pieces(docs, vocabulary, end_id, capacity, text_col, id_col), "pieces"), capacity, open_bins)
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS):
+        table = stored(pieces(docs, vocabulary, end_id, capacity, text_col, id_col), "pieces")
+    return pack(table, capacity, open_bins)

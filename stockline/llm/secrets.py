@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockline.llm.storage import lean
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -141,8 +143,8 @@ def _scan(docs, ranks_path, text_col, id_col, mark):
 
     if mark is None:
         return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-                           ).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
-    out = docs.mapInArrow(clean, docs.schema)
+                           ).mapInArrow(lean(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    out = docs.mapInArrow(lean(clean), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

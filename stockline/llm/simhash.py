@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.components import connected_components
-from stockline.llm.storage import partitions, stored
+from stockline.llm.storage import TEXT_ROWS, lean, partitions, rows_per_batch, stored
 
 WORDS_PER_SHINGLE = 4
 MAX_BITS = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-                       ).mapInArrow(run, "id long, fp long")
+                       ).mapInArrow(lean(run), "id long, fp long")
 
 
 # ---- the trie self-join -----------------------------------------------------------------------
@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     differing bits, itself included. Null and empty texts have fingerprint zero, linked like any
     other. A row with a null id takes part in no link; its component is null. Repeated ids give one
     row each. An empty table gives an empty result. Extra columns are not read."""
-    fps = stored(fingerprints(docs, text_col, id_col, shingle_words), "fingerprints")
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS):
+        fps = stored(fingerprints(docs, text_col, id_col, shingle_words), "fingerprints")
     reps = stored(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "fingerprint-classes")
     found = connected_components(links(reps, max_bits))
     # Two representatives may share an id (a repeated id with different texts): such rows are one node.

@@ -7,8 +7,10 @@ cuts the lineage, so no later failure repeats the work before it. The folder is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,18 @@ def crc_bucket(doc_id, modulus: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+TEXT_ROWS = 2000     # whole texts handed to Python at a time: some megabytes
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` (batches to batches) that gives Arrow's unused memory back at its end: the Python worker lives on
+    and takes later tasks beside the executor's own memory."""
+    def leaned(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return leaned
+
+
 @contextmanager
 def rows_per_batch(spark: SparkSession, rows: int):
     """Within it, jobs hand at most so many rows at a time to Python: for rows of several megabytes."""

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockline.llm.storage import lean
 from stockline.llm.words import slices
 
 MARK = "▁"
@@ -125,4 +126,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
                      pa.array(np.where(empty, 0.0, scores))], ["doc_id", "n_tokens", "best_score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id long, n_tokens long, best_score double")
+                       ).mapInArrow(lean(run), "doc_id long, n_tokens long, best_score double")

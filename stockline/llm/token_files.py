@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stockline.llm.bpe import WordEncoder, encoded_slices
 from stockline.llm.files import mapped, replaced
-from stockline.llm.storage import partitions
+from stockline.llm.storage import TEXT_ROWS, lean, partitions, rows_per_batch
 
 PART = "part int, n_docs long, n_tokens long"
 
@@ -71,7 +71,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "id", "tie").sortWithinPartitions(
         "id", "tie", "text")
-    found = sorted(rows.select("id", "text").mapInArrow(run, PART + ", dtype string").collect())
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS):
+        found = sorted(rows.select("id", "text").mapInArrow(lean(run), PART + ", dtype string").collect())
     bases = accumulate((r.n_tokens for r in found), initial=0)
     index = [{**r.asDict(), "base": base} for r, base in zip(found, bases)]
     with replaced(f"{folder}/index.json") as out:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.storage import drop_stored, stored
+from stockline.llm.storage import drop_stored, lean, stored
 from stockline.llm.words import encoded_words, slices
 
 TRAIN_DOCS = 200_000      # bound of the labelled sample
@@ -139,7 +139,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(forms)), pa.array(bad), pa.array(all_ - bad)],
                                                  ["word", "n_toxic", "n_clean"])
 
-    rows = docs.select("text", "toxic").mapInArrow(run, "word string, n_toxic long, n_clean long")
+    rows = docs.select("text", "toxic").mapInArrow(lean(run), "word string, n_toxic long, n_clean long")
     return rows.where("word != ''").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
@@ -218,7 +218,7 @@ def _segment_table(docs: DataFrame, model: Model) -> DataFrame:
                     [batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(best, pa.float64()),
                      pa.array(evidence, pa.float64())], ["toxic", "n", "best", "evidence"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "toxic int, n long, best double, evidence double")
+    return docs.select("text", "toxic").mapInArrow(lean(run), "toxic int, n long, best double, evidence double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                      pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array(n, pa.int64()),
                      pa.array(found, passages)], ["doc_id", "score", "predicted", "n_words", "passages"])
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(lean(run), schema)
 
 
 def score_column(model: Model):
