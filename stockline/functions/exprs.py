@@ -29,6 +29,13 @@ def date_lit(d: _dt.date | str) -> Column:
     return F.lit(str(d)).cast("date")
 
 
+def stamp_updated(df, changed, now):
+    """``df`` with ``updated_at = now`` where ``changed``; as it is without ``now`` or without the column."""
+    if now is None or "updated_at" not in df.columns:
+        return df
+    return df.withColumn("updated_at", F.when(changed, ts_lit(now)).otherwise(F.col("updated_at")))
+
+
 def ts_lit(t: _dt.date | _dt.datetime | str) -> Column:
     """Wall-clock timestamp literal (``timestamp_ntz``), never shifted by the
     session time zone. A date means its midnight."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.functions.exprs import (auto_payment_status, cancel_payment_status, day_of,
-                                       line_amounts, sale_number, sale_number_seq, store_money, ts_lit)
+                                       line_amounts, sale_number, sale_number_seq, stamp_updated, store_money, ts_lit)
 from stockline.plans.ordered import running_totals
 from stockline.session import cut_lineage
 
@@ -130,11 +130,13 @@ def stock_check(lines: DataFrame, products: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- I4
 
 def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
-               screening_rounds: int = 3, chunk_sales: int = 50000) -> tuple[DataFrame, DataFrame]:
+               screening_rounds: int = 3, chunk_sales: int = 50000,
+               now: "_dt.datetime | None" = None) -> tuple[DataFrame, DataFrame]:
     """I4: post a batch of sales against stock, all-or-nothing per sale, in
     arrival order (sale_date, then request_id). A refused sale takes nothing,
     so later sales may still get the stock. Every status lowers stock, drafts
-    included. Returns ``(new products, result frame)``.
+    included. Returns ``(new products, result frame)``. With ``now``, products whose stock
+    changes get it as ``updated_at``.
 
     Exact and set-based, in two phases. Lines are collapsed to (sale,
     product, qty) (same-product lines of a sale are summed, which equals the
@@ -253,8 +255,8 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
              .groupBy("product_id").agg(F.sum("qty").alias("_taken")))
     new_products = (products.join(taken, products.id == taken.product_id, "left")
                     .withColumn("current_stock", (F.col("current_stock")
-                                                  - F.coalesce(F.col("_taken"), F.lit(0))).cast("int"))
-                    .drop("product_id", "_taken"))
+                                                  - F.coalesce(F.col("_taken"), F.lit(0))).cast("int")))
+    new_products = stamp_updated(new_products, F.col("_taken").isNotNull(), now).drop("product_id", "_taken")
     # Message of a refused sale: its first product (by id) that cannot fit
     # with the stock left by the sales accepted before it.
     final_low = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
@@ -276,11 +278,13 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
 # ---------------------------------------------------------------- I5
 
 def cancel_sales(sales: DataFrame, sale_items: DataFrame, products: DataFrame,
-                 requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 requests: DataFrame, now: "_dt.datetime | None" = None
+                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cancel the requested sales (``request_id`` = sale id). Not if
     missing or already cancelled; otherwise every line goes back to stock,
     status becomes cancelled and payment status refunded (if paid) or
-    pending. Drafts can be cancelled too. Returns (sales, products, result)."""
+    pending. Drafts can be cancelled too. With ``now``, changed rows get it as ``updated_at``.
+    Returns (sales, products, result)."""
     req = requests.select(F.col("request_id").alias("id")).distinct()
     cur = sales.select("id", F.col("status").alias("_old"))
     r = req.join(cur, "id", "left")
@@ -295,14 +299,14 @@ def cancel_sales(sales: DataFrame, sale_items: DataFrame, products: DataFrame,
                                                       cancel_payment_status("payment_status"))
                              .otherwise(F.col("payment_status")))
                  .withColumn("status", F.when(F.col("_cid").isNotNull(), F.lit("cancelled"))
-                             .otherwise(F.col("status")))
-                 .drop("_cid"))
+                             .otherwise(F.col("status"))))
+    new_sales = stamp_updated(new_sales, F.col("_cid").isNotNull(), now).drop("_cid")
     back = (sale_items.join(go.select(F.col("_cid").alias("sale_id")), "sale_id", "left_semi")
             .groupBy("product_id").agg(F.sum("quantity").alias("_back")))
     new_products = (products.join(back, products.id == back.product_id, "left")
                     .withColumn("current_stock", (F.col("current_stock")
-                                                  + F.coalesce(F.col("_back"), F.lit(0))).cast("int"))
-                    .drop("product_id", "_back"))
+                                                  + F.coalesce(F.col("_back"), F.lit(0))).cast("int")))
+    new_products = stamp_updated(new_products, F.col("_back").isNotNull(), now).drop("product_id", "_back")
     return new_sales, new_products, result
 
 
@@ -327,11 +331,12 @@ def fold_patches(patches: DataFrame) -> DataFrame:
 
 
 def apply_patch(table: DataFrame, patches: DataFrame, fields: tuple, key: str = "id",
-                allowed: "F.Column | None" = None) -> DataFrame:
+                allowed: "F.Column | None" = None, now: "_dt.datetime | None" = None) -> DataFrame:
     """Patch semantics: a field is changed only when the patch row gives it,
     marked by the boolean ``set_<field>`` column ("given as NULL" clears,
     "not given" keeps). ``allowed`` is an extra condition on the row as it was
-    before the patch. Several patches of a key are folded first."""
+    before the patch. Several patches of a key are folded first. With ``now``, patched rows get it as
+    ``updated_at``."""
     patches = fold_patches(patches)
     pcols = [c for c in patches.columns if c != "request_id"]
     p = patches.select(F.col("request_id").alias("_pid"), *[F.col(c).alias(f"_p_{c}") for c in pcols])
@@ -340,13 +345,14 @@ def apply_patch(table: DataFrame, patches: DataFrame, fields: tuple, key: str =
     if allowed is not None:
         hit = hit & allowed
     patched = {f for f in fields if f"set_{f}" in pcols}
+    j = stamp_updated(j, hit, now)
     return j.select(*[
         F.when(hit & F.coalesce(F.col(f"_p_set_{f}"), F.lit(False)),
                F.col(f"_p_{f}").cast(table.schema[f].dataType)).otherwise(F.col(f)).alias(f)
         if f in patched else F.col(f) for f in table.columns])
 
 
-def patch_sales(sales: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_sales(sales: DataFrame, patches: DataFrame, now: "_dt.datetime | None" = None) -> tuple[DataFrame, DataFrame]:
     """Patch header fields of draft sales; completed / cancelled sales are
     refused. Changing status to completed has no stock or payment effect."""
     cur = sales.select(F.col("id").alias("request_id"), F.col("status").alias("_old"))
@@ -357,7 +363,7 @@ def patch_sales(sales: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFr
                        .when(~ok, F.format_string(MSG_CANNOT_UPDATE, F.col("_old")))
                        .otherwise(F.lit(MSG_UPDATED)).alias("message"))
     allowed = ~F.col("status").isin("completed", "cancelled")
-    new_sales = apply_patch(sales, patches, PATCHABLE_SALE_FIELDS, "id", allowed)
+    new_sales = apply_patch(sales, patches, PATCHABLE_SALE_FIELDS, "id", allowed, now)
     return new_sales, result
 
 

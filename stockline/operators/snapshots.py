@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline import schema as S
-from stockline.functions.exprs import input_price, margin_percent, ts_lit
+from stockline.functions.exprs import input_price, margin_percent, stamp_updated, ts_lit
 from stockline.operators.posting import apply_patch, fold_patches
 from stockline.plans.ordered import running_totals
 from stockline.session import cut_lineage
@@ -132,7 +132,8 @@ PATCHABLE_PRODUCT_FIELDS = ("sku", "name", "description", "category_id", "suppli
                             "is_active", "is_taxable", "tax_rate")
 
 
-def patch_products(products: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def patch_products(products: DataFrame, patches: DataFrame,
+                   now: _dt.datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """Change only the given fields (``set_<field>`` flags). When a price
     is given, the margin is recomputed from the new prices if cost > 0,
     else the old margin stays."""
@@ -152,7 +153,7 @@ def patch_products(products: DataFrame, patches: DataFrame) -> tuple[DataFrame,
     for c in ("cost_price", "selling_price"):   # H21
         if c in patches.columns:
             patches = patches.withColumn(c, input_price(c))
-    patched = apply_patch(products, patches, PATCHABLE_PRODUCT_FIELDS, "id")
+    patched = apply_patch(products, patches, PATCHABLE_PRODUCT_FIELDS, "id", now=now)
     patched = patched.join(marks, patched.id == marks._mid, "left")
     new_margin = margin_percent("selling_price", "cost_price")
     patched = patched.withColumn("margin", F.when(
@@ -177,8 +178,8 @@ def _stock_changes(products: DataFrame, changes: DataFrame, now: _dt.datetime):
                     .withColumn("current_stock", (F.col("current_stock") + F.coalesce(F.col("_q"), F.lit(0)))
                                 .cast("int"))
                     .withColumn("last_restocked", F.when(F.col("_q") > 0, ts_lit(now))
-                                .otherwise(F.col("last_restocked")))
-                    .drop("_pid", "_q"))
+                                .otherwise(F.col("last_restocked"))))
+    new_products = stamp_updated(new_products, F.col("_q").isNotNull(), now).drop("_pid", "_q")
     return new_products, j
 
 
@@ -202,12 +203,14 @@ def bulk_stock(products: DataFrame, changes: DataFrame, now: _dt.datetime) -> tu
 
 # ---------------------------------------------------------------- I12
 
-def deactivate_products(products: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def deactivate_products(products: DataFrame, requests: DataFrame,
+                        now: _dt.datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """Soft delete (``is_active = false``); missing products refused."""
     req = requests.select(F.col("request_id").alias("_rid")).distinct()
     new_products = (products.join(req, products.id == req._rid, "left")
                     .withColumn("is_active", F.when(F.col("_rid").isNotNull(), F.lit(False))
-                                .otherwise(F.col("is_active"))).drop("_rid"))
+                                .otherwise(F.col("is_active"))))
+    new_products = stamp_updated(new_products, F.col("_rid").isNotNull(), now).drop("_rid")
     found = req.join(products.select(F.col("id").alias("_rid"), F.lit(True).alias("_f")), "_rid", "left")
     ok = F.coalesce(F.col("_f"), F.lit(False))
     result = found.select(F.col("_rid").alias("request_id"), ok.alias("accepted"),
@@ -266,7 +269,7 @@ def merge_dimension(dim: DataFrame, products: DataFrame, kind: str, creates: Dat
         results.append(r.select("request_id", ok.alias("accepted"),
                                 F.when(ok, F.lit(MSG_OK)).otherwise(F.lit(not_found)).alias("message")))
         fields = tuple(f.name for f in schema.fields if f.name != "id")
-        out = apply_patch(out, patches, fields, "id")
+        out = apply_patch(out, patches, fields, "id", now=now)
     new_products = products
     if deletes is not None:
         d = deletes.select(F.col("request_id").alias("_did")).distinct()

@@ -94,3 +94,25 @@ def test_deep_page_keeps_large_nullable_integers(spark):
     assert [tuple(r) for r in filters.page(df, ["id"], 1, 2).collect()] == want
     assert [tuple(r) for r in filters.page(df, ["id"], 1, 2, deep_page=1).collect()] == want
     assert [tuple(r) for r in filters.page(df, ["id"], 1).collect()] == want + [(4, big + 2)]
+
+
+def test_changed_rows_get_the_stamp(spark):
+    now = dt.datetime(2001, 8, 2, 9)
+    sales = sales_df(spark, [{"id": k, "status": "draft", "sale_date": T0} for k in (1, 2)])
+    items = items_df(spark, [{"sale_id": 1, "product_id": 1, "quantity": 2}])
+    products = products_df(spark, [{"id": k, "sku": f"s{k}", "name": "n", "cost_price": D("1"), "selling_price": D("2"),
+                                    "current_stock": 5} for k in (1, 2)])
+    one = spark.createDataFrame([(1,)], "request_id long")
+    note = spark.createDataFrame([(1, "n", True)], "request_id long, notes string, set_notes boolean")
+    name = spark.createDataFrame([(1, "b", True)], "request_id long, name string, set_name boolean")
+    change = spark.createDataFrame([(1, 1, 3), (2, 2, -9)], "request_id long, product_id long, quantity int")
+    line = spark.createDataFrame([(7, 1, 2), (8, 2, 6)], "request_id long, product_id long, quantity int")
+    header = spark.createDataFrame([(7, T0), (8, T0)], "request_id long, sale_date timestamp_ntz")
+    cancelled, restocked, _ = posting.cancel_sales(sales, items, products, one, now)
+    frames = [cancelled, restocked, posting.patch_sales(sales, note, now)[0], snapshots.patch_products(products, name, now)[0],
+              snapshots.bulk_stock(products, change, now)[0], snapshots.deactivate_products(products, one, now)[0],
+              posting.post_sales(line, header, products, now=now)[0]]
+    for frame in frames:
+        assert {r.id: r.updated_at for r in frame.collect()} == {1: now, 2: None}
+    unstamped = posting.patch_sales(sales, note)[0]
+    assert {r.updated_at for r in unstamped.collect()} == {None}
