@@ -4,8 +4,8 @@ Symbols are the A-Z lower-cased white-space words of a text and one end token; a
 up to ``DEPTH`` preceding words of the same document.
 
 * Counting is level by level over all training tokens: a sequence of k words can only be frequent if the
-  sequences without its first and without its last word are. Those with at least ``MIN_SHARE`` of all
-  training tokens go on; they are the contexts and the next symbols the tree may hold.
+  sequences without its first and without its last word are. Those seen at least ``MIN_COUNT`` times, the same
+  number at every corpus size, go on; they are the contexts and the next symbols of the tree.
 * A context is retained if its next-symbol distribution diverges from that of the context one word shorter by
   at least ``MIN_DIVERGENCE`` nats more than a sample of its size does by chance.
 * Distributions are smoothed by absolute discounting: what is taken from the seen symbols goes to the
@@ -13,11 +13,13 @@ up to ``DEPTH`` preceding words of the same document.
   the one class of unknown words, so every text has a probability.
 * Each token is scored in the longest retained suffix of what precedes it.
 
-At most ``1 / MIN_SHARE`` sequences of each length can be that frequent, at any corpus size: that bounds
-the tree, which alone is sent to every task. Word counts are not bounded; they stay in tables. Documents are
-re-coded once into blocks (the distinct words of a few megabytes of text, and word numbers in text order),
-so counting words shuffles a row per distinct word of a block, not one per token; the counts go back to
-the blocks as one small file each in the shared folder, and the blocks themselves are never shuffled.
+The tree grows with the corpus and is never collected or sent out: its sequences are tables keyed by a 64-bit hash
+(sequences whose hashes are equal would be counted as one), counts and divergences are map-side combined
+aggregates. Documents are re-coded once into blocks (the distinct words of a few megabytes of text, and word
+numbers in text order). A block gives each of its distinct sequences once to a level's counts and gets the count
+and probability of the frequent ones back as a file in the shared folder; the blocks themselves are never shuffled.
+
+:class:`Tree` is the same model in memory, for small vocabularies; the tests compare the two.
 """
 
 from __future__ import annotations
@@ -27,17 +29,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockline.llm.files import mapped, replaced
-from stockline.llm.storage import partitions, rows_per_batch, stored
+from stockline.llm.storage import drop_stored, lean, partitions, rows_per_batch, stored
 from stockline.llm.words import encoded_words, slices
 from stockline.session import scratch_path
 
 DEPTH = 3
-MIN_SHARE = 2e-6
+MIN_COUNT = 2
 MIN_DIVERGENCE = 0.02
 DISCOUNT = 0.75
 BLOCK_BYTES = 4 << 20
@@ -211,18 +212,6 @@ def blocks(docs: DataFrame) -> DataFrame:
              "words array<string>, train array<long>")
 
 
-def _block(batch, k):
-    """(tokens per document, codes, held, words) of the k-th block of a batch."""
-    cell = lambda name: batch.column(batch.schema.get_field_index(name))[k]
-    sizes, codes = (np.frombuffer(cell(x).as_py(), "<i4").astype(np.int64) for x in ("sizes", "codes"))
-    return sizes, codes, cell("held").values.to_numpy(zero_copy_only=False).astype(bool), cell("words").values
-
-
-def _numbers(frequent: pa.Array, words: pa.Array) -> np.ndarray:
-    """Numbers of a block's words among the frequent ones; -1 for others."""
-    return pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def counted_words(table: DataFrame) -> DataFrame:
     """(block, at, c, word) of every distinct word of every block: its place and its training count in the
     whole corpus. The word itself stands in the first of its rows only."""
@@ -234,66 +223,215 @@ def counted_words(table: DataFrame) -> DataFrame:
         "block", "at", "c", F.when(F.col("turn") == 1, F.col("word")).alias("word"))
 
 
-def write_counts(counted: DataFrame, folder: str) -> None:
-    """One file per block with its words' counts (int64, in the order of its words)."""
+def write_blocks(rows: DataFrame, order: str, columns: dict[str, str], folder: str) -> None:
+    """One file per block of ``rows`` (block, ...): its ``columns`` (name: numpy type of 8 bytes) one after the
+    other, sorted by ``order``. A block without rows has no file."""
 
     def run(batches):
-        def flush(block, counts):
+        def flush(block, parts):
             with replaced(f"{folder}/{block}") as out:
-                out.write(counts.astype("<i8").tobytes())
+                for column, kind in zip(zip(*parts), columns.values()):
+                    out.write(np.concatenate(column).astype(kind).tobytes())
 
         block, parts = None, []
         for batch in batches:
-            blocks_of, counts = (batch.column(k).to_numpy() for k in (0, 1))
+            blocks_of, *cells = (batch.column(k).to_numpy() for k in range(batch.num_columns))
             edge = np.nonzero(np.concatenate(([True], blocks_of[1:] != blocks_of[:-1], [True])))[0]
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if blocks_of[lo] != block:
                     if parts:
-                        flush(block, np.concatenate(parts))
+                        flush(block, parts)
                     block, parts = int(blocks_of[lo]), []
-                parts.append(counts[lo:hi].copy())
+                parts.append([x[lo:hi].copy() for x in cells])
         if parts:
-            flush(block, np.concatenate(parts))
+            flush(block, parts)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["done"])
 
-    rows = counted.select("block", "at", "c").repartition(partitions(counted.sparkSession), "block")
-    rows.sortWithinPartitions("block", "at").select("block", "c").mapInArrow(run, "done long").count()
+    rows = rows.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block", order)
+    rows.select("block", *columns).mapInArrow(lean(run), "done long").count()
 
 
-def fit(table: DataFrame, vocabulary: DataFrame, ends: int, n: int, v: int, discount: float,
-        depth: int = DEPTH, min_share: float = MIN_SHARE) -> Tree:
-    """PST over the blocks ``table`` with the word counts ``vocabulary``; one pass over the blocks a level."""
-    floor = max(2.0, min_share * n)
-    frequent = vocabulary.where(F.col("c") >= floor).orderBy("word").collect()   # at most 1 / min_share rows
-    counts = np.array([r.c for r in frequent] + [ends], np.int64)
-    tree = Tree({r.word: k for k, r in enumerate(frequent)}, counts, root_probability(counts, n, v, discount))
-    for _ in range(depth):
+def _file(folder: str, block: int, columns: int) -> list[np.ndarray]:
+    """The columns of a block's file as int64."""
+    try:
+        with mapped(f"{folder}/{block}", "<i8") as cells:
+            return list(np.array(cells).reshape(columns, -1))
+    except FileNotFoundError:
+        return [np.zeros(0, np.int64)] * columns
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of ``wanted`` in the sorted ``keys``, whether they are there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of the sequences context + word."""
+    z = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.int64)
+
+
+END_HASH = 0x5EED_0E4D
+
+
+@dataclass
+class Facts:
+    """What every task knows of the corpus: a few numbers and the folders of the blocks' files."""
+    n: int
+    v: int
+    discount: float
+    ends: int
+    floor: float
+    counts: str                                         # words' counts
+    levels: list[str] = field(default_factory=list)     # frequent sequences of 2, 3, ... words
+    rests: str | None = None                            # weights of the shorter context in retained contexts
 
-        def run(batches, tree=tree):
-            frequent = pa.array(list(tree.words), pa.string())
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    sizes, codes, held, words = _block(batch, k)
-                    codes = _numbers(frequent, words)[codes] if len(words) else codes
-                    tokens, starts = with_ends(codes, sizes, tree.end)
-                    keys, many = candidates(tree, tokens, starts, np.repeat(~held, sizes + 1))
-                    del words, codes, tokens
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(many, pa.int64())], ["key", "n"])
-
-        with rows_per_batch(table.sparkSession, 1):
-            found = table.select("sizes", "codes", "held", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(
-                F.sum("n").alias("n")).where(F.col("n") >= floor).collect()
-        add_level(tree, np.array([r.key for r in found], np.int64), np.array([r.n for r in found], np.int64))
-        if not found:
+
+@dataclass
+class Walk:
+    """The tokens of a block and the longest sequences that end at each."""
+    starts: np.ndarray
+    word: np.ndarray       # hash
+    count: np.ndarray      # of the word
+    key: np.ndarray        # hash of the sequence
+    valid: np.ndarray      # it is frequent
+    many: np.ndarray       # its count
+    p: np.ndarray          # probability of its last word after the others
+    gaps: list[np.ndarray]  # per level, frequent contexts before which the token makes no frequent sequence
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the sequence before each token, whether it is a frequent one of the same document)."""
+        known = np.concatenate(([False], self.valid[:-1]))
+        known[self.starts] = False
+        return _shift(self.key, self.starts), known
+
+
+def walk(block: int, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray, facts: Facts) -> Walk:
+    c = np.append(_file(facts.counts, block, 1)[0] if len(hashes) else np.zeros(0, np.int64), facts.ends)
+    tokens, starts = with_ends(codes, sizes, len(hashes))
+    word, count = np.append(hashes, END_HASH)[tokens], c[tokens]
+    out = Walk(starts, word, count, word, count >= facts.floor, count,
+               root_probability(c, facts.n, facts.v, facts.discount)[tokens], [])
+    rest_keys, rests = _file(facts.rests, block, 2) if facts.rests else (np.zeros(0, np.int64),) * 2
+    for folder in facts.levels:
+        context, known = out.contexts()
+        keys, many, p = _file(folder, block, 3)
+        out.key = _longer(context, word)
+        at, there = _at(keys, out.key)
+        out.valid = out.valid & known & there
+        gap = known & ~out.valid
+        out.gaps.append(np.unique(context[gap]))
+        if len(rest_keys):
+            place, there = _at(rest_keys, context)
+            out.p = np.where(gap & there, rests.view(np.float64)[place] * out.p, out.p)
+        if len(keys):
+            out.p = np.where(out.valid, p.view(np.float64)[at], out.p)
+            out.many = np.where(out.valid, many[at], 0)
+    return out
+
+
+def _walks(batches, facts: Facts):
+    """(batch, row, block, sizes, held, walk) of every block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            cell = lambda name: batch.column(batch.schema.get_field_index(name))[k]  # noqa: B023, E731
+            sizes, codes = (np.frombuffer(cell(x).as_py(), "<i4").astype(np.int64) for x in ("sizes", "codes"))
+            hashes = cell("hashes").values.to_numpy(zero_copy_only=False).astype(np.int64)
+            held = cell("held").values.to_numpy(zero_copy_only=False).astype(bool)
+            block = cell("block").as_py()
+            yield batch, k, block, sizes, held, walk(block, sizes, codes, hashes, facts)
+
+
+def sequences(table: DataFrame, facts: Facts) -> DataFrame:
+    """(block, key, context, n, big, shorter) of every block's distinct sequences one word longer than the levels in
+    ``facts``: training count in the block, count of the context, probability after the context one word shorter."""
+
+    def run(batches):
+        for _, _, block, sizes, held, state in _walks(batches, facts):
+            context, known = state.contexts()
+            at = np.nonzero(known & state.valid)[0]
+            key, first, which = np.unique(_longer(context[at], state.word[at]), return_index=True, return_inverse=True)
+            n = np.bincount(which, np.repeat(~held, sizes + 1)[at], len(key)).astype(np.int64)
+            first = at[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(context[first]), pa.array(n),
+                 pa.array(state.many[first - 1]), pa.array(state.p[first])],
+                ["block", "key", "context", "n", "big", "shorter"])
+
+    return table.mapInArrow(lean(run), "block long, key long, context long, n long, big long, shorter double")
+
+
+def add_tables(table: DataFrame, facts: Facts) -> DataFrame | None:
+    """Counts the next level, gives it back to the blocks (a folder more in ``facts``) and returns its retained
+    contexts (key, rest); None if no sequence is frequent."""
+    found = sequences(table, facts)
+    grams = stored(found.where("n > 0").groupBy("key").agg(
+        F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("context", "big", "shorter")]
+    ).where(F.col("n") >= facts.floor), "lm-sequences")
+    if grams.isEmpty():
+        return None
+    # Hot contexts are combined map-side; their rows meet the one row of the context in joins that can be split.
+    sums = grams.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum("shorter").alias("mass"),
+                                        F.first("big").alias("all")).select(
+        "context", "kinds", "mass", "all",
+        F.greatest(1.0 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("all"), F.lit(1e-12)).alias("rest"))
+    sums = stored(sums, "lm-contexts")
+    own = (F.col("n") - DISCOUNT) / F.col("big")
+    p = own + F.col("rest") * F.col("shorter")
+    gains = grams.join(sums.select("context", "rest").hint("merge"), "context").groupBy("context").agg(
+        F.sum(p * F.log(p / F.col("shorter"))).alias("gain"))
+    unseen = F.greatest(1.0 - F.col("mass"), F.lit(0.0))
+    gain = F.col("gain") + F.col("rest") * unseen * F.log("rest") - F.col("kinds") / (2.0 * F.col("all"))
+    # Rounded: the order of a sum decides nothing.
+    contexts = stored(sums.join(gains.hint("merge"), "context").where(F.round(gain, 9) >= MIN_DIVERGENCE)
+                      .select(F.col("context").alias("key"), "rest"), "lm-retained")
+    level = grams.join(contexts.withColumnRenamed("key", "context").hint("merge"), "context", "left").select(
+        "key", "n", F.coalesce(p, F.col("shorter")).alias("p"))
+    folder = scratch_path(table.sparkSession, "lm-level")
+    write_blocks(found.select("block", "key").join(level.hint("merge"), "key"), "key",
+                 {"key": "<i8", "n": "<i8", "p": "<f8"}, folder)
+    facts.levels.append(folder)
+    drop_stored(grams)
+    drop_stored(sums)
+    return contexts
+
+
+def fit(table: DataFrame, facts: Facts, depth: int = DEPTH) -> None:
+    """Counts the levels over the blocks ``table`` and gives each block what it needs to score its tokens."""
+    retained = []
+    for _ in range(depth):
+        contexts = add_tables(table, facts)
+        if contexts is None:
             break
-    return tree
+        retained.append(contexts)
+    if not retained:
+        return
+
+    def run(batches):
+        for _, _, block, _, _, state in _walks(batches, facts):
+            keys = np.unique(np.concatenate(state.gaps))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), pa.array(keys)], ["block", "key"])
 
+    every = retained[0]
+    for contexts in retained[1:]:
+        every = every.unionByName(contexts)
+    folder = scratch_path(table.sparkSession, "lm-rests")
+    write_blocks(table.mapInArrow(lean(run), "block long, key long").join(every.hint("merge"), "key"), "key",
+                 {"key": "<i8", "rest": "<f8"}, folder)
+    facts.rests = folder
 
-def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = MIN_SHARE,
+
+def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = 0.0,
            text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``held_out`` is a boolean column: rows the counts and the tree do not learn from. Null texts are empty
+    ``held_out`` is a boolean column: rows the counts and the tree do not learn from. ``min_share`` asks more than
+    ``MIN_COUNT`` occurrences of a sequence: that share of all training tokens. Null texts are empty
     (the end token alone); null ids stay null; repeated rows are scored once each; an empty table gives an
     empty result. Without training rows every count is 0 and ``score`` is 0. Extra columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"),
@@ -301,41 +439,30 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = MIN
     spark = docs.sparkSession
     table = stored(blocks(rows), "lm-blocks")
     counted = stored(counted_words(table), "lm-words")
-    vocabulary = counted.where("word is not null")
     counts_folder = scratch_path(spark, "lm-counts")
-    write_counts(counted, counts_folder)
+    write_blocks(counted, "at", {"c": "<i8"}, counts_folder)
     ends = int(table.select(F.explode("held").alias("h")).agg(F.sum(F.expr("int(not h)"))).first()[0] or 0)
-    n, v, once, twice = vocabulary.agg(
+    n, v, once, twice = counted.where("word is not null").agg(
         F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
     n, v = int(n) + ends, int(v) + (ends > 0)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    tree = fit(table, vocabulary, ends, n, v, discount, depth, min_share)
+    facts = Facts(n, v, discount, ends, max(float(MIN_COUNT), min_share * n), counts_folder)
+    drop_stored(counted)
+    table = table.select("block", "ids", "held", "sizes", "codes", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
     def finish(batches):
         log_all = math.log10(n + 0.1 * (v + 1))
-        frequent = pa.array(list(tree.words), pa.string())
-        for batch in batches:
-            for k in range(batch.num_rows):
-                sizes, codes, held, words = _block(batch, k)
-                block = batch.column(batch.schema.get_field_index("block"))[k].as_py()
-                if len(words):
-                    with mapped(f"{counts_folder}/{block}", "<i8") as own:
-                        c = np.append(own, ends)
-                else:
-                    c = np.array([ends], np.int64)
-                tokens, starts = with_ends(codes, sizes, len(words))
-                count = c[tokens]
-                numbers = np.append(_numbers(frequent, words), tree.end)[tokens]
-                p = token_probabilities(tree, numbers, starts, root_probability(c, n, v, discount)[tokens])
-                total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every document has its end token
-                m = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("ids"))[k].values, pa.array(held),
-                     pa.array(sizes + 1), pa.array(total((count > 0).astype(np.int64))),
-                     pa.array(np.full(m, n, np.int64)), pa.array(total(np.log10(count + 0.1) - log_all)),
-                     pa.array(total(np.log10(p)))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for batch, k, _, sizes, held, state in _walks(batches, facts):
+            total = lambda x: np.add.reduceat(x, state.starts)  # noqa: B023, E731  every document has its end token
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("ids"))[k].values, pa.array(held),
+                 pa.array(sizes + 1), pa.array(total((state.count > 0).astype(np.int64))),
+                 pa.array(np.full(len(sizes), n, np.int64)), pa.array(total(np.log10(state.count + 0.1) - log_all)),
+                 pa.array(total(np.log10(state.p)))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     with rows_per_batch(spark, 1):
-        return stored(table.select("block", "ids", "held", "sizes", "codes", "words").mapInArrow(
-            finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-                    "score double"), "lm-scores")
+        fit(table.select("block", "held", "sizes", "codes", "hashes"), facts, depth)
+        return stored(table.mapInArrow(
+            lean(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+                          "score double"), "lm-scores")
