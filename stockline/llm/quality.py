@@ -10,6 +10,9 @@ scatter of transformed statistics within each (language, source):
 * scale the scatter so that the median squared distance is that of its chi-square law, never downwards, and
   reject rows beyond ``CUTOFF``.
 
+A group of fewer than ``MIN_GROUP`` rows is judged by the estimate of all rows of its language, and where that
+has fewer rows too, by that of all rows, however few: every row that passes the base rule has a distance.
+
 Each step is two map-side combined aggregates over a compact table of the statistics (written once) and a
 join with one row per group, so a source that holds a third of all rows is split like any other. Native:
 DataFrame functions only.
@@ -29,7 +32,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SUPPORT = 0.75
 STEPS = 4
-MIN_GROUP = 40             # smaller groups have no estimate and reject nothing
+MIN_GROUP = 40             # smaller groups are judged by a wider one
 CUTOFF = 31.8              # chi-square quantile, 4 degrees of freedom, 1 - 2e-6
 MEDIAN = 3.357             # its median
 # Transformed statistics and the least standard deviation each is given (a group may have none).
@@ -107,7 +110,7 @@ def mcd(table: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataF
     size = len(X)
     quartiles = table.groupBy("g").agg(F.count("*").alias("n"), *[
         F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{i}")
-        for i, x in enumerate(X)]).where(F.col("n") >= MIN_GROUP)
+        for i, x in enumerate(X)])
     start = [F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(size)]
     for i in range(size):
         for j in range(i + 1):
@@ -132,22 +135,48 @@ def mcd(table: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataF
     return stored(groups.join(middle, "g"), "mcd-final")
 
 
+def judging_groups(table: DataFrame) -> DataFrame:
+    """(g_0, g) of the groups of ``table`` (g_0, g_1, ... from narrow to wide): the narrowest that has
+    ``MIN_GROUP`` rows, else the widest."""
+    widths = [c for c in table.columns if c.startswith("g_")]
+    sizes = table.groupBy(*widths).agg(F.count("*").alias("_rows"))
+    for c in widths[1:-1]:
+        totals = sizes.groupBy(c).agg(F.sum("_rows").alias(f"_{c}"))
+        sizes = sizes.join(totals, c)
+    wide = F.col(widths[-1])
+    for c in reversed(widths[:-1]):
+        wide = F.when(F.col("_rows" if c == widths[0] else f"_{c}") >= MIN_GROUP, F.col(c)).otherwise(wide)
+    return sizes.select("g_0", wide.alias("g"))
+
+
 def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", group_cols=("lang", "source")) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance).
 
     Null and empty texts have no words and fail the base rule. A null language or source is a group of its
-    own; groups of fewer than ``MIN_GROUP`` rows that pass the base rule reject nothing (distance null). Null
+    own; groups of fewer than ``MIN_GROUP`` rows that pass the base rule are judged by their first column's
+    estimate (the language's), or that of all rows. Rows that fail the base rule may have no distance. Null
     ids stay null; repeated rows are judged once each; an empty table gives an empty result. Extra
     columns are not read."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    group = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in group_cols])
-    rows = statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), group.alias("g"),
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in group_cols]
+    # The number of parts before the names: a language's name is no group's.
+    widths = [F.concat_ws("\x1f", F.lit(str(k)), *parts[:k]).alias(f"g_{i}")
+              for i, k in enumerate(sorted({0, min(1, len(parts)), len(parts)}, reverse=True))]
+    names = [f"g_{i}" for i in range(len(widths))]
+    rows = statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), *widths,
                                   F.col(text_col).cast("string").alias("_body")), "_body")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    table = stored(rows.select("doc_id", "g", *made, failed.alias("base_failed"), *transformed(*made)), "quality")
-    groups = mcd(table.where("not base_failed"))
-    judged = _distances(table, groups).join(groups.select("g", "scale"), "g", "left")
+    table = stored(rows.select("doc_id", *names, *made, failed.alias("base_failed"), *transformed(*made)), "quality")
+    passed = table.where("not base_failed")
+    wide = stored(judging_groups(passed.select(*names)), "quality-groups")
+    # A wider estimate is of all its rows, those of groups with their own estimate included. Only the
+    # estimates that some group is judged by are made.
+    members = passed.select(F.explode(F.array(*names)).alias("g"), *X)
+    members = stored(members.join(wide.select("g").distinct(), "g", "left_semi"), "quality-members")
+    groups = mcd(members)
+    rows = table.join(wide, "g_0", "left").withColumn("g", F.coalesce("g", F.lit("")))
+    judged = _distances(rows, groups).join(groups.select("g", "scale"), "g", "left")
     distance = F.col("d2") / F.col("scale")
     return judged.select("doc_id", *made, "base_failed",
-                         (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"),
+                         (~F.col("base_failed") & (distance <= CUTOFF)).alias("kept"),
                          distance.alias("distance"))

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from stockline.llm import lm, storage
+from stockline.llm import lm, quality
 
 
 # ---- op10: the tree grows with the corpus
@@ -61,3 +61,25 @@ def test_lm_learns_rare_passages_of_a_large_corpus(spark):
     got = {r.doc_id: r for r in lm.scored(docs, F.col("doc_id") == 1003).collect()}
     # 2.1 million tokens: a share of two in a million would ask for more than the passage's three occurrences.
     assert got[1003].train_tokens > 2_000_000 and got[1003].score > got[1003].base_score + 100
+
+
+# ---- op8: rows of small groups have a distance
+
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice(["an", "the", "ou", "re", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(30, 200)))
+    junk = lambda: " ".join(rng.choice(words) + "%%%&&&" for _ in range(100))
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(i, prose(), "en", f"s{i % 60}") for i in range(240)]               # no source has 40 rows
+    rows += [(1000 + i, junk(), "en", f"s{i}") for i in range(10)]
+    rows += [(2000 + i, prose(), "de", "t") for i in range(5)] + [(2010, junk(), "de", "u"), (2011, junk(), None, None)]
+    rows += [(3000 + i, prose(), "fr", "large") for i in range(60)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        assert r.base_failed or r.distance is not None, i
+        assert r.kept == (not (1000 <= i < 2000 or i in (2010, 2011))), i
+    # A language without 40 rows in a table without 40 rows.
+    few = quality.judged(spark.createDataFrame([r for r in rows if 2000 <= r[0] < 2011], schema)).collect()
+    assert all(r.distance is not None for r in few) and [r.doc_id for r in few if not r.kept] == [2010]
