@@ -5,7 +5,9 @@ token-efficiency test looks at every run of 20 or more characters of the base64
 byte-pair vocabulary spends few characters per token on strings it has never seen, so a run with fewer
 than ``MAX_CHARS_PER_TOKEN`` characters per token is random. Known digests (hexadecimal strings of a
 digest's length, UUIDs) and identifiers (words, numbers and names joined by separators or by capital
-letters) are excluded first. The test adds spans; spans of the patterns stay.
+letters, where the vocabulary knows the words) are excluded first. A run that is not random as a whole, a path or
+a URL for instance, is tested piece by piece between its separators, and what a pattern's span leaves of a run on
+its own. The test adds spans; spans of the patterns stay.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 _DIGEST = re.compile(r"(?:0x)?[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)")
+# Pieces between separators, from wide to narrow: of a path or URL (they may be base64url), of an assignment or
+# name (they may be base64), and without any separator.
+_PIECES = [re.compile(rf"[^{x}]{{{MIN_RANDOM},}}") for x in ("=", "/=.", "=._-", "+/_.=-")]
 
 
 def _long_runs(data: bytes) -> list[tuple[int, int]]:
@@ -46,7 +51,7 @@ def _long_runs(data: bytes) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), end[at].tolist()))
 
 
-def is_known(run: str) -> bool:
+def is_known(run: str, tokens_of) -> bool:
     """A digest or an identifier: nothing secret in a string that looks random."""
     if _UUID.fullmatch(run) or _DIGEST.fullmatch(run) and len(run.removeprefix("0x")) in DIGEST_LENGTHS:
         return True
@@ -56,7 +61,28 @@ def is_known(run: str) -> bool:
         return True
     letters = [n for n in names if not n.isdigit()]
     # Names are words: few switches between cases and digits, letters in long stretches.
-    return len(run) / len(names) >= 4 and sum(map(len, letters)) / len(letters) >= 4
+    if len(run) / len(names) < 4 or sum(map(len, letters)) / len(letters) < 4:
+        return False
+    # The vocabulary's tokens are the evidence that they are words.
+    return sum(map(len, letters)) / sum(map(tokens_of, letters)) >= MAX_CHARS_PER_TOKEN
+
+
+def is_random(run: str, tokens_of) -> bool:
+    return len(run) / tokens_of(run) < MAX_CHARS_PER_TOKEN and not is_known(run, tokens_of)
+
+
+def random_parts(run: str, tokens_of) -> list[tuple[int, int]]:
+    """Ranges of the random strings in ``run``: all of it, or its widest random pieces."""
+    if is_random(run, tokens_of):
+        return [(0, len(run))]
+    found: list[tuple[int, int]] = []
+    if _UUID.fullmatch(run):
+        return found
+    for pieces in _PIECES:
+        found += [m.span() for m in pieces.finditer(run)
+                  if len(m[0]) < len(run) and not any(a < m.end() and m.start() < b for a, b in found)
+                  and is_random(m[0], tokens_of)]
+    return found
 
 
 def find(text: str | None, tokens_of) -> list[tuple[str, int, int]]:
@@ -72,24 +98,34 @@ def find(text: str | None, tokens_of) -> list[tuple[str, int, int]]:
     if runs:
         ascii_text = len(data) == len(text)
         place = (lambda at: at) if ascii_text else (lambda at: len(data[:at].decode("utf-8", "surrogatepass")))
-        hexes, randoms = [], []
+        assigns, hexes, randoms = [s[1:] for s in spans], [], []
         for a, b in runs:
             run = data[a:b].decode("ascii")
-            first = None
+            first, taken = None, []
             for m in ACCESS.finditer(run):
                 if len(m[0]) >= MIN_ACCESS:
                     first = place(a) if first is None else first
                     spans.append(("access", first + m.start(), first + m.end()))
+                    taken.append(m.span())
             for m in HEX.finditer(run):
                 if len(m[0]) >= MIN_HEX:
                     first = place(a) if first is None else first
                     hexes.append(("hex", first + m.start(), first + m.end()))
-            if b - a >= MIN_RANDOM and not is_known(run) and (b - a) / tokens_of(run) < MAX_CHARS_PER_TOKEN:
+                    taken.append(m.span())
+            if b - a < MIN_RANDOM:
+                continue
+            if assigns:
                 first = place(a) if first is None else first
-                randoms.append(("random", first, first + b - a))
-        spans += hexes
-        # What a pattern has found needs no second span.
-        spans += [r for r in randoms if not any(s < r[2] and r[1] < e for _, s, e in spans)]
+                taken += [(s - first, e - first) for s, e in assigns if s < first + b - a and first < e]
+            # What a pattern has found needs no second span.
+            last = 0
+            for s, e in [*sorted(taken), (b - a, b - a)]:
+                if s - last >= MIN_RANDOM:
+                    for lo, hi in random_parts(run[last:s], tokens_of):
+                        first = place(a) if first is None else first
+                        randoms.append(("random", first + last + lo, first + last + hi))
+                last = max(last, e)
+        spans += hexes + randoms
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -1,12 +1,13 @@
 """Findings of the second review: each test fails on the code before its change."""
 
 import random
+import string
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from stockline.llm import lm, quality
+from stockline.llm import bpe, lm, quality, secrets
 
 
 # ---- op10: the tree grows with the corpus
@@ -83,3 +84,32 @@ def test_quality_judges_small_groups(spark):
     # A language without 40 rows in a table without 40 rows.
     few = quality.judged(spark.createDataFrame([r for r in rows if 2000 <= r[0] < 2011], schema)).collect()
     assert all(r.distance is not None for r in few) and [r.doc_id for r in few if not r.kept] == [2010]
+
+
+# ---- op3: random pieces within paths, URLs and assignments; random letters
+
+def test_secrets_inside_longer_runs():
+    count = secrets.token_counter(bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(41)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum = string.ascii_letters + string.digits
+    frames = [("/home/service/application/config/production/credentials/", alnum, 24, ""),
+              ("//storage.example.com/container/reports/download/signature=", alnum, 32, ""),
+              ("//storage.example.com/container/reports/download/", alnum, 32, "/latest/version/index.html"),
+              ("", string.ascii_lowercase, 24, ""), ("", string.ascii_uppercase, 24, "")]
+    for before, chars, n, after in frames:
+        hits = 0
+        for _ in range(100):
+            secret = draw(chars, n)
+            text = f"ä see {before}{secret}{after} now"
+            at = text.index(secret)
+            hits += any(s <= at and at + n <= e for _, s, e in secrets.find(text, count))
+        assert hits >= 90, (before, chars, hits)
+    # What a pattern's span leaves of a run is tested on its own.
+    digits, secret = "0123456789abcdef0123", draw(string.ascii_uppercase + string.digits, 30)
+    found = secrets.find(f"x {digits}/{secret} y", count)
+    assert ("hex", 2, 22) in found and any(k == "random" and s <= 23 and e == 53 for k, s, e in found)
+    for plain in ("/home/service/application/config/production/credentials/default.json",
+                  "getUserAccountNameFromRequestContext", "internationalization_of_the_documentation",
+                  "123e4567-e89b-12d3-a456-426614174000", "========================"):
+        assert not [x for x in secrets.find(f"see {plain} now", count) if x[0] == "random"], plain
