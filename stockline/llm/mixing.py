@@ -13,7 +13,8 @@
    The steps taken are the whole state: a document's rate is recomputed from them, nothing is updated in
    place, and a lost executor costs its tasks alone.
 
-Native: DataFrame functions only; the driver holds the domains-by-domains matrix and one vector a step.
+Native: DataFrame functions only; the driver holds the significant bucket weights (stored as one row, which the
+tasks read), the domains-by-domains matrix and one vector a step.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockline.llm.storage import drop_stored, stored
 
 TRAIN_DOCS = 20_000
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 MIN_Z = 3.0
 MAX_SCORE = 60.0           # naive Bayes sums beyond this count as this
 STEPS = 25
@@ -39,18 +41,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 @dataclass
 class Classifier:
     domains: list[str]
-    weights: list[str]                      # of every domain but the first: comma-separated bucket weights
+    weights: DataFrame                      # one row: the bucket weights w_1, w_2, ... of every domain but the first
     curves: list[tuple[float, float]]       # (intercept, slope) from a domain's naive Bayes sum to its logit
 
-    def sums(self, buckets: str) -> list[Column]:
-        """Naive Bayes log-odds of each domain but the first against the first."""
-        out = []
-        for weights in self.weights:
-            table = F.split(F.lit(weights), ",").cast("array<double>")
-            total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))  # noqa: B023
-            # Weights have two decimals: rounding only takes away the noise of the order they are added in.
-            out.append(F.round(F.greatest(F.lit(-MAX_SCORE), F.least(F.lit(MAX_SCORE), total)), 2))
-        return out
+    def with_sums(self, rows: DataFrame) -> DataFrame:
+        """``rows`` without _buckets, with s_1, s_2, ...: naive Bayes log-odds of each domain but the first
+        against the first."""
+        names = [f"s_{k}" for k in range(1, len(self.domains))]
+        keep = [c for c in rows.columns if c != "_buckets"]
+        if not names:
+            return rows.select(*keep)
+        # The weights reach the tasks as scalar subqueries, not as literals in every plan. One sum over the
+        # buckets: both projects become one, and no row holds the weights.
+        tables = [self.weights.select(f"w_{k}").scalar().alias(f"_t_{k}") for k in range(1, len(self.domains))]
+        sums = F.aggregate("_buckets", F.struct(*[F.lit(0.0).alias(x) for x in names]), lambda s, b: F.struct(
+            *[(s[x] + F.get(F.col(f"_t_{k}"), b)).alias(x) for k, x in enumerate(names, 1)]))
+        rows = rows.select(*rows.columns, *tables).select(*keep, sums.alias("_sums"))
+        # Weights have two decimals: rounding only takes away the noise of the order they are added in.
+        return rows.select(*keep, *[F.round(F.greatest(F.lit(-MAX_SCORE), F.least(F.lit(MAX_SCORE), F.col(f"_sums.{x}"))), 2).alias(x)
+                                    for x in names])
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -75,20 +84,9 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: in
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
     train = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_label_id")), F.col("id") == F.col("_label_id"))
     train = stored(features(train.select("domain", "text")), "mixing-training")
-    cells = train.select("domain", F.explode("_buckets").alias("bucket")).groupBy("domain", "bucket").count().toArrow()
-    counts = np.zeros((len(domains), BUCKETS))          # at most domains x BUCKETS cells
-    counts[cells["domain"].to_numpy() - 1, cells["bucket"].to_numpy()] = cells["count"].to_numpy()
-    weights = []
-    total, everywhere = counts.sum(axis=1) + 1.0, counts.sum(axis=0)
-    for k in range(1, len(domains)):
-        # The bucket's common share as prior, of the weight of the smaller class.
-        share = (everywhere + 0.1) / (everywhere + 0.1).sum() * min(total[k], total[0])
-        a, b = counts[k] + share, counts[0] + share
-        odds = np.log(a / (total[k] + share.sum())) - np.log(b / (total[0] + share.sum()))
-        odds[np.abs(odds) < MIN_Z * np.sqrt(1 / a + 1 / b)] = 0.0
-        weights.append(",".join(f"{x:.2f}" if x else "0" for x in odds))
-    model = Classifier(domains, weights, [])
-    binned = train.select("domain", *[(F.round(x * 2) / 2).alias(f"s_{k}") for k, x in enumerate(model.sums("_buckets"), 1)])
+    model = Classifier(domains, _weights(train, len(domains)), [])
+    binned = model.with_sums(train)
+    binned = binned.select("domain", *[(F.round(F.col(f"s_{k}") * 2) / 2).alias(f"s_{k}") for k in range(1, len(domains))])
     for k in range(1, len(domains)):
         cells = binned.where(F.col("domain").isin(1, k + 1)).groupBy("domain", f"s_{k}").count().collect()
         model.curves.append(_curve([(r[f"s_{k}"], r.domain != 1, r["count"]) for r in cells]))
@@ -96,6 +94,30 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: in
     return model
 
 
+def _weights(train: DataFrame, size: int) -> DataFrame:
+    """One row with the weights w_1, w_2, ... of all buckets, 0 where they are not significant."""
+    cells = stored(train.select("domain", F.explode("_buckets").alias("bucket")).groupBy("bucket").agg(
+        *[F.count_if(F.col("domain") == k + 1).alias(f"c_{k}") for k in range(size)]), "mixing-cells")
+    found = cells.agg(*[F.coalesce(F.sum(f"c_{k}"), F.lit(0)) for k in range(size)]).first()
+    everywhere = sum((F.col(f"c_{k}") for k in range(1, size)), F.col("c_0"))
+    columns = []
+    for k in range(1, size):
+        # The bucket's common share as prior, of the weight of the smaller class.
+        prior = min(found[k], found[0]) + 1.0
+        share = (everywhere + 0.1) / (sum(found) + 0.1 * BUCKETS) * prior
+        a, b = F.col(f"c_{k}") + share, F.col("c_0") + share
+        odds = F.log(a / (found[k] + 1.0 + prior)) - F.log(b / (found[0] + 1.0 + prior))
+        columns.append(F.when(F.abs(odds) >= MIN_Z * F.sqrt(1 / a + 1 / b), F.round(odds, 2)).otherwise(0.0).alias(f"w_{k}"))
+    names = [f"w_{k}" for k in range(1, size)]
+    weights = np.zeros((size - 1, BUCKETS))
+    if names:
+        for r in cells.select("bucket", *columns).where(" or ".join(f"{x} != 0" for x in names)).collect():   # at most BUCKETS
+            weights[:, r.bucket] = r[1:]
+    drop_stored(cells)
+    row = pa.table({x: pa.array([w], pa.list_(pa.float64())) for x, w in zip(names, weights)} or {"none": pa.array([0])})
+    return stored(train.sparkSession.createDataFrame(row), "mixing-weights")
+
+
 def _curve(cells: list[tuple[float, bool, int]]) -> tuple[float, float]:
     """Logistic curve through (sum, is the domain, number) cells, by ridge-regularised Newton steps."""
     if not cells:
@@ -115,8 +137,8 @@ def _curve(cells: list[tuple[float, bool, int]]) -> tuple[float, float]:
 def memberships(rows: DataFrame, model: Classifier) -> DataFrame:
     """``rows`` (text, ...) without its text, with n_words and posterior columns p_0, p_1, ..."""
     keep = [c for c in rows.columns if c != "text"]
-    rows = features(rows)
-    odds = [F.exp(F.lit(a) + b * s) for s, (a, b) in zip(model.sums("_buckets"), model.curves)]
+    rows = model.with_sums(features(rows))
+    odds = [F.exp(F.lit(a) + b * F.col(f"s_{k}")) for k, (a, b) in enumerate(model.curves, 1)]
     rows = rows.select(*keep, "n_words", *[x.alias(f"_o_{k}") for k, x in enumerate(odds, 1)])
     every = sum((F.col(f"_o_{k}") for k in range(1, len(odds) + 1)), F.lit(1.0))
     return rows.select(*keep, "n_words", (1.0 / every).alias("p_0"),

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from stockline.llm import bpe, lm, quality, secrets
+from stockline.llm import bpe, lm, mixing, quality, secrets
 
 
 # ---- op10: the tree grows with the corpus
@@ -113,3 +113,22 @@ def test_secrets_inside_longer_runs():
                   "getUserAccountNameFromRequestContext", "internationalization_of_the_documentation",
                   "123e4567-e89b-12d3-a456-426614174000", "========================"):
         assert not [x for x in secrets.find(f"see {plain} now", count) if x[0] == "random"], plain
+
+
+# ---- op5: a rare domain word is not lost among the corpus's words
+
+def test_mixing_tells_words_of_a_small_space_apart(spark):
+    letters = "abcdefghij"
+    words = spark.range(100_000).select(F.translate(F.col("id").cast("string"), "0123456789", letters).alias("w"))
+    pairs = words.select("w", F.hash("w").alias("h")).where("length(w) = 5").groupBy(F.pmod("h", F.lit(1 << 14))).agg(
+        F.collect_list(F.struct("w", "h")).alias("x")).where("size(x) > 1").limit(50).collect()
+    common, marker = next((a.w, b.w) for r in pairs for a in r.x for b in r.x if (a.h - b.h) % (1 << 16))
+    texts = [f"filler of every text {common}" + (f" {marker}" if i % 4 == 0 else "") for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "junk" if i % 4 == 0 else "clean") for i in range(400)], "doc_id long, domain string")
+    got = mixing.mixing_rates(docs, labelled, {"clean": 0.9, "junk": 0.1})
+    assert all((r.p_junk > 0.9) == (r.doc_id % 4 == 0) for r in got.collect())
+    # The weights are no literal of the plans.
+    model = mixing.fit(docs.withColumnRenamed("doc_id", "id"), labelled, ["clean", "junk"])
+    rows = mixing.memberships(docs, model)
+    assert len(rows._jdf.queryExecution().toString()) < 50_000
