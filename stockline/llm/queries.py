@@ -85,6 +85,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stockline.llm.pii import digest_columns, scan
+    return digest_columns(scan(_table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stockline.llm.conversations import numbered
+    from stockline.llm.trie import prefix_trie, rebuilt
+    return prefix_trie(*rebuilt(numbered(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stockline.llm.repair import damaged, repairs
+    return repairs(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, sf_dir)
@@ -93,7 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_simhash_near_dedup, op3_secret_scan, op4_embedding_near_dedup, op5_mixing,
-        op6_token_counts, op7_token_files, op8_quality_rules, op9_best_fit_packing, op10_lm_scoring, pipeline)}
+        op6_token_counts, op7_token_files, op8_quality_rules, op9_best_fit_packing, op10_lm_scoring,
+        op11_pii, op12_conversation_trie, op13_conversation_repair, pipeline)}
 
 
 # The other operators fit models, hash shingles or run tokenizers: SQL cannot express them, and tests/llm
@@ -113,5 +130,39 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 
+# crc32 of the decimal id, bit by bit. Paths are kept as digests of the turns up to them.
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+n AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS origin, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)),
+      lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT n.conv_id, o.i AS d, o.role, o.text FROM n JOIN o ON o.conv_id = n.origin AND o.i <= n.h
+  UNION ALL
+  SELECT n.conv_id, o.i - n.h + least(n.h, coalesce(b.n, 0)), o.role, o.text
+  FROM n JOIN o ON o.conv_id = n.conv_id AND o.i > n.h LEFT JOIN n b ON b.conv_id = n.origin),
+p AS (
+  SELECT conv_id, 0 AS d, '' AS path, 0 AS size FROM n
+  UNION ALL
+  SELECT conv_id, d, md5(string_agg(md5(role) || md5(text), ',' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)), strlen(text) FROM r),
+e AS (SELECT *, lead(path) OVER w IS NULL AS ends, lag(path) OVER w AS parent FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+v AS (
+  SELECT path, min(parent) AS parent, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM e GROUP BY path),
+k AS (SELECT parent AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY parent),
+s AS (
+  SELECT e.path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.size) AS saved_tokens
+  FROM v LEFT JOIN k ON k.path = v.path JOIN e ON e.conv_id = v.conv_id AND e.d <= v.depth GROUP BY e.path)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v LEFT JOIN k ON k.path = v.path LEFT JOIN s ON s.path = v.path LEFT JOIN v u ON u.path = v.parent
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dedup": EMBEDDING_SQL}
+    return {"op4_embedding_near_dedup": EMBEDDING_SQL, "op12_conversation_trie": TRIE_SQL}
