@@ -471,6 +471,20 @@ FROM products""")
 q("adjust_stock_rows", """
 SELECT id, CASE WHEN current_stock >= min_stock_level THEN current_stock - min_stock_level ELSE current_stock END
   AS current_stock FROM products""")
+# One recursion step per place in a product's sequence, all products at once.
+SQL["stock_ledger"] = with_views(""",
+ch AS (SELECT i.sale_id AS request_id, i.product_id, CAST(sum(CASE WHEN s.status = 'cancelled' THEN i.q ELSE -i.q END) AS BIGINT) AS quantity
+  FROM sale_items i JOIN sales s ON s.id = i.sale_id GROUP BY 1, 2),
+seq AS MATERIALIZED (SELECT c.*, CAST(p.current_stock AS BIGINT) AS stock,
+    row_number() OVER (PARTITION BY c.product_id ORDER BY c.request_id) AS n FROM ch c JOIN products p ON p.id = c.product_id),
+run AS (
+  SELECT product_id, request_id, quantity, n, stock + quantity >= 0 AS accepted,
+    CASE WHEN stock + quantity >= 0 THEN stock + quantity ELSE stock END AS balance FROM seq WHERE n = 1
+  UNION ALL
+  SELECT s.product_id, s.request_id, s.quantity, s.n, r.balance + s.quantity >= 0,
+    CASE WHEN r.balance + s.quantity >= 0 THEN r.balance + s.quantity ELSE r.balance END
+  FROM run r JOIN seq s ON s.product_id = r.product_id AND s.n = r.n + 1)
+SELECT request_id, product_id, quantity, accepted, balance FROM run""", recursive=True)
 q("bulk_stock", "SELECT id AS product_id, current_stock + (10 - 2 * current_stock) >= 0 AS success FROM products")
 q("deactivate_products", "SELECT id, CASE WHEN current_stock = 0 THEN FALSE ELSE is_active END AS is_active FROM products")
 q("merge_dimension", """
@@ -594,3 +608,25 @@ taken AS (SELECT l.product_id, sum(l.qty) AS q FROM ln l JOIN res r ON r.request
   WHERE r.ok GROUP BY 1)
 SELECT pr.id, CAST(pr.current_stock - coalesce(t.q, 0) AS INTEGER) AS current_stock
 FROM products pr LEFT JOIN taken t ON t.product_id = pr.id""", recursive=True)
+
+# The accepted drafts as rows: ids and numbers follow the sales that exist, in arrival order.
+POSTED = POSTING + """,
+old AS (SELECT max(id) AS top FROM sales WHERE status <> 'draft'),
+ex AS (SELECT substring(sale_number, 5, 8) AS day_key, max(CAST(split_part(sale_number, '-', 3) AS BIGINT)) AS last_seq
+  FROM sales WHERE status <> 'draft' GROUP BY 1),
+acc AS (SELECT s.*, old.top + row_number() OVER (ORDER BY s.sale_date, s.id) AS new_id, strftime(s.sale_date, '%Y%m%d') AS day_key,
+    row_number() OVER (PARTITION BY strftime(s.sale_date, '%Y%m%d') ORDER BY s.sale_date, s.id) AS rk
+  FROM sales s JOIN res r ON r.request_id = s.id CROSS JOIN old WHERE r.ok)"""
+SQL["post_sales_rows"] = with_views(POSTED + """,
+a AS (SELECT sale_id, sum(sub_c) AS s, sum(up_c * q * (100 - d) * t) AS xt, sum(up_c * q * d) AS xd FROM sale_items GROUP BY sale_id)
+SELECT acc.new_id AS id, 'SAL-' || acc.day_key || '-' || printf('%03d', coalesce(ex.last_seq, 0) + rk) AS sale_number,
+  acc.customer_name, a.s / 100.0 AS total_amount, ((a.xt + 5000) // 10000) / 100.0 AS tax_amount,
+  ((a.xd + 50) // 100) / 100.0 AS discount_amount, ((10000 * a.s + a.xt - 100 * a.xd + 5000) // 10000) / 100.0 AS grand_total,
+  acc.payment_method, CASE WHEN acc.payment_method = 'cash' THEN 'paid' ELSE acc.payment_status END AS payment_status,
+  'completed' AS status, acc.user_id, acc.sale_date, TIMESTAMP '2001-08-01 12:00:00' AS created_at
+FROM acc JOIN a ON a.sale_id = acc.id LEFT JOIN ex ON ex.day_key = acc.day_key""", recursive=True)
+SQL["post_sales_items"] = with_views(POSTED + """
+SELECT acc.new_id AS sale_id, i.product_id, i.quantity, i.up_c / 100.0 AS unit_price, i.tax_rate, i.tax_c / 100.0 AS tax_amount,
+  i.discount_percent, i.disc_c / 100.0 AS discount_amount, i.sub_c / 100.0 AS subtotal, i.tot_c / 100.0 AS total,
+  p.name AS product_name, p.sku AS product_sku, p.barcode AS product_barcode, TIMESTAMP '2001-08-01 12:00:00' AS created_at
+FROM acc JOIN sale_items i ON i.sale_id = acc.id JOIN products p ON p.id = i.product_id""", recursive=True)

@@ -14,12 +14,16 @@ Request frames:
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockline.functions.exprs import (auto_payment_status, cancel_payment_status, day_of,
                                        line_amounts, sale_number, sale_number_seq, stamp_updated, store_money, ts_lit)
+from stockline.operators.settlement import MSG_BAD_QUANTITY, MSG_NO_PRODUCT, collapsed_lines, decide
 from stockline.plans.ordered import running_totals
+from stockline.schema import SALE_ITEMS, SALES, conform
 from stockline.session import cut_lineage
 
 # Fixed messages (as the reference words them).
@@ -129,150 +133,95 @@ def stock_check(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- I4
 
-def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
-               screening_rounds: int = 3, chunk_sales: int = 50000,
-               now: "_dt.datetime | None" = None) -> tuple[DataFrame, DataFrame]:
-    """I4: post a batch of sales against stock, all-or-nothing per sale, in
-    arrival order (sale_date, then request_id). A refused sale takes nothing,
-    so later sales may still get the stock. Every status lowers stock, drafts
-    included. Returns ``(new products, result frame)``. With ``now``, products whose stock
-    changes get it as ``updated_at``.
-
-    Exact and set-based, in two phases. Lines are collapsed to (sale,
-    product, qty) (same-product lines of a sale are summed, which equals the
-    line-by-line decrement).
-
-    1. Screening rounds, fully parallel: per product in arrival order,
-       ``low`` = units of earlier accepted sales and ``high`` = units of
-       earlier accepted + undecided sales (skew-safe running sums,
-       :mod:`stockline.plans.ordered`). An undecided sale is accepted when
-       every line fits even under ``high`` and refused when a line fails even
-       under ``low``; both verdicts are final.
-    2. The sales still undecided are settled in arrival order, in chunks of
-       at most ``chunk_sales`` sales: each chunk is one bounded task that
-       replays the rule sale by sale, starting from the stock used by the
-       final accepted sales before it (``base``) and by earlier chunks
-       (``prior``, a checkpointed per-product frame).
-
-    State is checkpointed to the shared folder after every step.
-    """
-    def settle_in_order(pdf):
-        """Sequential settlement of one bounded chunk of undecided sales (runs
-        in a task; defined here so it ships with the task by value)."""
-        import pandas as pd
-        pdf = pdf.sort_values(["seq", "product_id"])
-        used: dict = {}
-        out_ids, out_ok = [], []
-        for _, g in pdf.groupby("seq", sort=True):
-            fits = True
-            for pid, q, stock, base, prior in zip(g["product_id"], g["qty"], g["stock"], g["base"], g["prior"]):
-                if base + prior + used.get(pid, 0) + q > stock:
-                    fits = False
-                    break
-            if fits:
-                for pid, q in zip(g["product_id"], g["qty"]):
-                    used[pid] = used.get(pid, 0) + int(q)
-            out_ids.append(int(g["request_id"].iloc[0]))
-            out_ok.append(fits)
-        return pd.DataFrame({"request_id": pd.Series(out_ids, dtype="int64"),
-                             "accepted": pd.Series(out_ok, dtype="bool")})
+def decide_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
+                 screening_rounds: int = 3, chunk_sales: int = 50000) -> DataFrame:
+    """I4's decision table (request_id, accepted, message), stored in the shared folder.
 
+    Sales are posted all-or-nothing in arrival order (sale_date, then request_id; null dates first). A refused sale
+    takes nothing. Same-product lines of a sale are summed, which equals the line-by-line decrement. Refused before any
+    stock is looked at: a sale without lines, with a line whose quantity is NULL or not above 0, with a line
+    without a product, or of an unknown product. See :mod:`stockline.operators.settlement`; its two numbers
+    (rounds of bounds before components are looked for, sales of a component settled at a time) do not change
+    the result."""
     order = headers.select("request_id", F.col("sale_date").alias("_ts"))
-    collapsed = (lines.groupBy("request_id", "product_id")
-                 .agg(F.sum("quantity").cast("bigint").alias("qty")))
-    p = products.select(F.col("id").alias("product_id"), F.col("current_stock").cast("bigint").alias("stock"),
-                        F.col("name").alias("pname"))
-    l = cut_lineage(collapsed.join(order, "request_id", "inner").join(p, "product_id", "left"))
-    # A sale needs at least one line (the request schema's rule) and known products.
-    unknown = (l.groupBy("request_id")
-               .agg(F.min(F.when(F.col("stock").isNull(), F.col("product_id"))).alias("missing"),
-                    F.lit(True).alias("_has_lines")))
-    state = (order.join(unknown, "request_id", "left")
-             .select("request_id", "_ts",
-                     F.when(F.col("missing").isNotNull() | F.col("_has_lines").isNull(), F.lit("refused"))
-                     .otherwise(F.lit("open")).alias("state"), "missing",
-                     F.col("_has_lines").isNull().alias("empty")))
-    state = cut_lineage(state)
-    known = l.where(F.col("stock").isNotNull()).select("request_id", "product_id", "qty", "stock", "_ts")
-
-    def with_state(st):
-        return (known.join(st.select("request_id", "state"), "request_id")
-                .withColumn("acc_q", F.when(F.col("state") == "accepted", F.col("qty")).otherwise(F.lit(0)))
-                .withColumn("pend_q", F.when(F.col("state") != "refused", F.col("qty")).otherwise(F.lit(0))))
-
-    for _ in range(screening_rounds):
-        if state.where(F.col("state") == "open").limit(1).count() == 0:
-            break
-        sums = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
-                              {"low": "acc_q", "high": "pend_q"}, inclusive=False)
-        verdict = (sums.where(F.col("state") == "open").groupBy("request_id").agg(
-            F.min(F.col("high") + F.col("qty") <= F.col("stock")).alias("fits_high"),
-            F.max(F.col("low") + F.col("qty") > F.col("stock")).alias("fails_low")))
-        state = (state.join(verdict, "request_id", "left")
-                 .withColumn("state", F.when(F.col("state") != "open", F.col("state"))
-                             .when(F.col("fits_high"), F.lit("accepted"))
-                             .when(F.col("fails_low"), F.lit("refused"))
-                             .otherwise(F.lit("open")))
-                 .drop("fits_high", "fails_low"))
-        state = cut_lineage(state)
-
-    if state.where(F.col("state") == "open").limit(1).count() > 0:
-        base = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
-                              {"base": "acc_q"}, inclusive=False)
-        open_sales = state.where(F.col("state") == "open").select("request_id", "_ts", F.lit(0).alias("_all"))
-        ranked = running_totals(open_sales, ["_all"], ["_ts", "request_id"], {"seq": None})
-        ranked = cut_lineage(ranked.withColumn("chunk", F.floor((F.col("seq") - 1) / F.lit(chunk_sales)))
-                             .select("request_id", "seq", "chunk"))
-        open_lines = cut_lineage(base.where(F.col("state") == "open")
-                                 .select("request_id", "product_id", "qty", "stock", "base")
-                                 .join(ranked, "request_id"))
-        n_chunks = int(ranked.agg(F.max("chunk")).collect()[0][0]) + 1
-        spark = lines.sparkSession
-        prior = spark.createDataFrame([], "product_id long, prior long")
-        settled = None
-        for c in range(n_chunks):
-            cl = (open_lines.where(F.col("chunk") == c).join(prior, "product_id", "left")
-                  .withColumn("prior", F.coalesce(F.col("prior"), F.lit(0)).cast("bigint")))
-            acc = cut_lineage(cl.select("chunk", "request_id", "seq", "product_id", "qty", "stock", "base",
-                                        "prior")
-                              .groupBy("chunk").applyInPandas(settle_in_order,
-                                                              "request_id long, accepted boolean"))
-            used = (cl.join(acc.where("accepted").select("request_id"), "request_id", "left_semi")
-                    .groupBy("product_id").agg(F.sum("qty").alias("prior")))
-            prior = cut_lineage(prior.unionByName(used).groupBy("product_id")
-                                .agg(F.sum("prior").cast("bigint").alias("prior")))
-            settled = acc if settled is None else settled.unionByName(acc)
-        settled = cut_lineage(settled)
-        state = cut_lineage(
-            state.join(settled, "request_id", "left")
-            .withColumn("state", F.when(F.col("state") != "open", F.col("state"))
-                        .when(F.col("accepted"), F.lit("accepted")).otherwise(F.lit("refused")))
-            .drop("accepted"))
-
-    # Stock taken by accepted sales, per product (partial aggregate, then join).
-    taken = (known.join(state.where(F.col("state") == "accepted").select("request_id"), "request_id",
-                        "left_semi")
-             .groupBy("product_id").agg(F.sum("qty").alias("_taken")))
+    l = cut_lineage(collapsed_lines(lines, headers, products))
+    seen = l.groupBy("request_id").agg(
+        F.bool_or("bad").alias("bad"), F.bool_or(F.col("product_id").isNull()).alias("unnamed"),
+        F.min(F.when(F.col("stock").isNull(), F.col("product_id"))).alias("missing"), F.lit(True).alias("has_lines"))
+    fault = (F.when(F.col("has_lines").isNull(), F.lit(MSG_NO_ITEMS)).when(F.col("bad"), F.lit(MSG_BAD_QUANTITY))
+             .when(F.col("unnamed"), F.lit(MSG_NO_PRODUCT))
+             .when(F.col("missing").isNotNull(), F.format_string(MSG_NOT_FOUND, F.col("missing"))))
+    checked = cut_lineage(order.join(seen, "request_id", "left").select("request_id", fault.alias("fault")))
+    valid = l.join(checked.where("fault is null").select("request_id"), "request_id", "left_semi")
+    asked = valid.groupBy("product_id").agg(F.sum("qty").alias("asked"), F.max("stock").alias("_stock")).where("asked > _stock")
+    scarce = cut_lineage(valid.join(asked.select("product_id"), "product_id", "left_semi")
+                         .select("request_id", "product_id", "qty", "stock", "pname", "_ts"))
+    refused = decide(scarce.drop("pname"), screening_rounds, chunk_sales)
+    # A refused sale names its first product (by id) that cannot fit with the stock left by the sales accepted before it.
+    told = scarce.join(refused.withColumn("out", F.lit(True)), "request_id", "left").withColumn(
+        "acc_q", F.when(F.col("out"), 0).otherwise(F.col("qty")))
+    low = running_totals(told, ["product_id"], ["_ts", "request_id"], {"low": "acc_q"}, inclusive=False)
+    short = (low.where(F.col("out") & (F.col("low") + F.col("qty") > F.col("stock"))).groupBy("request_id")
+             .agg(F.min_by(F.struct("pname", (F.col("stock") - F.col("low")).alias("avail")), F.col("product_id")).alias("s")))
+    why = F.coalesce(F.col("fault"), F.when(F.col("s").isNotNull(), F.format_string(MSG_INSUFFICIENT, F.col("s.pname"), F.col("s.avail"))))
+    return cut_lineage(checked.join(short, "request_id", "left").select(
+        "request_id", why.isNull().alias("accepted"), F.coalesce(why, F.lit(MSG_CREATED)).alias("message")))
+
+
+def _less_stock(products: DataFrame, lines: DataFrame, accepted: DataFrame, now) -> DataFrame:
+    """Products without the units of accepted sales (partial aggregate, then join)."""
+    taken = (lines.join(accepted, "request_id", "left_semi").groupBy("product_id").agg(F.sum("quantity").alias("_taken")))
     new_products = (products.join(taken, products.id == taken.product_id, "left")
                     .withColumn("current_stock", (F.col("current_stock")
                                                   - F.coalesce(F.col("_taken"), F.lit(0))).cast("int")))
-    new_products = stamp_updated(new_products, F.col("_taken").isNotNull(), now).drop("product_id", "_taken")
-    # Message of a refused sale: its first product (by id) that cannot fit
-    # with the stock left by the sales accepted before it.
-    final_low = running_totals(with_state(state), ["product_id"], ["_ts", "request_id"],
-                               {"low": "acc_q"}, inclusive=False)
-    short = (final_low.where((F.col("state") == "refused") & (F.col("low") + F.col("qty") > F.col("stock")))
-             .join(p.select("product_id", "pname"), "product_id")
-             .groupBy("request_id")
-             .agg(F.min_by(F.struct("pname", (F.col("stock") - F.col("low")).alias("avail")),
-                           F.col("product_id")).alias("s")))
-    result = (state.join(short, "request_id", "left").select(
-        "request_id", (F.col("state") == "accepted").alias("accepted"),
-        F.when(F.col("state") == "accepted", F.lit(MSG_CREATED))
-         .when(F.col("empty"), F.lit(MSG_NO_ITEMS))
-         .when(F.col("missing").isNotNull(), F.format_string(MSG_NOT_FOUND, F.col("missing")))
-         .otherwise(F.format_string(MSG_INSUFFICIENT, F.col("s.pname"), F.col("s.avail"))).alias("message")))
-    return new_products, result
+    return stamp_updated(new_products, F.col("_taken").isNotNull(), now).drop("product_id", "_taken")
+
+
+def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
+               screening_rounds: int = 3, chunk_sales: int = 50000,
+               now: "_dt.datetime | None" = None) -> tuple[DataFrame, DataFrame]:
+    """I4: post a batch of sales against stock, as :func:`decide_sales` decides. Every status lowers stock, drafts
+    included. Returns ``(new products, result frame)``. With ``now``, products whose stock
+    changes get it as ``updated_at``."""
+    result = decide_sales(lines, headers, products, screening_rounds, chunk_sales)
+    return _less_stock(products, lines, result.where("accepted").select("request_id"), now), result
+
+
+class Posted(NamedTuple):
+    """What posting a batch of sales makes: new products, new sale and line rows, one result row per request."""
+    products: DataFrame
+    sales: DataFrame
+    sale_items: DataFrame
+    results: DataFrame
+
+
+def post_sales_tables(lines: DataFrame, headers: DataFrame, products: DataFrame, sales: DataFrame,
+                      now: "_dt.datetime | None" = None) -> Posted:
+    """I4 with its rows: all four results come from one stored decision table.
+
+    Accepted sales become full rows of ``sales``: ids follow the largest existing id in arrival order, numbers are
+    I2's (a refused sale uses none), totals I1's, payment status H17's; other columns are the header's. A header without
+    a date is made ``now``, for its place in the day; in arrival order it comes first. Lines become rows
+    of ``sale_items`` with the amounts and the product's name, sku and barcode at sale time. ``created_at`` is ``now``.
+    Requests of either table that are refused add no row."""
+    results = decide_sales(lines, headers, products)
+    accepted = results.where("accepted").select("request_id")
+    heads = headers.join(accepted, "request_id", "left_semi")
+    taken = lines.join(accepted, "request_id", "left_semi")
+    top = sales.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    placed = running_totals(heads.select("request_id", "sale_date", F.lit(0).alias("_all")), ["_all"], ["sale_date", "request_id"],
+                            {"place": None})
+    ids = cut_lineage(placed.select("request_id", (F.col("place") + top.scalar()).alias("id")))
+    numbers = sale_numbers(heads.select("request_id", "sale_date"), sales, now).select(
+        "request_id", "sale_number", F.col("sale_date").alias("_made"))
+    totals = priced_sales(taken, heads, products).drop("line_count")
+    made = F.lit(None).cast("timestamp_ntz") if now is None else ts_lit(now)
+    rows = (heads.drop(*[c for c in totals.columns if c != "request_id"], "sale_number", "id", "created_at", "updated_at")
+            .join(ids, "request_id").join(numbers, "request_id").join(totals, "request_id")
+            .withColumns({"sale_date": F.col("_made"), "created_at": made}))
+    items = priced_lines(taken, products).join(ids.select("request_id", F.col("id").alias("sale_id")), "request_id").withColumn(
+        "created_at", made)
+    return Posted(_less_stock(products, lines, accepted, now), conform(rows, SALES), conform(items, SALE_ITEMS), results)
 
 
 # ---------------------------------------------------------------- I5

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stockline import schema as S
 from stockline.functions.exprs import input_price, margin_percent, stamp_updated, ts_lit
 from stockline.operators.posting import apply_patch, fold_patches
+from stockline.plans.fold import conditional_fold
 from stockline.plans.ordered import running_totals
 from stockline.session import cut_lineage
 
@@ -164,28 +165,38 @@ def patch_products(products: DataFrame, patches: DataFrame,
 
 # ---------------------------------------------------------------- I10, I11
 
+def stock_ledger(products: DataFrame, changes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Every change of stock in order: ``changes`` of known products with ``accepted`` and the ``balance`` after it.
+
+    A change is accepted if the stock left by the accepted ones before it does not fall below 0; changes of a
+    product follow each other by the optional ``seq`` column, then ``request_id``. A NULL quantity is refused.
+    Changes of unknown products or of none are left out. A product with many changes is many tasks' work
+    (:mod:`stockline.plans.fold`)."""
+    order = (["seq"] if "seq" in changes.columns else []) + ["request_id"]
+    stock = products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"))
+    return conditional_fold(changes.join(stock, "product_id"), "product_id", order, "quantity", "_stock", partitions).drop("_stock")
+
+
 def _stock_changes(products: DataFrame, changes: DataFrame, now: _dt.datetime):
-    """One change per product (the reference's dict form): the first request
-    of a product counts, a repeated product is refused."""
-    first = changes.groupBy("product_id").agg(F.min("request_id").alias("_first"))
-    cur = products.select(F.col("id").alias("product_id"), F.col("current_stock").alias("_stock"))
-    j = changes.join(first, "product_id").join(cur, "product_id", "left")
-    new_stock = F.col("_stock") + F.col("quantity")
-    ok = (F.col("request_id") == F.col("_first")) & F.col("_stock").isNotNull() & (new_stock >= 0)
-    j = j.withColumn("accepted", F.coalesce(ok, F.lit(False)))
-    good = j.where("accepted").select(F.col("product_id").alias("_pid"), F.col("quantity").alias("_q"))
+    """New products, and all changes with ``accepted``. Several changes of a product apply one after the other."""
+    ledger = cut_lineage(stock_ledger(products, changes))
+    known = products.select(F.col("id").alias("product_id"))
+    j = ledger.drop("balance").unionByName(changes.join(known, "product_id", "left_anti").withColumn("accepted", F.lit(False)))
+    good = ledger.where("accepted").groupBy(F.col("product_id").alias("_pid")).agg(
+        F.sum("quantity").alias("_q"), F.bool_or(F.col("quantity") > 0).alias("_added"))
     new_products = (products.join(good, products.id == good._pid, "left")
                     .withColumn("current_stock", (F.col("current_stock") + F.coalesce(F.col("_q"), F.lit(0)))
                                 .cast("int"))
-                    .withColumn("last_restocked", F.when(F.col("_q") > 0, ts_lit(now))
+                    .withColumn("last_restocked", F.when(F.col("_added"), ts_lit(now))
                                 .otherwise(F.col("last_restocked"))))
-    new_products = stamp_updated(new_products, F.col("_q").isNotNull(), now).drop("_pid", "_q")
+    new_products = stamp_updated(new_products, F.col("_q").isNotNull(), now).drop("_pid", "_q", "_added")
     return new_products, j
 
 
 def adjust_stock(products: DataFrame, changes: DataFrame, now: _dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Add / remove ``quantity`` units; refused when the product is
-    missing or stock would go below 0; ``last_restocked = now`` when q > 0."""
+    missing or stock would go below 0; ``last_restocked = now`` when q > 0.
+    Changes of one product apply in order, see :func:`stock_ledger`."""
     new_products, j = _stock_changes(products, changes, now)
     result = j.select("request_id", "accepted",
                       F.when(F.col("accepted"), F.lit(MSG_OK)).otherwise(F.lit(MSG_STOCK_REFUSED))
@@ -194,10 +205,10 @@ def adjust_stock(products: DataFrame, changes: DataFrame, now: _dt.datetime) ->
 
 
 def bulk_stock(products: DataFrame, changes: DataFrame, now: _dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """The bulk form: one flag per product; good changes are applied
+    """The bulk form: one flag per product, true if all its changes were accepted; good changes are applied
     even when others fail."""
     new_products, j = _stock_changes(products, changes, now)
-    flags = j.groupBy("product_id").agg(F.max("accepted").alias("success"))
+    flags = j.groupBy("product_id").agg(F.bool_and("accepted").alias("success"))
     return new_products, flags
 
 

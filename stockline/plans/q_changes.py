@@ -71,6 +71,29 @@ def post_sales_stock(spark, sf):
     return _post(spark, sf)[0].select("id", "current_stock")
 
 
+def _post_tables(spark, sf):
+    """Draft sales posted as completed ones, beside the sales that exist."""
+    sh = shop(spark, sf)
+    drafts = sh.sales.where(F.col("status") == "draft")
+    headers = drafts.select(F.col("id").alias("request_id"), "customer_name", "payment_method", "payment_status",
+                            F.lit("completed").alias("status"), "user_id", "sale_date")
+    return po.post_sales_tables(_lines(sh, "draft"), headers, sh.products, sh.sales.where(F.col("status") != "draft"), NOW)
+
+
+@register("post_sales_rows")
+def post_sales_rows(spark, sf):
+    """I4: the new rows of sales, with I2's numbers, I1's totals and H17's payment status."""
+    return _post_tables(spark, sf).sales.select(
+        "id", "sale_number", "customer_name", "total_amount", "tax_amount", "discount_amount", "grand_total", "payment_method",
+        "payment_status", "status", "user_id", "sale_date", "created_at")
+
+
+@register("post_sales_items")
+def post_sales_items(spark, sf):
+    """I4: the new rows of sale_items."""
+    return _post_tables(spark, sf).sale_items
+
+
 def _cancel(spark, sf):
     sh = shop(spark, sf)
     req = sh.sales.where(F.col("payment_method") == "card").select(F.col("id").alias("request_id"))
@@ -190,6 +213,17 @@ def adjust_stock_rows(spark, sf):
     return sn.adjust_stock(sh.products, ch, NOW)[0].select("id", "current_stock")
 
 
+@register("stock_ledger")
+def stock_ledger(spark, sf):
+    """I10 with many changes of a product: every sale takes its units out, every cancelled one brings them in."""
+    sh = shop(spark, sf)
+    units = sh.sale_items.groupBy(F.col("sale_id").alias("request_id"), "product_id").agg(F.sum("quantity").alias("units"))
+    gone = sh.sales.where(F.col("status") == "cancelled").select(F.col("id").alias("request_id"), F.lit(True).alias("gone"))
+    ch = units.join(gone, "request_id", "left").select(
+        "request_id", "product_id", F.when(F.col("gone"), F.col("units")).otherwise(-F.col("units")).alias("quantity"))
+    return sn.stock_ledger(sh.products, ch)
+
+
 @register("bulk_stock")
 def bulk_stock(spark, sf):
     """Set every product toward 10 - stock; negative results fail."""
