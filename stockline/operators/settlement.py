@@ -72,7 +72,7 @@ def _sums(work: DataFrame) -> DataFrame:
 def _with_verdicts(work: DataFrame, verdicts: DataFrame, refused: list[DataFrame]) -> DataFrame:
     """Open sales take their verdict (request_id, accepted); refused ones leave, and with them the products that no
     open line can miss any more."""
-    refused.append(cut_lineage(verdicts.where("not accepted").select("request_id")))
+    refused.append(verdicts.where("not accepted").select("request_id"))
     done = work.join(verdicts, "request_id", "left").where(F.coalesce("accepted", F.lit(True)))
     done = done.withColumn("state", F.when(F.col("accepted"), "accepted").otherwise(F.col("state"))).drop("accepted")
     tight = done.groupBy("product_id").agg(
@@ -81,12 +81,11 @@ def _with_verdicts(work: DataFrame, verdicts: DataFrame, refused: list[DataFrame
 
 
 def _by_bounds(work: DataFrame, refused: list[DataFrame]) -> DataFrame:
-    sums = cut_lineage(_sums(work))
-    verdicts = sums.where("state = 'open'").groupBy("request_id").agg(
+    verdicts = _sums(work).where("state = 'open'").groupBy("request_id").agg(
         F.bool_and(F.col("high") + F.col("qty") <= F.col("stock")).alias("fits"),
         F.bool_or(F.col("low") + F.col("qty") > F.col("stock")).alias("fails")).where("fits or fails").select(
         "request_id", F.col("fits").alias("accepted"))
-    return _with_verdicts(sums.drop("low", "high"), cut_lineage(verdicts), refused)
+    return _with_verdicts(work, cut_lineage(verdicts), refused)
 
 
 def _by_components(work: DataFrame, refused: list[DataFrame], slice_sales: int) -> DataFrame:
@@ -119,15 +118,15 @@ def _by_components(work: DataFrame, refused: list[DataFrame], slice_sales: int)
         if out:
             yield pd.DataFrame(out, columns=["request_id", "accepted"])
 
-    sums = cut_lineage(_sums(work).drop("high"))
-    lines = sums.where("state = 'open'")
-    # Sales are even nodes, products odd ones.
-    marks = component_marks(lines.select((F.col("request_id") * 2).alias("a"), (F.col("product_id") * 2 + 1).alias("b")))
-    sales = (lines.select("request_id", "_ts").distinct()
-             .join(marks.select((F.col("node") / 2).cast("long").alias("request_id"), "component").where(F.col("node") % 2 == 0), "request_id"))
+    lines = cut_lineage(_sums(work).where("state = 'open'").drop("high", "state"))
+    # The products of a sale are linked through its smallest one, which then tells the sale's component.
+    sales = cut_lineage(lines.groupBy("request_id", "_ts").agg(F.min("product_id").alias("least")))
+    links = lines.join(sales.select("request_id", "least"), "request_id")
+    marks = component_marks(links.select(F.col("least").alias("a"), F.col("product_id").alias("b")))
+    sales = sales.join(marks.withColumnRenamed("node", "least"), "least")
     first = running_totals(sales, ["component"], ["_ts", "request_id"], {"place": None}).where(F.col("place") <= slice_sales)
     settled = (lines.join(first.select("request_id", "component"), "request_id").repartition("component")
                .sortWithinPartitions("component", F.col("_ts").asc_nulls_first(), "request_id", "product_id")
                .select("component", "request_id", "product_id", "qty", "stock", "low")
                .mapInPandas(settle, "request_id long, accepted boolean"))
-    return _with_verdicts(sums.drop("low"), cut_lineage(settled), refused)
+    return _with_verdicts(work, cut_lineage(settled), refused)

@@ -26,13 +26,13 @@ def component_marks(edges: DataFrame) -> DataFrame:
                  .withColumnRenamed("a", "node"))
         # What a node hears is passed on to its mark too: otherwise only one side of an old link would learn of it.
         told = marks.join(heard, "node")
-        offers = (told.select("node", F.least("mark", "heard").alias("mark"))
-                  .union(told.select(F.col("mark").alias("node"), F.col("heard").alias("mark")))
-                  .groupBy("node").agg(F.min("mark").alias("mark")))
+        offers = (told.select("node", F.least("mark", "heard").alias("mark"), F.col("mark").alias("was"))
+                  .union(told.select(F.col("mark").alias("node"), F.col("heard").alias("mark"), F.lit(None).cast("long")))
+                  .groupBy("node").agg(F.min("mark").alias("mark"), F.max("was").alias("was")))
         onward = offers.select(F.col("node").alias("mark"), F.col("mark").alias("onward"))
         following = cut_lineage(offers.join(onward, "mark", "left").select(
-            "node", F.least("mark", F.coalesce("onward", "mark")).alias("mark")))
-        changed = following.join(marks.withColumnRenamed("mark", "old"), "node").where("mark < old").limit(1).count()
-        marks = following
+            "node", F.least("mark", F.coalesce("onward", "mark")).alias("mark"), "was"))
+        changed = following.where("mark < was").limit(1).count()
+        marks = following.drop("was")
         if not changed:
             return marks.withColumnRenamed("mark", "component")
