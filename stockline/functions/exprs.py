@@ -155,24 +155,32 @@ def active_label(is_active: ColumnOrName) -> Column:
 
 
 def percent_decimal(p: ColumnOrName) -> Column:
-    """A double percentage as the decimal its text shows (``Decimal(str(x))``)."""
-    return _c(p).cast("string").cast("decimal(7,4)")
+    """A double percentage as the decimal its text shows (``Decimal(str(x))``), up to 17 decimals."""
+    return _c(p).cast("string").cast("decimal(20,17)")
+
+
+def _percent_of(amount: Column, percent: Column) -> Column:
+    """``amount`` x ``percent`` / 100 with 21 decimals. The percent's whole and fractional parts are multiplied apart:
+    one product of both would need more than the 38 digits a decimal has."""
+    whole = F.floor(percent).cast("decimal(3,0)")
+    rest = (percent - whole).cast("decimal(17,17)")
+    product = (amount * whole).cast("decimal(32,19)") + (amount * rest).cast("decimal(32,19)")
+    return (product * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(34,21)")
 
 
 def line_amounts(unit_price: ColumnOrName, quantity: ColumnOrName,
                  tax_rate: ColumnOrName, discount_percent: ColumnOrName) -> dict[str, Column]:
-    """Exact line amounts for percents of up to four decimals (scale 8 after the discount, 14 after the
-    tax; the operands are narrowed so that no product needs more than 38 digits).
+    """Line amounts for percents of any digits a double prints, exact to the cent. The discount is exact; the tax is
+    taken of the taxable amount to 17 decimals, as fine as the 28 digits of decimal arithmetic.
 
     subtotal = price x qty; discount = subtotal x d% ; taxable = subtotal - discount;
     tax = taxable x t% ; total = taxable + tax. Rounding to cents happens only
     when a value is stored (``cast('decimal(10,2)')`` rounds half up).
     """
-    hundredth = F.lit("0.01").cast("decimal(2,2)")
     subtotal = (_c(unit_price) * _c(quantity).cast("decimal(10,0)")).cast("decimal(20,2)")
-    discount = subtotal * (percent_decimal(discount_percent) * hundredth).cast("decimal(9,6)")
-    taxable = (subtotal - discount).cast("decimal(28,8)")
-    tax = taxable * (percent_decimal(tax_rate) * hundredth).cast("decimal(9,6)")
+    discount = _percent_of(subtotal, percent_decimal(discount_percent))
+    taxable = (subtotal.cast("decimal(34,21)") - discount).cast("decimal(34,21)")
+    tax = _percent_of(taxable.cast("decimal(30,17)"), percent_decimal(tax_rate))
     total = taxable + tax
     return {"subtotal": subtotal, "discount_amount": discount, "taxable": taxable,
             "tax_amount": tax, "total": total}

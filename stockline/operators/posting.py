@@ -66,10 +66,10 @@ def priced_sales(lines: DataFrame, headers: DataFrame, products: DataFrame) -> D
         F.sum(a["subtotal"]).alias("_sub"), F.sum(a["tax_amount"]).alias("_tax"),
         F.sum(a["discount_amount"]).alias("_disc"), F.count(F.lit(1)).alias("line_count"))
     h = headers.join(sums, "request_id", "left")
-    zero = F.lit(0).cast("decimal(38,10)")
-    sub = F.coalesce(F.col("_sub"), zero)
-    tax = F.coalesce(F.col("_tax"), zero)
-    disc = F.coalesce(F.col("_disc"), zero)
+    zero = F.lit(0).cast("decimal(36,20)")
+    sub = F.coalesce(F.col("_sub").cast("decimal(36,20)"), zero)
+    tax = F.coalesce(F.col("_tax").cast("decimal(36,20)"), zero)
+    disc = F.coalesce(F.col("_disc").cast("decimal(36,20)"), zero)
     method = F.coalesce(F.col("payment_method"), F.lit("cash")) if "payment_method" in headers.columns \
         else F.lit("cash")
     status = F.coalesce(F.col("status"), F.lit("completed")) if "status" in headers.columns \
