@@ -354,6 +354,13 @@ SELECT s.id, s.sale_number, coalesce(nullif(u.full_name, ''), u.username) AS use
 FROM sales s LEFT JOIN users u ON s.user_id = u.id
   LEFT JOIN (SELECT sale_id, count(*) AS c, sum(quantity) AS u, sum(tot_c) AS t FROM sale_items GROUP BY sale_id) n
   ON n.sale_id = s.id""")
+q("sale_lines", """,
+ln AS (SELECT *, row_number() OVER (PARTITION BY sale_id ORDER BY product_id, quantity, up_c, tax_rate, tax_c, discount_percent,
+    disc_c, sub_c, tot_c, product_name, product_sku, product_barcode NULLS FIRST) AS line_no FROM sale_items)
+SELECT s.id AS sale_id, s.sale_number, coalesce(nullif(u.full_name, ''), u.username) AS user_name,
+  CAST(coalesce(n.c, 0) AS BIGINT) AS line_count, ln.line_no, ln.product_id, ln.quantity, ln.tot_c / 100.0 AS total
+FROM sales s LEFT JOIN users u ON s.user_id = u.id LEFT JOIN ln ON ln.sale_id = s.id
+  LEFT JOIN (SELECT sale_id, count(*) AS c FROM sale_items GROUP BY sale_id) n ON n.sale_id = s.id""")
 q("fk_violations", """
 SELECT 'sale_line_product' AS kind, sale_id AS request_id, product_id AS missing_key FROM sale_items
   WHERE product_id NOT IN (SELECT id FROM products)
@@ -511,7 +518,7 @@ DQ_SALES = """(SELECT id, sale_number, customer_name, CAST(NULL AS VARCHAR) AS c
 DQ_SUPPLIERS = """(SELECT id, name, contact_person, email, phone, CAST(NULL AS VARCHAR) AS city,
   CAST(NULL AS VARCHAR) AS state, country, CAST(NULL AS VARCHAR) AS postal_code, CAST(NULL AS VARCHAR) AS tax_id,
   CAST(NULL AS VARCHAR) AS website, payment_terms, rating FROM suppliers)"""
-LINE_KEY = "CAST(sale_id AS VARCHAR) || ':' || CAST(product_id AS VARCHAR)"
+LINE_KEY = "CAST(id AS VARCHAR)"
 
 
 def _rules_sql(table: str, source: str, rules, key: str = "CAST(id AS VARCHAR)") -> str:
@@ -527,7 +534,7 @@ q("dq_product_fields", _rules_sql("products", DQ_PRODUCTS, _dq.PRODUCT_FIELDS))
 q("dq_sales", _rules_sql("sales", DQ_SALES, _dq.SALE_CHECKS))
 q("dq_suppliers", _rules_sql("suppliers", DQ_SUPPLIERS, _dq.SUPPLIER_CHECKS + [
     ("email_shape", "regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')")]))
-q("dq_sale_lines", _rules_sql("sale_items", "(SELECT sale_id, product_id, quantity, up_c / 100.0 AS unit_price, "
+q("dq_sale_lines", _rules_sql("sale_items", "(SELECT id, sale_id, product_id, quantity, up_c / 100.0 AS unit_price, "
                                             "tax_rate, discount_percent FROM sale_items)",
                               _dq.SALE_LINE_CHECKS, LINE_KEY) + """
 UNION ALL
@@ -555,11 +562,78 @@ for _t, _cols in _dq.NOT_NULL.items():
     _nn.append(_rules_sql(_t, _nn_src[_t], [(f"not_null_{c}", f"{c} IS NOT NULL") for c in _cols], _key))
 q("dq_not_null", "\nUNION ALL\n".join(_nn))
 
+# ---------------------------------------------------------------- data-quality rules on dirtied tables
+# stockline.sources.dirty lists the same damage for both engines; here it is applied to the views by DuckDB.
+from stockline.sources.dirty import DAMAGE as _DAMAGE  # noqa: E402
+
+_DIRTY_SOURCE = {
+    "products": """(SELECT id, sku, name, category_id, supplier_id, cost_c / 100.0 AS cost_price, sp_c / 100.0 AS selling_price,
+      current_stock, min_stock_level, max_stock_level, unit_of_measure, brand, model, weight, CAST(NULL AS VARCHAR) AS dimensions, barcode, tax_rate
+      FROM products)""",
+    "sales": """(SELECT id, sale_number, customer_name, CAST(NULL AS VARCHAR) AS customer_email, CAST(NULL AS VARCHAR) AS customer_phone,
+      CAST(NULL AS VARCHAR) AS payment_reference, CAST(NULL AS VARCHAR) AS shipping_city, CAST(NULL AS VARCHAR) AS shipping_state,
+      CAST(NULL AS VARCHAR) AS shipping_country, CAST(NULL AS VARCHAR) AS shipping_pincode, payment_method, payment_status, status, user_id,
+      gt_c / 100.0 AS total_amount, 0.0 AS tax_amount, 0.0 AS discount_amount, gt_c / 100.0 AS grand_total FROM sales)""",
+    "sale_items": """(SELECT id, sale_id, product_id, quantity, up_c / 100.0 AS unit_price, tax_rate, tax_c / 100.0 AS tax_amount, discount_percent,
+      disc_c / 100.0 AS discount_amount, sub_c / 100.0 AS subtotal, tot_c / 100.0 AS total, product_name, product_sku FROM sale_items)""",
+    "suppliers": """(SELECT id, name, contact_person, email, phone, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS state, country,
+      CAST(NULL AS VARCHAR) AS postal_code, CAST(NULL AS VARCHAR) AS tax_id, CAST(NULL AS VARCHAR) AS website, payment_terms, rating FROM suppliers)""",
+    "categories": "(SELECT id, name FROM categories)",
+    "users": "(SELECT id, email, username FROM users)",
+}
+
+
+def _dirty(table: str) -> str:
+    columns: dict[str, list[str]] = {}
+    for column, when, value in _DAMAGE[table]:
+        columns.setdefault(column, []).append(f"WHEN {when} THEN {value}")
+    changed = ", ".join(f"CASE {' '.join(cases)} ELSE {c} END AS {c}" for c, cases in columns.items())
+    return f"(SELECT * REPLACE ({changed}) FROM {_DIRTY_SOURCE[table]})"
+
+
+def _dirty_rules(table: str, rules: list[tuple[str, str]]) -> str:
+    return _rules_sql(table, _dirty(table), rules, "CAST(id AS VARCHAR)")
+
+
+_EMAIL = [("email_shape", "regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')")]
+q("dq_dirty_product_checks", _dirty_rules("products", _dq.PRODUCT_CHECKS))
+q("dq_dirty_product_fields", _dirty_rules("products", _dq.PRODUCT_FIELDS))
+q("dq_dirty_sales", _dirty_rules("sales", _dq.SALE_CHECKS))
+q("dq_dirty_suppliers", _dirty_rules("suppliers", _dq.SUPPLIER_CHECKS + _EMAIL))
+q("dq_dirty_sale_lines", _dirty_rules("sale_items", _dq.SALE_LINE_CHECKS) + f"""
+UNION ALL SELECT 'sales', CAST(s.id AS VARCHAR), 'has_lines' FROM sales s LEFT JOIN (SELECT DISTINCT sale_id FROM {_dirty('sale_items')}) l
+  ON l.sale_id = s.id WHERE l.sale_id IS NULL""")
+q("dq_dirty_not_null", "\nUNION ALL\n".join(
+    _dirty_rules(_t, [(f"not_null_{c}", f"{c} IS NOT NULL") for c in _cols]) for _t, _cols in _dq.NOT_NULL.items()))
+q("dq_dirty_unique", "\nUNION ALL\n".join(
+    f"SELECT '{_t}' AS table_name, CAST({_c} AS VARCHAR) AS record_key, 'unique_{_c}' AS rule FROM {_dirty(_t)} WHERE {_c} IS NOT NULL "
+    f"GROUP BY {_c} HAVING count(*) > 1" for _t, _c in _dq.UNIQUE))
+_FKS = [("products", "category_id", "categories", "fk_category"), ("products", "supplier_id", "suppliers", "fk_supplier"),
+        ("sale_items", "sale_id", "sales", "fk_sale"), ("sale_items", "product_id", "products", "fk_product"), ("sales", "user_id", "users", "fk_user")]
+q("dq_dirty_foreign_keys", "\nUNION ALL\n".join(
+    f"SELECT '{_t}' AS table_name, CAST(c.id AS VARCHAR) AS record_key, '{_r}' AS rule FROM {_dirty(_t)} c LEFT JOIN {_p} p ON p.id = c.{_k} "
+    f"WHERE c.{_k} IS NOT NULL AND p.id IS NULL" for _t, _k, _p, _r in _FKS))
+q("fk_violations_dirty", "\nUNION ALL\n".join(
+    f"SELECT '{_kind}' AS kind, c.{_id} AS request_id, CAST(c.{_k} AS BIGINT) AS missing_key FROM {_dirty(_t)} c LEFT JOIN {_p} p ON p.id = c.{_k} "
+    f"WHERE p.id IS NULL" + (f" AND c.{_k} IS NOT NULL" if _t == "products" else "")      # a line must name its product
+    for _kind, _t, _id, _k, _p in [
+        ("sale_line_product", "sale_items", "sale_id", "product_id", "products"), ("product_category", "products", "id", "category_id", "categories"),
+        ("product_supplier", "products", "id", "supplier_id", "suppliers")]))
+
 # ---------------------------------------------------------------- sinks (read back)
 SQL["export_csv"] = SQL["sales_by_day"]
 SQL["sink_json"] = SQL["sales_by_product"]
 SQL["export_pair"] = SQL["inventory_report_summary"]
 SQL["export_report"] = SQL["sales_daily_report"]
+
+
+def _both_parts(data: str, summary: str) -> str:
+    return (f"SELECT 'data' AS part, * FROM ({data})\nUNION ALL BY NAME SELECT 'summary' AS part, * FROM ({summary})")
+
+
+SQL["export_pair_parts"] = _both_parts(SQL["inventory_report"], SQL["inventory_report_summary"])
+SQL["export_report_parts"] = _both_parts(
+    SQL["sales_daily_report"], SQL["sales_period_summary"].replace(FULL[0], W30[0]).replace("2405 AS days", "31 AS days"))
 SQL["payment_method_map"] = SQL["payment_method_counts"]
 
 # ---------------------------------------------------------------- I4 posting: the sequential rule replayed
@@ -626,7 +700,8 @@ SELECT acc.new_id AS id, 'SAL-' || acc.day_key || '-' || printf('%03d', coalesce
   'completed' AS status, acc.user_id, acc.sale_date, TIMESTAMP '2001-08-01 12:00:00' AS created_at
 FROM acc JOIN a ON a.sale_id = acc.id LEFT JOIN ex ON ex.day_key = acc.day_key""", recursive=True)
 SQL["post_sales_items"] = with_views(POSTED + """
-SELECT acc.new_id AS sale_id, i.product_id, i.quantity, i.up_c / 100.0 AS unit_price, i.tax_rate, i.tax_c / 100.0 AS tax_amount,
+SELECT acc.new_id * 1000000000 + row_number() OVER (PARTITION BY acc.new_id ORDER BY i.product_id, i.quantity, i.up_c, i.tax_rate,
+    i.discount_percent) AS id, acc.new_id AS sale_id, i.product_id, i.quantity, i.up_c / 100.0 AS unit_price, i.tax_rate, i.tax_c / 100.0 AS tax_amount,
   i.discount_percent, i.disc_c / 100.0 AS discount_amount, i.sub_c / 100.0 AS subtotal, i.tot_c / 100.0 AS total,
   p.name AS product_name, p.sku AS product_sku, p.barcode AS product_barcode, TIMESTAMP '2001-08-01 12:00:00' AS created_at
 FROM acc JOIN sale_items i ON i.sale_id = acc.id JOIN products p ON p.id = i.product_id""", recursive=True)

@@ -25,7 +25,8 @@ sales AS (
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 ),
 item_base AS (
-  SELECT l.l_orderkey AS sale_id, l.l_partkey AS product_id, p.p_name AS product_name,
+  SELECT l.l_orderkey * 1000000000 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_extendedprice,
+      l.l_quantity, l.l_discount, l.l_tax, l.l_shipdate) AS id, l.l_orderkey AS sale_id, l.l_partkey AS product_id, p.p_name AS product_name,
     CAST(l.l_quantity AS BIGINT) AS q,
     CAST(round(l.l_extendedprice * 100) AS BIGINT) AS ep,
     CAST(round(l.l_tax * 100) AS BIGINT) AS t,
@@ -37,7 +38,7 @@ item_cents AS (
   SELECT *, CASE WHEN q > 0 THEN (2 * ep + q) // (2 * q) ELSE 0 END AS upc FROM item_base
 ),
 sale_items AS (
-  SELECT sale_id, product_id, CAST(q AS INTEGER) AS quantity, upc AS up_c, q, t, d,
+  SELECT id, sale_id, product_id, CAST(q AS INTEGER) AS quantity, upc AS up_c, q, t, d,
     CAST(t AS DOUBLE) AS tax_rate, CAST(d AS DOUBLE) AS discount_percent,
     upc * q AS sub_c,
     (upc * q * d + 50) // 100 AS disc_c,

@@ -2,8 +2,8 @@
 their reports).
 
 Nested results are ``struct`` / ``array<struct>`` columns built with
-built-in functions. Item arrays are bounded: a sale larger than a chunk is
-spread over several rows (see :func:`sale_with_items`).
+built-in functions. A sale of any number of lines is a flat pair
+(:func:`sale_and_lines`); arrays are whole or in bounded parts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from stockline.functions.exprs import contains_ci, display_name, or_na, ratio, t
 from stockline.operators.filters import page
 from stockline.operators.inventory import with_names
 from stockline.operators.sales import completed_between, rolling_window
+from stockline.plans.ordered import running_totals
 
 CATEGORY_FIELDS_FULL = ("id", "name", "description", "created_at", "updated_at")
 SUPPLIER_FIELDS_FULL = ("id", "name", "contact_person", "email", "phone", "address", "city", "state",
@@ -88,36 +89,55 @@ ITEM_FIELDS = ("product_id", "quantity", "unit_price", "tax_rate", "tax_amount",
                "discount_amount", "subtotal", "total", "product_name", "product_sku", "product_barcode")
 
 
+def numbered_lines(sale_items: DataFrame) -> DataFrame:
+    """``sale_items`` with ``line_no``, 1.. within each sale, in the order of :data:`ITEM_FIELDS`. Counted over ranges, so
+    the lines of a hot sale are many tasks' work. Lines of no sale are left out."""
+    return running_totals(sale_items.where("sale_id is not null"), ["sale_id"], list(ITEM_FIELDS), {"line_no": None})
+
+
+def sale_and_lines(sales: DataFrame, sale_items: DataFrame, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """C9 (+ C8) as a flat pair: (headers with ``line_count``, lines with ``line_no`` from 1). A sale of any size is
+    rows of the same shape, and no task holds a sale's lines."""
+    counts = sale_items.groupBy("sale_id").agg(F.count(F.lit(1)).alias("line_count"))
+    heads = sales.join(counts, sales.id == counts.sale_id, "left").drop("sale_id").withColumn(
+        "line_count", F.coalesce("line_count", F.lit(0)))
+    return _named(heads, users), numbered_lines(sale_items)
+
+
+def sale_item_arrays(sales: DataFrame, sale_items: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """C9 (+ C8) nested: one row per sale with all its ``items`` in one sorted array, an empty one when it has none. An
+    array is one value of one task; sales without a bound on their lines are :func:`sale_and_lines`' case."""
+    items = sale_items.groupBy("sale_id").agg(F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items"))
+    return _with_arrays(sales, items, users)
+
+
 def sale_with_items(sales: DataFrame, sale_items: DataFrame, users: DataFrame | None = None,
                     chunk_lines: int = 10000) -> DataFrame:
-    """C9 (+ C8): each sale with its ``items`` array; an empty array when it
-    has none.
-
-    A sale with more than ``chunk_lines`` lines is split over several rows
-    (``part`` 0..k-1, lines spread by a hash of their fields) so that no
-    array, and no task building one, holds an unbounded group: a hot sale
-    with a third of all lines becomes many bounded rows, all of them kept.
-    Arrays are sorted, so each row is repeatable.
-    """
-    counts = sale_items.groupBy("sale_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = counts.select("sale_id", F.ceil(F.col("_n") / F.lit(chunk_lines)).cast("bigint").alias("_k"))
-    line = F.struct(*ITEM_FIELDS)
-    lines = (sale_items.join(parts, "sale_id")
-             .withColumn("part", F.pmod(F.xxhash64(line), F.col("_k"))))
-    # Shuffle on (sale, part), not on sale alone: the parts of a hot sale go
-    # to different tasks, and the join above stays free for AQE's skew split.
-    items = (lines.repartition("sale_id", "part").groupBy("sale_id", "part")
-             .agg(F.sort_array(F.collect_list(line)).alias("items")))
+    """C9 (+ C8) nested in bounded rows: a sale's lines in order, at most ``chunk_lines`` to an ``items`` array, one row per
+    ``part`` 0, 1, ...; one part with an empty array when it has no lines."""
+    # Sales of one part need no numbers; only lines of larger ones are counted, over ranges.
+    large = sale_items.groupBy("sale_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_lines).select("sale_id")
+    zero = F.lit(0).cast("bigint")
+    many = numbered_lines(sale_items.join(large, "sale_id", "left_semi")).withColumn(
+        "part", F.floor((F.col("line_no") - 1) / F.lit(chunk_lines))).drop("line_no")
+    lines = sale_items.join(large, "sale_id", "left_anti").withColumn("part", zero).unionByName(many)
+    items = lines.groupBy("sale_id", "part").agg(F.sort_array(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items"))
+    return _with_arrays(sales, items, users).withColumn("part", F.coalesce("part", zero))
+
+
+def _with_arrays(sales: DataFrame, items: DataFrame, users: DataFrame | None) -> DataFrame:
     # The arrays hold every line: their size grows with the data and has no
     # bound, so this side is never broadcast (the static estimate comes from
     # compressed file sizes and can be far too small).
     j = sales.join(items.hint("merge"), sales.id == items.sale_id, "left").drop("sale_id")
-    j = (j.withColumn("part", F.coalesce(F.col("part"), F.lit(0).cast("bigint")))
-          .withColumn("items", F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType))))
-    if users is not None:
-        u = users.select(F.col("id").alias("_uid"), display_name("full_name", "username").alias("user_name"))
-        j = j.join(u, j.user_id == u._uid, "left").drop("_uid")
-    return j
+    return _named(j.withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType))), users)
+
+
+def _named(sales: DataFrame, users: DataFrame | None) -> DataFrame:
+    if users is None:
+        return sales
+    u = users.select(F.col("id").alias("_uid"), display_name("full_name", "username").alias("user_name"))
+    return sales.join(u, sales.user_id == u._uid, "left").drop("_uid")
 
 
 def fk_violations(sale_lines: DataFrame | None = None, products: DataFrame | None = None,

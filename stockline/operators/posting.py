@@ -23,7 +23,7 @@ from stockline.functions.exprs import (auto_payment_status, cancel_payment_statu
                                        line_amounts, sale_number, sale_number_seq, stamp_updated, store_money, ts_lit)
 from stockline.operators.settlement import MSG_BAD_QUANTITY, MSG_NO_PRODUCT, collapsed_lines, decide
 from stockline.plans.ordered import running_totals
-from stockline.schema import SALE_ITEMS, SALES, conform
+from stockline.schema import LINES_PER_SALE, SALE_ITEMS, SALES, conform
 from stockline.session import cut_lineage
 
 # Fixed messages (as the reference words them).
@@ -202,7 +202,8 @@ def post_sales_tables(lines: DataFrame, headers: DataFrame, products: DataFrame,
     Accepted sales become full rows of ``sales``: ids follow the largest existing id in arrival order, numbers are
     I2's (a refused sale uses none), totals I1's, payment status H17's; other columns are the header's. A header without
     a date is made ``now``, for its place in the day; in arrival order it comes first. Lines become rows
-    of ``sale_items`` with the amounts and the product's name, sku and barcode at sale time. ``created_at`` is ``now``.
+    of ``sale_items`` with the amounts and the product's name, sku and barcode at sale time; a line's id is made of its sale's
+    id and its place there. ``created_at`` is ``now``.
     Requests of either table that are refused add no row."""
     results = decide_sales(lines, headers, products)
     accepted = results.where("accepted").select("request_id")
@@ -219,8 +220,9 @@ def post_sales_tables(lines: DataFrame, headers: DataFrame, products: DataFrame,
     rows = (heads.drop(*[c for c in totals.columns if c != "request_id"], "sale_number", "id", "created_at", "updated_at")
             .join(ids, "request_id").join(numbers, "request_id").join(totals, "request_id")
             .withColumns({"sale_date": F.col("_made"), "created_at": made}))
-    items = priced_lines(taken, products).join(ids.select("request_id", F.col("id").alias("sale_id")), "request_id").withColumn(
-        "created_at", made)
+    priced = priced_lines(taken, products).join(ids.select("request_id", F.col("id").alias("sale_id")), "request_id")
+    items = running_totals(priced, ["sale_id"], ["product_id", "quantity", "unit_price", "tax_rate", "discount_percent"], {"place": None}).withColumns(
+        {"id": F.col("sale_id") * LINES_PER_SALE + F.col("place"), "created_at": made})
     return Posted(_less_stock(products, lines, accepted, now), conform(rows, SALES), conform(items, SALE_ITEMS), results)
 
 

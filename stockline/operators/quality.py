@@ -85,8 +85,8 @@ VIOLATION_COLS = ["table_name", "record_key", "rule"]
 
 
 def line_key() -> Column:
-    """Sale lines have no id of their own: sale and product identify them here."""
-    return F.concat_ws(":", F.col("sale_id").cast("string"), F.col("product_id").cast("string"))
+    """A sale line's id; lines without one are named by sale and product."""
+    return F.coalesce(F.col("id").cast("string"), F.concat_ws(":", F.col("sale_id").cast("string"), F.col("product_id").cast("string")))
 
 
 def row_rules(df: DataFrame, table: str, rules: list[tuple[str, str | Column]],

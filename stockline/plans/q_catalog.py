@@ -188,9 +188,9 @@ def product_detail(spark, sf):
 @register("sale_with_items")
 def sale_with_items(spark, sf):
     """Per sale, number of lines, units and total read back from the
-    nested items arrays (summed over a sale's parts)."""
+    nested items arrays."""
     sh = shop(spark, sf)
-    n = jn.sale_with_items(sh.sales, sh.sale_items, sh.users)
+    n = jn.sale_item_arrays(sh.sales, sh.sale_items, sh.users)
     per_row = n.select(
         "id", "sale_number", "user_name",
         F.size("items").alias("n"),
@@ -202,6 +202,16 @@ def sale_with_items(spark, sf):
         F.sum("t").cast("double").alias("items_total"))
 
 
+@register("sale_lines")
+def sale_lines(spark, sf):
+    """C9 flat: every line with its place in its sale, and the sale's number of lines and user."""
+    sh = shop(spark, sf)
+    heads, lines = jn.sale_and_lines(sh.sales, sh.sale_items, sh.users)
+    heads = heads.select(F.col("id").alias("sale_id"), "sale_number", "user_name", "line_count")
+    return lines.join(heads, "sale_id", "right").select(
+        "sale_id", "sale_number", "user_name", "line_count", "line_no", "product_id", "quantity", "total")
+
+
 @register("fk_violations")
 def fk_violations(spark, sf):
     sh = shop(spark, sf)

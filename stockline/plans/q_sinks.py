@@ -55,6 +55,25 @@ def export_report(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(paths["data"])
 
 
+@register("export_pair_parts")
+def export_pair_parts(spark, sf):
+    """A5: both parts of the inventory export, read back as one tagged table."""
+    sh = shop(spark, sf)
+    data, summary = (present(d) for d in sinks.report_for(sh, "inventory", AS_OF))
+    path = scratch_path(spark, "export_pair_parts")
+    sinks.export_pair(data, summary, path, "parquet")
+    return sinks.read_pair(spark, path, data.schema, summary.schema)
+
+
+@register("export_report_parts")
+def export_report_parts(spark, sf):
+    """Both parts of the ``sales`` export as CSV, read back as one tagged table."""
+    sh = shop(spark, sf)
+    data, summary = (present(d) for d in sinks.report_for(sh, "sales", AS_OF))
+    paths = sinks.export_report(sh, "sales", scratch_path(spark, "export_report_parts"), AS_OF, "csv", now=NOW)
+    return sinks.read_pair(spark, paths["data"].rpartition("/")[0], data.schema, summary.schema, "csv")
+
+
 @register("payment_method_map")
 def payment_method_map(spark, sf):
     """D7 in its map form, flattened back to rows for the comparison."""

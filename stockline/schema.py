@@ -62,8 +62,11 @@ SALES = _s(
     ("updated_at", TS, True),
 )
 
+# Ids of sale lines made here: the sale's id times this, and the line's place in its sale.
+LINES_PER_SALE = 1_000_000_000
+
 SALE_ITEMS = _s(
-    ("sale_id", KEY, False), ("product_id", KEY, False), ("quantity", T.IntegerType(), False),
+    ("id", KEY, True), ("sale_id", KEY, False), ("product_id", KEY, False), ("quantity", T.IntegerType(), False),
     ("unit_price", MONEY, False), ("tax_rate", T.DoubleType(), False),
     ("tax_amount", MONEY, False), ("discount_percent", T.DoubleType(), False),
     ("discount_amount", MONEY, False), ("subtotal", MONEY, False), ("total", MONEY, False),

@@ -9,8 +9,11 @@ column widths and drawn charts are presentation and are not built).
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockline.operators import inventory as inv
 from stockline.operators import sales as sal
@@ -45,10 +48,36 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 
 def export_pair(data: DataFrame, summary: DataFrame, path: str, fmt: str = "parquet",
                 mode: str = "errorifexists") -> dict[str, str]:
-    """A5 (re-aimed): the report's rows and its one-row summary, written as
-    ``path/data`` and ``path/summary``."""
-    return {"data": write_table(data, f"{path}/data", fmt, mode),
-            "summary": write_table(summary, f"{path}/summary", fmt, mode)}
+    """A5 (re-aimed): the report's rows and its one-row summary as ``path/data`` and ``path/summary``.
+
+    Both are written beside ``path`` first and appear there together, by one rename of their folder: a reader
+    finds both parts or none. ``mode`` is errorifexists or overwrite."""
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError("mode must be errorifexists or overwrite")
+    spark, path = data.sparkSession, path.rstrip("/")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "errorifexists" and store.exists(target):
+        raise FileExistsError(path)
+    aside = f"{path}.{uuid.uuid4().hex}"
+    write_table(data, f"{aside}/data", fmt)
+    write_table(summary, f"{aside}/summary", fmt)
+    if mode == "overwrite":
+        store.delete(target, True)
+    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), target):
+        raise FileExistsError(path)
+    return {"data": f"{path}/data", "summary": f"{path}/summary"}
+
+
+def read_pair(spark: SparkSession, path: str, data_schema: T.StructType, summary_schema: T.StructType,
+              fmt: str = "parquet") -> DataFrame:
+    """Both parts of :func:`export_pair` as one table: ``part`` (data or summary) and the columns of both, NULL where a
+    part lacks them."""
+    parts = []
+    for part, schema in (("data", data_schema), ("summary", summary_schema)):
+        rows = spark.read.schema(schema).format(fmt).option("header", True).load(f"{path.rstrip('/')}/{part}")
+        parts.append(rows.select(F.lit(part).alias("part"), *schema.names))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def write_snapshot(df: DataFrame, path: str, source_paths: list[str] | None = None,

@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as _dt
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockline import schema as S
@@ -97,14 +97,19 @@ def _barcode(partkey: Column) -> Column:
 
 def sale_items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_source(spark, sf_dir, "lineitem",
-                     ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
+                     ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                       "l_tax", "l_shipdate"])
+    # Line numbers repeat within an order, so a line's id is its place among its order's lines. A plan that does not
+    # read the id has no window.
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"))
+    li = li.withColumn("_id", F.col("l_orderkey") * S.LINES_PER_SALE + place)
     part = _lookup(read_source(spark, sf_dir, "part", ["p_partkey", "p_name"]), "p_partkey", ["p_name"])
     j = li.join(part, li.l_partkey == part.p_partkey, "left")
     # Whole numbers first: q units, ep extended price in cents, t / d whole percents,
     # upc unit price in cents rounded half up = (2 ep + q) div (2 q).
     base = j.selectExpr(
-        "l_orderkey AS sale_id", "l_partkey AS product_id", "p_name AS product_name",
+        "_id AS id", "l_orderkey AS sale_id", "l_partkey AS product_id", "p_name AS product_name",
         "CAST(l_quantity AS BIGINT) AS q",
         "CAST(round(l_extendedprice * 100) AS BIGINT) AS ep",
         "CAST(round(l_tax * 100) AS BIGINT) AS t",
@@ -113,7 +118,7 @@ def sale_items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base.withColumn("upc", F.expr("CASE WHEN q > 0 THEN (2 * ep + q) div (2 * q) ELSE 0 END"))
     gross = "(upc * q)"
     return base.select(
-        "sale_id", "product_id",
+        "id", "sale_id", "product_id",
         F.col("q").cast("int").alias("quantity"),
         _cents_to_money(F.col("upc")).alias("unit_price"),
         F.col("t").cast("double").alias("tax_rate"),
