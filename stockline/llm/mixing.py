@@ -7,7 +7,8 @@
    least squares finds rates r >= 0 whose expected domain totals, sum of r n p, match the target weights
    of the whole budget. Residuals are measured in the metric of the domains' co-membership matrix M (the sum
    of n p p'), in which the problem has unit curvature: a document's gradient is p M^-1 (residual), the step
-   is 1, and targets that can be met without the bound are met in one step. A rate depends on the posterior
+   is 1, and targets that can be met without the bound are met in one step. Where the bound holds many rates at 0, steps in
+   the metric of the other rows alone keep the progress (:func:`solve`). A rate depends on the posterior
    alone, so a step is one aggregate over the words per distinct posterior: naive Bayes sums have two decimals
    and a bound, which keeps that table to 12,001 rows for two domains (its square for three), whatever the corpus.
    The steps taken are the whole state: a document's rate is recomputed from them, nothing is updated in
@@ -19,6 +20,7 @@ tasks read), the domains-by-domains matrix and one vector a step.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -27,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.storage import drop_stored, stored
+from stockline.llm.storage import drop_stored, smallest_hashes, stored
 
 TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
 MIN_Z = 3.0
 MAX_SCORE = 60.0           # naive Bayes sums beyond this count as this
-STEPS = 25
-TOLERANCE = 1e-5           # of the budget
+TOLERANCE = 1e-6           # of the budget: largest domain residual
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -79,9 +80,8 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: in
     logistic curve from its sum to its log-odds against the first. Rows of other or null domains are no
     labels; of several domains of an id the first in ``domains`` counts."""
     order = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain"))
-    sample = (labelled.where(F.col("doc_id").isNotNull() & F.coalesce(order > 0, F.lit(False)))
-              .groupBy("doc_id").agg(F.min(order).cast("int").alias("domain"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
+    sample = smallest_hashes(labelled.where(F.col("doc_id").isNotNull() & F.coalesce(order > 0, F.lit(False)))
+                             .groupBy("doc_id").agg(F.min(order).cast("int").alias("domain")), "doc_id", train_docs)
     train = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_label_id")), F.col("id") == F.col("_label_id"))
     train = stored(features(train.select("domain", "text")), "mixing-training")
     model = Classifier(domains, _weights(train, len(domains)), [])
@@ -163,45 +163,110 @@ def _rate_by_data(steps: list[list[float]]) -> Column:
     return F.expr(f"aggregate(array({rows}), 1.0D, (r, s) -> greatest(0.0D, r - ({change})))")
 
 
-def solve(table: DataFrame, targets: list[float], steps: int = STEPS) -> list[list[float]]:
-    """Steps of the least-squares rates over ``table`` (n_words, p_k): expected domain shares of the budget
-    (all words) towards ``targets``. A table without words takes no step (rate 1)."""
+@dataclass
+class Solution:
+    """Steps of the rates, and what they leave of each domain's target share (expected - target). ``reached``: nothing
+    above the tolerance; otherwise no rates >= 0 reach the targets."""
+    steps: list[list[float]]
+    residual: list[float]
+
+    @property
+    def reached(self) -> bool:
+        return max(map(abs, self.residual)) <= TOLERANCE
+
+
+def reachable(table: DataFrame, targets: list[float], inverse: np.ndarray) -> bool:
+    """Whether some rates >= 0 meet the targets: whether they lie in the cone of the posteriors of ``table`` (p_k).
+
+    The cone's point nearest to the targets is found from its rays: each round one aggregate finds the row that the
+    residual points away from most, and the best weights of at most as many rows as domains are solved for again."""
+    size, t = len(targets), np.array(targets)
+    rays, best = [], float(t @ inverse @ t)
+    while True:
+        miss = -t
+        for used in itertools.chain.from_iterable(itertools.combinations(range(len(rays)), k) for k in range(1, size + 1)):
+            c = np.array([rays[k] for k in used]).T
+            x = np.linalg.lstsq(c.T @ inverse @ c, c.T @ inverse @ t, rcond=None)[0]
+            if (x >= 0).all() and (c @ x - t) @ inverse @ (c @ x - t) < miss @ inverse @ miss:
+                miss, kept = c @ x - t, used
+        now = float(miss @ inverse @ miss)
+        if np.abs(miss).max() <= TOLERANCE:
+            return True
+        if rays:
+            if now > best * (1 - 1e-9):
+                return False
+            rays, best = [rays[k] for k in kept], now
+        along = sum((F.col(f"p_{k}") * float(g) for k, g in enumerate(inverse @ miss)), F.lit(0.0))
+        row = table.agg(F.min_by(F.array(*[F.col(f"p_{k}") for k in range(size)]), along)).first()[0]
+        rays.append(np.array(row))
+
+
+def solve(table: DataFrame, targets: list[float]) -> Solution:
+    """Least-squares rates over ``table`` (n_words, p_k): expected domain shares of the budget (all words)
+    towards ``targets``. A table without words takes no step (rate 1).
+
+    Each round measures the residual. The plain projected-gradient step always lowers the objective, but is short once
+    many rates are 0: then the step in the metric of the rows whose rate is positive is tried first, and taken back if the
+    objective does not fall by it. Rounds go on until the residual is within the tolerance, however many it takes. Only if
+    a round brings little is it asked whether the targets can be met at all; if they can't, rates would grow without
+    bound on ever fewer documents, so the rounds end there and what is missed is reported."""
     size = len(targets)
     p = [F.col(f"p_{k}") for k in range(size)]
-    table = stored(table.groupBy(*p).agg(F.sum("n_words").alias("n_words")), "posteriors")
-    first = table.agg(F.sum("n_words").alias("n"), *[F.sum(F.col("n_words") * p[i] * p[j]).alias(f"a_{i}_{j}")
-                                                      for i in range(size) for j in range(i + 1)]).first()
+    table = stored(table.groupBy(*p).agg(F.sum("n_words").alias("n_words")).where("n_words > 0"), "posteriors")
+    pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+    goal = np.array(targets)
+
+    def measured(taken):
+        """(residual, co-membership of the rows of positive rate)"""
+        words = F.col("n_words")
+        row = table.withColumn("_rate", _rate_by_data(taken)).agg(
+            F.sum(words), *[F.sum(words * F.col("_rate") * x) for x in p],
+            *[F.coalesce(F.sum(F.when(F.col("_rate") > 0, words * p[i] * p[j])), F.lit(0.0)) for i, j in pairs]).first()
+        if not row[0]:
+            return None, None
+        gram = np.zeros((size, size))
+        for (i, j), x in zip(pairs, row[size + 1:]):
+            gram[i, j] = gram[j, i] = x / row[0]
+        return np.array(row[1:size + 1], float) / row[0] - goal, gram
+
     taken: list[list[float]] = []
-    if first.n:
-        total = float(first.n)
-        gram = np.array([[first[f"a_{max(i, j)}_{min(i, j)}"] / total for j in range(size)] for i in range(size)])
-        inverse = np.linalg.inv(gram + 1e-4 * np.eye(size))
-        last = math.inf
-        for _ in range(steps):
-            rate = F.col("n_words") * _rate_by_data(taken)
-            sums = table.agg(*[F.sum(rate * x) for x in p]).first()
-            step = inverse @ (np.array(sums, float) / total - np.array(targets))
-            miss = float(step @ gram @ step)     # the objective, twice
-            if np.abs(gram @ step).max() < TOLERANCE or miss > 0.99 * last:
+    residual, gram = measured(taken)
+    if residual is None:
+        drop_stored(table)
+        return Solution([], [0.0] * size)
+    inverse = np.linalg.inv(gram + 1e-4 * np.eye(size))      # all rates are 1: the co-membership of all rows
+    can = None
+    while np.abs(residual).max() > TOLERANCE:
+        now = residual @ inverse @ residual
+        for step in (np.linalg.solve(gram + 1e-9 * np.eye(size), residual), inverse @ residual):
+            then, gram_then = measured([*taken, step.tolist()])
+            if then @ inverse @ then < now:
+                taken.append(step.tolist())
+                residual, gram = then, gram_then
+                break
+        if residual @ inverse @ residual > 0.9 * now:
+            can = reachable(table, targets, inverse) if can is None else can
+            if not can or residual @ inverse @ residual >= now:
                 break
-            last = miss
-            taken.append(step.tolist())
     drop_stored(table)
-    return taken
+    return Solution(taken, residual.tolist())
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text",
                  id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, n_words, p_<domain>..., rate) of every row.
+    """(doc_id, n_words, p_<domain>..., rate, missed) of every row. ``missed`` is the same on all rows: the largest share
+    of the budget by which a domain's expected total is off its target (0 within the tolerance; above it, no
+    rates >= 0 meet the targets).
 
     ``targets`` gives the domains (the first is the classifier's reference) and their weights (scaled to
     sum 1). Null and empty texts have no words; their posterior is the prior. Null ids stay null; repeated rows get
     equal rates; an empty table gives an empty result, no labels equal posteriors by prior. Extra columns
     are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    _, steps, table = _solved(rows, labelled, targets, train_docs)
+    _, found, table = _solved(rows, labelled, targets, train_docs)
+    missed = 0.0 if found.reached else max(map(abs, found.residual))
     return table.select(F.col("id").alias("doc_id"), "n_words",
-                        *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(targets)], rate_of(steps).alias("rate"))
+                        *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(targets)], rate_of(found.steps).alias("rate"), F.lit(missed).alias("missed"))
 
 
 def _solved(rows, labelled, targets, train_docs):
@@ -217,9 +282,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], train
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
                        F.struct(*docs.columns).alias("_own"))
     # The rows are stored beside their posteriors: writing them costs less than finding their words again.
-    _, steps, table = _solved(rows, labelled, targets, train_docs)
+    _, found, table = _solved(rows, labelled, targets, train_docs)
     draw = F.pmod(F.xxhash64("_own.doc_id", "_own.text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = table.select("_own", rate_of(steps).alias("_rate"))
+    rows = table.select("_own", rate_of(found.steps).alias("_rate"))
     times = (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int")
     return rows.withColumn("_times", times).where("_times > 0").withColumn(
         "_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"_own.{c}") for c in docs.columns])

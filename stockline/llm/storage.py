@@ -70,3 +70,37 @@ def rows_per_batch(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+@contextmanager
+def bytes_per_batch(spark: SparkSession, size: int):
+    """Within it, jobs hand about so many bytes at a time to Python: few rows of several megabytes, many of a few bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within it, the files of a job's shuffles go when it ends: for long rows of jobs that each write a table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of smallest hash of a unique ``key``. A first cut at a hash that about twice as many rows stay
+    below keeps what reaches the last task in proportion to ``most``, however many tasks there are."""
+    mark = F.xxhash64(key)
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.where(mark < F.lit(int(-2**63 + 2**64 * (2 * most / n))))
+    return rows.orderBy(mark, key).limit(most)
