@@ -242,12 +242,39 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     row each. An empty table gives an empty result. Extra columns are not read."""
     with rows_per_batch(docs.sparkSession, TEXT_ROWS):
         fps = stored(fingerprints(docs, text_col, id_col, shingle_words), "fingerprints")
-    reps = stored(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "fingerprint-classes")
-    found = connected_components(links(reps, max_bits))
-    # Two representatives may share an id (a repeated id with different texts): such rows are one node.
-    classes = stored(reps.join(found, reps["id"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")), "fingerprint-components")
-    out = fps.join(classes, "fp", "left").select(
+    classes = components(fps.where("id is not null"), max_bits)
+    return fps.join(classes, "fp", "left").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return out
+
+
+def components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint of ``fps`` (id, fp): the smallest fingerprint it is linked
+    with over any number of links, and the smallest id there. Fingerprints are the nodes: an id that stands on unlike
+    texts joins nothing."""
+    reps = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
+    found = connected_components(links(reps.select("fp", F.col("fp").alias("id")), max_bits))
+    rows = stored(reps.join(found, reps["fp"] == found["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")), "fingerprint-components")
+    least = rows.groupBy("component").agg(F.min("least").alias("component_id"))
+    return stored(rows.select("fp", "component").join(least, "component"), "fingerprint-groups")
+
+
+def deduplicated(docs: DataFrame, shingle_words: int = WORDS_PER_SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each group of near copies: the one of smallest doc_id, of several
+    such the one whose text and then whose row has the smallest hash, so that a repeated run keeps the same rows. Texts
+    that are not linked stay apart even if they share an id. Rows with a null id are in no group and stay. Columns are
+    those of ``docs``, whatever their names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.where("doc_id is not null").select(own.alias("own"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS):
+        fps = stored(fingerprints(docs.where("doc_id is not null").select(mark.alias("mark"), "text"), "text", "mark", shingle_words),
+                     "fingerprints")
+    # Texts are looked up by their hash: every copy of a text has the same fingerprint.
+    by_text = fps.groupBy(F.col("id").alias("mark")).agg(F.min("fp").alias("fp"))
+    groups = stored(by_text.join(components(fps, max_bits).select("fp", "component"), "fp").select("mark", "component"), "text-groups")
+    # The list of texts grows with the corpus: never broadcast, the same join at every size.
+    first = F.struct("id", "mark", F.xxhash64(F.to_json("own")))
+    kept = rows.join(groups.hint("merge"), "mark").groupBy("component").agg(F.min_by("own", first).alias("own"))
+    return kept.select("own.*").unionByName(docs.where("doc_id is null"))
