@@ -8,7 +8,7 @@ columns beyond those of documents are kept as they are.
 
 1. toxicity: documents predicted toxic go. Null and empty texts are not toxic.
 2. simhash_near_dedup: of each group of near copies the document with the smallest id stays; of rows with that
-   same id, one. Rows with a null id are in no group and stay.
+   same id, one. Unlike texts of one id both stay. Rows with a null id are in no group and stay.
 3. secret_scan: every secret is replaced by a mark and n_chars recounted; no document goes.
 4. mixing: each document stands floor(rate) times, and once more with the chance of the rest.
 5. best_fit_packing: one row per piece of a document, with its sequence and place.
@@ -24,7 +24,7 @@ from stockline.llm.mixing import mixed
 from stockline.llm.packing import packed
 from stockline.llm.queries import BYTE_BPE, WORD_BPE, label_domains
 from stockline.llm.secrets import redacted
-from stockline.llm.simhash import near_duplicates
+from stockline.llm.simhash import deduplicated
 from stockline.llm.storage import crc_bucket, stored
 from stockline.llm.toxicity import fit, score_column
 
@@ -39,13 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one whose id is the group's smallest."""
-    found = near_duplicates(docs)
-    firsts = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "firsts")
-    # The list of ids grows with the corpus: never broadcast, the same join at every size.
-    kept = docs.join(firsts.select(F.col("doc_id").alias("_first"), "_times").hint("merge"), F.col("doc_id") == F.col("_first"))
-    many = kept.where("_times > 1").select(*[F.col(c) for c in docs.columns]).dropDuplicates(["doc_id"])
-    once = kept.where("_times = 1").select(*[F.col(c) for c in docs.columns])
-    return once.unionByName(many).unionByName(docs.where("doc_id is null"))
+    return deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
