@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stockline import schema as S
 from stockline.functions.exprs import input_price, margin_percent, stamp_updated, ts_lit
 from stockline.operators.posting import apply_patch, fold_patches
+from stockline.plans.components import component_marks
 from stockline.plans.fold import conditional_fold
 from stockline.plans.ordered import running_totals
 from stockline.session import cut_lineage
@@ -38,33 +39,30 @@ PRODUCT_DEFAULTS = {"min_stock_level": 10, "max_stock_level": 100, "unit_of_meas
                     "is_active": True, "is_taxable": True, "tax_rate": 18.0, "current_stock": 0}
 
 
-def _rivals(requests: DataFrame, keys: list[str]) -> DataFrame:
+def _rivals(requests: DataFrame, keys: list[str], slice_requests: int = 50_000) -> DataFrame:
     """The requests (request_id, *keys) that lose a key to an earlier one: (request_id, _lost), the number in
     ``keys`` of the first key that an accepted request with a smaller id holds. Pass only requests that no other
     check refuses: a refused request takes no key from a later one. NULL keys clash with nothing.
 
-    Each round accepts the open requests that come first for all their keys and refuses those that share a
-    key with one of them. The earliest open request always wins, so the rounds end; without rivals the
-    first round decides all."""
+    A round accepts the open requests that come first for all their keys and refuses those that share a
+    key with one of them; without rivals the first round decides all. Chains of requests, each in the way of
+    the next, would take a round a link: what two rounds leave is cut into components of requests that share keys, and the
+    first ``slice_requests`` of each are replayed in order, many components a task. A longer chain goes round again, so
+    rounds grow with the logarithm of a chain (to find its component) and with its number of slices."""
     open_ = cut_lineage(requests.select("request_id", *keys))
-    accepted = None
+    rounds: list[DataFrame] = []
     while True:
-        firsts = open_
-        for k in keys:
-            first = open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("request_id").alias(f"_first_{k}"))
-            firsts = firsts.join(first, k, "left")
-        wins = F.lit(True)
-        for k in keys:
-            wins = wins & F.coalesce(F.col(f"_first_{k}") == F.col("request_id"), F.lit(True))
-        firsts = firsts.withColumn("_wins", wins)
-        won = cut_lineage(firsts.where("_wins").select("request_id", *keys))
-        accepted = won if accepted is None else cut_lineage(accepted.unionByName(won))
-        left = firsts.where("not _wins").select("request_id", *keys)
+        won = _replayed(open_, keys, slice_requests) if len(rounds) % 3 == 2 else _first_of_all(open_, keys)
+        rounds.append(won)
+        left = open_.join(won.select("request_id"), "request_id", "left_anti")
         for k in keys:
             left = left.join(won.where(F.col(k).isNotNull()).select(k), k, "left_anti")
         open_ = cut_lineage(left)
         if open_.isEmpty():
             break
+    accepted = rounds[0]
+    for won in rounds[1:]:
+        accepted = accepted.unionByName(won)
     out = requests.select("request_id", *keys)
     for n, k in enumerate(keys):
         held = accepted.where(F.col(k).isNotNull()).select(F.col(k), F.col("request_id").alias(f"_by_{n}"))
@@ -73,6 +71,41 @@ def _rivals(requests: DataFrame, keys: list[str]) -> DataFrame:
     return out.select("request_id", lost.alias("_lost")).where("_lost is not null")
 
 
+def _first_of_all(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """Open requests that are the first for every key they have."""
+    firsts, wins = open_, F.lit(True)
+    for k in keys:
+        first = open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("request_id").alias(f"_first_{k}"))
+        firsts = firsts.join(first, k, "left")
+        wins = wins & F.coalesce(F.col(f"_first_{k}") == F.col("request_id"), F.lit(True))
+    return cut_lineage(firsts.where(wins).select("request_id", *keys))
+
+
+def _replayed(open_: DataFrame, keys: list[str], slice_requests: int) -> DataFrame:
+    """The accepted among the first ``slice_requests`` open requests of every component, in request order."""
+    def replay(batches):
+        import pandas as pd
+        component, taken = None, set()
+        for batch in batches:
+            kept = []
+            for c, r, *held in batch[["component", "request_id", *keys]].itertuples(index=False, name=None):
+                if c != component:
+                    component, taken = c, set()
+                held = {(n, v) for n, v in enumerate(held) if v is not None and v == v}
+                if not held & taken:
+                    taken |= held
+                    kept.append((r, *[dict(held).get(n) for n in range(len(keys))]))
+            yield pd.DataFrame(kept, columns=["request_id", *keys])
+
+    # Keys are nodes, by hash: two keys of equal hash only put their requests into one component.
+    nodes = [F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(n), k)) for n, k in enumerate(keys)]
+    edges = open_.select("request_id", *keys, F.coalesce(*nodes).alias("a"), F.coalesce(*reversed(nodes)).alias("b"))
+    marks = component_marks(edges.select("a", "b")).withColumnRenamed("node", "a")
+    placed = running_totals(edges.join(marks, "a"), ["component"], ["request_id"], {"_place": None}).where(F.col("_place") <= slice_requests)
+    rows = placed.select("component", "request_id", *keys).repartition("component").sortWithinPartitions("component", "request_id")
+    return cut_lineage(rows.mapInPandas(replay, open_.select("request_id", *keys).schema))
+
+
 def _assign_ids(accepted: DataFrame, existing: DataFrame) -> DataFrame:
     """New ids after the largest existing id, in request order (one running
     count over the batch, split across partitions)."""
