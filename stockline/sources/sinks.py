@@ -90,6 +90,34 @@ def write_snapshot(df: DataFrame, path: str, source_paths: list[str] | None = No
     return write_table(df, path, fmt, "errorifexists")
 
 
+def publish_months(new_sales: DataFrame, changed: DataFrame, path: str) -> list[str | None]:
+    """I5-I7 on sales stored by month: rewrites only the months that hold changed or deleted sales.
+
+    ``path`` is a parquet table of sales partitioned by ``sale_month``; ``new_sales`` is the new snapshot (with that
+    column), ``changed`` the (id) of sales that it changes or leaves out. Rows of the months touched are read and
+    written beside the table and replace these months when the job commits (dynamic partition overwrite); all
+    other months' files stay as they are. A month that loses its last sale goes. Frames that still read the old
+    files of a month are not to be used afterwards. Returns the months touched: one value a month reaches the driver."""
+    spark = new_sales.sparkSession
+    old = spark.read.schema(new_sales.schema).parquet(path)
+    months = [r.sale_month for r in old.join(changed.select("id").distinct(), "id", "left_semi").select("sale_month").distinct().collect()]
+    months += [r.sale_month for r in new_sales.join(changed.select("id").distinct(), "id", "left_semi").select("sale_month").distinct().collect()]
+    months = sorted(set(months), key=str)
+    if not months:
+        return []
+    touched = F.coalesce(F.col("sale_month").isin([m for m in months if m is not None]), F.lit(False))
+    if None in months:
+        touched = touched | F.col("sale_month").isNull()
+    rows = new_sales.where(touched)
+    left = {r.sale_month for r in rows.select("sale_month").distinct().collect()}
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sale_month").parquet(path)
+    for month in set(months) - left:
+        folder = "__HIVE_DEFAULT_PARTITION__" if month is None else month
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/sale_month={folder}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return months
+
+
 def report_for(shop, report_type: str, as_of, start: _dt.date | None = None, end: _dt.date | None = None,
                group_by: str = "day", inventory_type: str = "stock_summary", category_id=None,
                supplier_id=None, include_inactive: bool = False) -> tuple[DataFrame, DataFrame]:
