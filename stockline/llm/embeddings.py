@@ -58,6 +58,8 @@ def _signed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                 for lo in range(0, len(rows), 512):
                     at = rows[lo:lo + 512]
                     x = flat[first[at][:, None] + np.arange(dim)]
+                    # By a power of two, which changes no cosine: squares of very large or small ones leave double's range.
+                    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
                     keys = _keys(x, bits, tables)
                     own = np.repeat(at, tables)
                     raw = [v.tobytes() for v in x]
