@@ -8,9 +8,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 
 
+
 def _at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
@@ -43,3 +45,53 @@ def mapped(uri: str, dtype):
 
 def _map(path: str, dtype):
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+
+
+def packed(columns: list[np.ndarray]) -> tuple[bytes, int]:
+    """(compressed bytes, plain length) of columns of 8-byte values."""
+    data = np.concatenate([c.view("<i8") for c in columns]).tobytes()
+    return pa.compress(data, codec="zstd", asbytes=True), len(data)
+
+
+class PackedWriter:
+    """Compressed arrays of many blocks in one new file: the blocks' bytes, then an index (block, offset, length),
+    then the index's length. The file's name is new for every attempt of a task, so nothing is ever replaced; the
+    caller keeps the name that the successful attempt returns."""
+
+    def __init__(self, folder: str):
+        self.name = f"{folder}/{uuid.uuid4().hex}"
+        store, path = _at(self.name)
+        store.create_dir(os.path.dirname(path), recursive=True)
+        self._out, self._index, self._offset = store.open_output_stream(path), [], 0
+
+    def add(self, block: int, columns: list[np.ndarray]) -> None:
+        self.add_packed(block, *packed(columns))
+
+    def add_packed(self, block: int, data: bytes, plain: int) -> None:
+        self._out.write(data)
+        self._index.append((block, self._offset, len(data), plain))
+        self._offset += len(data)
+
+    def close(self) -> str:
+        index = np.array(sorted(self._index), "<i8").tobytes()
+        self._out.write(index + np.array([len(index)], "<i8").tobytes())
+        self._out.close()
+        return self.name
+
+
+def read_packed(uri: str, block: int, columns: int) -> list[np.ndarray]:
+    """The columns of a block of a :class:`PackedWriter` file, as int64; empty ones if the file lacks it."""
+    store, path = _at(uri)
+    with store.open_input_file(path) as f:
+        size = f.size()
+        f.seek(size - 8)
+        length = int(np.frombuffer(f.read(8), "<i8")[0])
+        f.seek(size - 8 - length)
+        index = np.frombuffer(f.read(length), "<i8").reshape(-1, 4)
+        at = np.searchsorted(index[:, 0], block)
+        if at == len(index) or index[at, 0] != block:
+            return [np.zeros(0, np.int64)] * columns
+        _, offset, held, plain = index[at].tolist()
+        f.seek(offset)
+        data = pa.decompress(f.read(held), plain, codec="zstd", asbytes=True)
+    return list(np.frombuffer(data, "<i8").reshape(columns, -1))

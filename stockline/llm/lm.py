@@ -16,8 +16,9 @@ up to ``DEPTH`` preceding words of the same document.
 The tree grows with the corpus and is never collected or sent out: its sequences are tables keyed by a 64-bit hash
 (sequences whose hashes are equal would be counted as one), counts and divergences are map-side combined
 aggregates. Documents are re-coded once into blocks (the distinct words of a few megabytes of text, and word
-numbers in text order). A block gives each of its distinct sequences once to a level's counts and gets the count
-and probability of the frequent ones back as a file in the shared folder; the blocks themselves are never shuffled.
+numbers in text order). A block gives the key of each of its distinct sequences once to a level's counts, and gets the
+counts of the frequent ones and the weights of the retained contexts back in files of the shared folder, one a part
+of the blocks; the blocks themselves are never shuffled.
 
 :class:`Tree` is the same model in memory, for small vocabularies; the tests compare the two.
 """
@@ -32,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockline.llm.files import mapped, replaced
-from stockline.llm.storage import drop_stored, lean, partitions, rows_per_batch, stored
+from stockline.llm.files import PackedWriter, packed, read_packed
+from stockline.llm.storage import bytes_per_batch, delete_path, drop_stored, lean, partitions, shuffles_freed, stored
 from stockline.llm.words import encoded_words, slices
 from stockline.session import scratch_path
 
@@ -201,7 +202,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
                     "held": one(held, pa.bool_()),
                     "sizes": pa.array([rows.astype("<i4").tobytes()]),
-                    "codes": pa.array([codes.astype("<i4").tobytes()]),
+                    "codes": pa.array([pa.compress(codes.astype("<i4").tobytes(), codec="zstd", asbytes=True)]),
                     "words": one(words, pa.string()),
                     "train": one(train, pa.int64())})
                 k += 1
@@ -223,41 +224,82 @@ def counted_words(table: DataFrame) -> DataFrame:
         "block", "at", "c", F.when(F.col("turn") == 1, F.col("word")).alias("word"))
 
 
-def write_blocks(rows: DataFrame, order: str, columns: dict[str, str], folder: str) -> None:
-    """One file per block of ``rows`` (block, ...): its ``columns`` (name: numpy type of 8 bytes) one after the
-    other, sorted by ``order``. A block without rows has no file."""
+@dataclass
+class Packed:
+    """Columns of 8 bytes a block, in one file per part of the blocks."""
+    files: dict[int, str]       # part -> file
+    columns: int
+    folder: str = ""
+
+    def of(self, part: int, block: int) -> list[np.ndarray]:
+        if part not in self.files:
+            return [np.zeros(0, np.int64)] * self.columns
+        return read_packed(self.files[part], block, self.columns)
+
+
+def part_of(spark, block="block"):
+    """The part a block belongs to; as many as the session has shuffle partitions."""
+    return F.pmod(F.hash(block), F.lit(partitions(spark)))
+
+
+def write_blocks(rows: DataFrame, order: str, columns: dict[str, str], name: str) -> Packed:
+    """``rows`` (block, ...) as files: a block's ``columns`` (name: numpy type of 8 bytes), sorted by ``order``, one
+    file a part. Only the files' names reach the driver."""
+    spark = rows.sparkSession
+    folder = scratch_path(spark, name)
 
     def run(batches):
-        def flush(block, parts):
-            with replaced(f"{folder}/{block}") as out:
-                for column, kind in zip(zip(*parts), columns.values()):
-                    out.write(np.concatenate(column).astype(kind).tobytes())
+        writer, part_now, block_now, parts, done = None, None, None, [], []
+
+        def flush():
+            if parts:
+                writer.add(block_now, [np.concatenate(column).astype(kind) for column, kind in zip(zip(*parts), columns.values())])
+                parts.clear()
 
-        block, parts = None, []
         for batch in batches:
-            blocks_of, *cells = (batch.column(k).to_numpy() for k in range(batch.num_columns))
-            edge = np.nonzero(np.concatenate(([True], blocks_of[1:] != blocks_of[:-1], [True])))[0]
+            part, block, *cells = (batch.column(k).to_numpy() for k in range(batch.num_columns))
+            edge = np.nonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))[0]
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if blocks_of[lo] != block:
-                    if parts:
-                        flush(block, parts)
-                    block, parts = int(blocks_of[lo]), []
+                if block[lo] != block_now:
+                    flush()
+                    if part[lo] != part_now:
+                        if writer:
+                            done.append((part_now, writer.close()))
+                        writer, part_now = PackedWriter(folder), int(part[lo])
+                    block_now = int(block[lo])
                 parts.append([x[lo:hi].copy() for x in cells])
-        if parts:
-            flush(block, parts)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["done"])
+        flush()
+        if writer:
+            done.append((part_now, writer.close()))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int32()), pa.array([f for _, f in done])], ["part", "file"])
 
-    rows = rows.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block", order)
-    rows.select("block", *columns).mapInArrow(lean(run), "done long").count()
+    rows = rows.select(part_of(spark).alias("part"), "block", *columns).repartition(partitions(spark), "part").sortWithinPartitions(
+        "part", "block", order)
+    return Packed({r.part: r.file for r in rows.mapInArrow(lean(run), "part int, file string").collect()}, len(columns), folder)
 
 
-def _file(folder: str, block: int, columns: int) -> list[np.ndarray]:
-    """The columns of a block's file as int64."""
-    try:
-        with mapped(f"{folder}/{block}", "<i8") as cells:
-            return list(np.array(cells).reshape(columns, -1))
-    except FileNotFoundError:
-        return [np.zeros(0, np.int64)] * columns
+def write_marks(rows: DataFrame, name: str) -> Packed:
+    """The marks of ``rows`` (block, data, plain), packed by the blocks themselves, as files of one column, one a part."""
+    spark = rows.sparkSession
+    folder = scratch_path(spark, name)
+
+    def run(batches):
+        writer, now, done = None, None, []
+        for batch in batches:
+            for part, block, data, plain in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != now:
+                    if writer:
+                        done.append((now, writer.close()))
+                    writer, now = PackedWriter(folder), part
+                writer.add_packed(block, data, plain)
+        if writer:
+            done.append((now, writer.close()))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int32()), pa.array([f for _, f in done])], ["part", "file"])
+
+    rows = rows.select(part_of(spark).alias("part"), "block", "data", "plain").repartition(partitions(spark), "part").sortWithinPartitions(
+        "part", "block")
+    return Packed({r.part: r.file for r in rows.mapInArrow(lean(run), "part int, file string").collect()}, 1, folder)
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,17 +321,24 @@ def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 END_HASH = 0x5EED_0E4D
 
 
+@dataclass
+class LevelFiles:
+    """What the blocks know of their frequent sequences of one length."""
+    keys: Packed | None                # for a while: key, and its mark (2 * count + whether the block speaks for the sequence)
+    marks: Packed | None = None        # then: the marks of the block's sequences in the order of their keys, 0 for rare ones
+    rests: Packed | None = None        # retained contexts one word shorter, and the weight of the shorter context
+
+
 @dataclass
 class Facts:
-    """What every task knows of the corpus: a few numbers and the folders of the blocks' files."""
+    """What every task knows of the corpus: a few numbers and the names of the blocks' files."""
     n: int
     v: int
     discount: float
     ends: int
     floor: float
-    counts: str                                         # words' counts
-    levels: list[str] = field(default_factory=list)     # frequent sequences of 2, 3, ... words
-    rests: str | None = None                            # weights of the shorter context in retained contexts
+    counts: Packed                                              # words' counts
+    levels: list[LevelFiles] = field(default_factory=list)      # frequent sequences of 2, 3, ... words
 
 
 @dataclass
@@ -301,8 +350,13 @@ class Walk:
     key: np.ndarray        # hash of the sequence
     valid: np.ndarray      # it is frequent
     many: np.ndarray       # its count
-    p: np.ndarray          # probability of its last word after the others
-    gaps: list[np.ndarray]  # per level, frequent contexts before which the token makes no frequent sequence
+    p: np.ndarray          # probability of the word after the context one word shorter (last level), or after it
+    context: np.ndarray | None = None   # hash of the sequence before the word
+    known: np.ndarray | None = None     # it is frequent
+    big: np.ndarray | None = None       # its count
+    speaks: np.ndarray | None = None    # the block speaks for the sequence
+    asked: np.ndarray | None = None     # the sequence may be frequent
+    mark: np.ndarray | None = None
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the sequence before each token, whether it is a frequent one of the same document)."""
@@ -311,27 +365,35 @@ class Walk:
         return _shift(self.key, self.starts), known
 
 
-def walk(block: int, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray, facts: Facts) -> Walk:
-    c = np.append(_file(facts.counts, block, 1)[0] if len(hashes) else np.zeros(0, np.int64), facts.ends)
+def walk(part: int, block: int, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray, facts: Facts) -> Walk:
+    c = np.append(facts.counts.of(part, block)[0] if len(hashes) else np.zeros(0, np.int64), facts.ends)
     tokens, starts = with_ends(codes, sizes, len(hashes))
     word, count = np.append(hashes, END_HASH)[tokens], c[tokens]
     out = Walk(starts, word, count, word, count >= facts.floor, count,
-               root_probability(c, facts.n, facts.v, facts.discount)[tokens], [])
-    rest_keys, rests = _file(facts.rests, block, 2) if facts.rests else (np.zeros(0, np.int64),) * 2
-    for folder in facts.levels:
-        context, known = out.contexts()
-        keys, many, p = _file(folder, block, 3)
-        out.key = _longer(context, word)
-        at, there = _at(keys, out.key)
-        out.valid = out.valid & known & there
-        gap = known & ~out.valid
-        out.gaps.append(np.unique(context[gap]))
-        if len(rest_keys):
-            place, there = _at(rest_keys, context)
-            out.p = np.where(gap & there, rests.view(np.float64)[place] * out.p, out.p)
-        if len(keys):
-            out.p = np.where(out.valid, p.view(np.float64)[at], out.p)
-            out.many = np.where(out.valid, many[at], 0)
+               root_probability(c, facts.n, facts.v, facts.discount)[tokens])
+    for level in facts.levels:
+        out.context, out.known = out.contexts()
+        out.big = _shift(out.many, starts)
+        out.key = _longer(out.context, word)
+        out.asked = out.valid & out.known
+        out.mark = np.zeros(len(word), np.int64)
+        if level.marks:
+            which = np.unique(out.key[out.asked], return_inverse=True)[1]
+            out.mark[out.asked] = level.marks.of(part, block)[0][which]
+        else:
+            keys, marks = level.keys.of(part, block)
+            at, there = _at(keys, out.key)
+            if len(keys):
+                out.mark = np.where(out.asked & there, marks[at], 0)
+        out.valid = out.mark > 0
+        out.many, out.speaks = out.mark >> 1, (out.mark & 1).astype(bool)
+        if level.rests:
+            contexts, rests = level.rests.of(part, block)
+            place, there = _at(contexts, out.context)
+            use = out.known & there
+            if use.any():
+                own = np.where(out.valid, (out.many - DISCOUNT) / np.maximum(out.big, 1), 0.0)
+                out.p = np.where(use, own + rests.view(np.float64)[place] * out.p, out.p)
     return out
 
 
@@ -340,90 +402,99 @@ def _walks(batches, facts: Facts):
     for batch in batches:
         for k in range(batch.num_rows):
             cell = lambda name: batch.column(batch.schema.get_field_index(name))[k]  # noqa: B023, E731
-            sizes, codes = (np.frombuffer(cell(x).as_py(), "<i4").astype(np.int64) for x in ("sizes", "codes"))
+            sizes = np.frombuffer(cell("sizes").as_py(), "<i4").astype(np.int64)
+            codes = np.frombuffer(pa.decompress(cell("codes").as_py(), 4 * int(sizes.sum()), codec="zstd"), "<i4").astype(np.int64)
             hashes = cell("hashes").values.to_numpy(zero_copy_only=False).astype(np.int64)
             held = cell("held").values.to_numpy(zero_copy_only=False).astype(bool)
             block = cell("block").as_py()
-            yield batch, k, block, sizes, held, walk(block, sizes, codes, hashes, facts)
+            yield batch, k, block, sizes, held, walk(cell("part").as_py(), block, sizes, codes, hashes, facts)
 
 
 def sequences(table: DataFrame, facts: Facts) -> DataFrame:
-    """(block, key, context, n, big, shorter) of every block's distinct sequences one word longer than the levels in
-    ``facts``: training count in the block, count of the context, probability after the context one word shorter."""
+    """(block, key, n) of every block's distinct sequences one word longer than the levels in ``facts``; n is the
+    training count in the block."""
 
     def run(batches):
         for _, _, block, sizes, held, state in _walks(batches, facts):
             context, known = state.contexts()
             at = np.nonzero(known & state.valid)[0]
-            key, first, which = np.unique(_longer(context[at], state.word[at]), return_index=True, return_inverse=True)
-            n = np.bincount(which, np.repeat(~held, sizes + 1)[at], len(key)).astype(np.int64)
-            first = at[first]
+            key, which = np.unique(_longer(context[at], state.word[at]), return_inverse=True)
+            n = np.bincount(which, np.repeat(~held, sizes + 1)[at], len(key)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(n)],
+                                             ["block", "key", "n"])
+
+    return table.mapInArrow(lean(run), "block long, key long, n int")
+
+
+def spoken(table: DataFrame, facts: Facts) -> DataFrame:
+    """Of the last level, once each: (key, context, n, big, shorter) of every frequent sequence, by the block that speaks
+    for it; (context, block) of every block's frequent contexts; and (block, data, plain), a block's packed marks."""
+
+    def run(batches):
+        for _, _, block, _, _, state in _walks(batches, facts):
+            at = np.nonzero(state.speaks)[0]
+            key, first = np.unique(state.key[at], return_index=True)
+            at = at[first]
+            contexts = np.unique(state.context[state.known])
+            marks = state.mark[state.asked][np.unique(state.key[state.asked], return_index=True)[1]]
+            data, plain = packed([marks])
+            n, m = len(key), len(contexts)
+            none = lambda k, kind: pa.nulls(k, kind)
+            long, real, raw = pa.int64(), pa.float64(), pa.binary()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(context[first]), pa.array(n),
-                 pa.array(state.many[first - 1]), pa.array(state.p[first])],
-                ["block", "key", "context", "n", "big", "shorter"])
-
-    return table.mapInArrow(lean(run), "block long, key long, context long, n long, big long, shorter double")
-
-
-def add_tables(table: DataFrame, facts: Facts) -> DataFrame | None:
-    """Counts the next level, gives it back to the blocks (a folder more in ``facts``) and returns its retained
-    contexts (key, rest); None if no sequence is frequent."""
-    found = sequences(table, facts)
-    grams = stored(found.where("n > 0").groupBy("key").agg(
-        F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("context", "big", "shorter")]
-    ).where(F.col("n") >= facts.floor), "lm-sequences")
-    if grams.isEmpty():
-        return None
+                [pa.concat_arrays([pa.array(key), none(m + 1, long)]),
+                 pa.concat_arrays([pa.array(np.concatenate([state.context[at], contexts])), none(1, long)]),
+                 pa.concat_arrays([pa.array(state.many[at]), none(m + 1, long)]), pa.concat_arrays([pa.array(state.big[at]), none(m + 1, long)]),
+                 pa.concat_arrays([pa.array(state.p[at]), none(m + 1, real)]),
+                 pa.concat_arrays([none(n, long), pa.array(np.full(m + 1, block, np.int64))]),
+                 pa.concat_arrays([none(n + m, raw), pa.array([data], raw)]), pa.concat_arrays([none(n + m, long), pa.array([plain])])],
+                ["key", "context", "n", "big", "shorter", "block", "data", "plain"])
+
+    return table.mapInArrow(lean(run), "key long, context long, n long, big long, shorter double, block long, data binary, plain long")
+
+
+def add_level_files(table: DataFrame, facts: Facts) -> bool:
+    """Counts the next level and gives it back to the blocks (one more in ``facts``); False if no sequence is frequent.
+
+    Each block names a sequence once, so the rows of one sequence are at most the number of blocks, far below a
+    task's share. Only its key and a small count are shuffled; what the divergence test needs of a sequence
+    comes from the one block that speaks for it, after the rare ones are gone."""
+    same = Window.partitionBy("key")
+    found = sequences(table, facts).withColumns({
+        "all": F.sum("n").over(same), "first": F.min(F.when(F.col("n") > 0, F.col("block"))).over(same)})
+    found = found.where(F.col("all") >= facts.floor).select(
+        "block", "key", (F.col("all") * 2 + (F.col("first") == F.col("block")).cast("int")).alias("mark"))
+    # Stored, so that the shuffle of all sequences is gone before that of the frequent ones.
+    found = stored(found, "lm-frequent")
+    files = write_blocks(found, "key", {"key": "<i8", "mark": "<i8"}, "lm-level")
+    drop_stored(found)
+    if not files.files:
+        return False
+    level = LevelFiles(files)
+    facts.levels.append(level)
+    told = stored(spoken(table, facts), "lm-spoken")
+    level.marks = write_marks(told.where("data is not null"), "lm-marks")
+    level.keys = None
+    delete_path(table.sparkSession, files.folder)
+    grams = told.where("key is not null")
     # Hot contexts are combined map-side; their rows meet the one row of the context in joins that can be split.
-    sums = grams.groupBy("context").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum("shorter").alias("mass"),
-                                        F.first("big").alias("all")).select(
+    sums = stored(grams.groupBy("context").agg(
+        F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum("shorter").alias("mass"), F.first("big").alias("all")).select(
         "context", "kinds", "mass", "all",
-        F.greatest(1.0 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("all"), F.lit(1e-12)).alias("rest"))
-    sums = stored(sums, "lm-contexts")
-    own = (F.col("n") - DISCOUNT) / F.col("big")
-    p = own + F.col("rest") * F.col("shorter")
+        F.greatest(1.0 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("all"), F.lit(1e-12)).alias("rest")), "lm-contexts")
+    p = (F.col("n") - DISCOUNT) / F.col("big") + F.col("rest") * F.col("shorter")
     gains = grams.join(sums.select("context", "rest").hint("merge"), "context").groupBy("context").agg(
         F.sum(p * F.log(p / F.col("shorter"))).alias("gain"))
     unseen = F.greatest(1.0 - F.col("mass"), F.lit(0.0))
     gain = F.col("gain") + F.col("rest") * unseen * F.log("rest") - F.col("kinds") / (2.0 * F.col("all"))
     # Rounded: the order of a sum decides nothing.
-    contexts = stored(sums.join(gains.hint("merge"), "context").where(F.round(gain, 9) >= MIN_DIVERGENCE)
-                      .select(F.col("context").alias("key"), "rest"), "lm-retained")
-    level = grams.join(contexts.withColumnRenamed("key", "context").hint("merge"), "context", "left").select(
-        "key", "n", F.coalesce(p, F.col("shorter")).alias("p"))
-    folder = scratch_path(table.sparkSession, "lm-level")
-    write_blocks(found.select("block", "key").join(level.hint("merge"), "key"), "key",
-                 {"key": "<i8", "n": "<i8", "p": "<f8"}, folder)
-    facts.levels.append(folder)
-    drop_stored(grams)
+    retained = sums.join(gains.hint("merge"), "context").where(F.round(gain, 9) >= MIN_DIVERGENCE).select("context", "rest")
+    users = told.where("block is not null and context is not null").select("block", "context")
+    level.rests = write_blocks(users.join(retained.hint("merge"), "context"), "context",
+                                          {"context": "<i8", "rest": "<f8"}, "lm-rests")
+    drop_stored(told)
     drop_stored(sums)
-    return contexts
-
-
-def fit(table: DataFrame, facts: Facts, depth: int = DEPTH) -> None:
-    """Counts the levels over the blocks ``table`` and gives each block what it needs to score its tokens."""
-    retained = []
-    for _ in range(depth):
-        contexts = add_tables(table, facts)
-        if contexts is None:
-            break
-        retained.append(contexts)
-    if not retained:
-        return
-
-    def run(batches):
-        for _, _, block, _, _, state in _walks(batches, facts):
-            keys = np.unique(np.concatenate(state.gaps))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), pa.array(keys)], ["block", "key"])
-
-    every = retained[0]
-    for contexts in retained[1:]:
-        every = every.unionByName(contexts)
-    folder = scratch_path(table.sparkSession, "lm-rests")
-    write_blocks(table.mapInArrow(lean(run), "block long, key long").join(every.hint("merge"), "key"), "key",
-                 {"key": "<i8", "rest": "<f8"}, folder)
-    facts.rests = folder
+    return True
 
 
 def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = 0.0,
@@ -437,18 +508,24 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = 0.0
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"),
                        F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
+    with shuffles_freed(spark):
+        return _scored(rows, depth, min_share)
+
+
+def _scored(rows: DataFrame, depth: int, min_share: float) -> DataFrame:
+    spark = rows.sparkSession
     table = stored(blocks(rows), "lm-blocks")
     counted = stored(counted_words(table), "lm-words")
-    counts_folder = scratch_path(spark, "lm-counts")
-    write_blocks(counted, "at", {"c": "<i8"}, counts_folder)
+    counts = write_blocks(counted, "at", {"c": "<i8"}, "lm-counts")
     ends = int(table.select(F.explode("held").alias("h")).agg(F.sum(F.expr("int(not h)"))).first()[0] or 0)
     n, v, once, twice = counted.where("word is not null").agg(
         F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
     n, v = int(n) + ends, int(v) + (ends > 0)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    facts = Facts(n, v, discount, ends, max(float(MIN_COUNT), min_share * n), counts_folder)
+    facts = Facts(n, v, discount, ends, max(float(MIN_COUNT), min_share * n), counts)
     drop_stored(counted)
-    table = table.select("block", "ids", "held", "sizes", "codes", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    table = table.select("block", part_of(spark).alias("part"), "ids", "held", "sizes", "codes",
+                         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
     def finish(batches):
         log_all = math.log10(n + 0.1 * (v + 1))
@@ -461,8 +538,10 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = 0.0
                  pa.array(total(np.log10(state.p)))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    with rows_per_batch(spark, 1):
-        fit(table.select("block", "held", "sizes", "codes", "hashes"), facts, depth)
+    with bytes_per_batch(spark, BLOCK_BYTES):
+        for _ in range(depth):
+            if not add_level_files(table.drop("ids"), facts):
+                break
         return stored(table.mapInArrow(
             lean(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                           "score double"), "lm-scores")
