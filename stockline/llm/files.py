@@ -13,7 +13,8 @@ from pyarrow import fs
 
 
 
-def _at(uri: str):
+def store_at(uri: str):
+    """(file system, path) of a URI or a local path."""
     return fs.FileSystem.from_uri(uri)
 
 
@@ -21,7 +22,7 @@ def _at(uri: str):
 def replaced(uri: str):
     """A binary output stream whose file appears under ``uri`` only when it is complete; a task that is
     repeated replaces the file by the same bytes."""
-    store, path = _at(uri)
+    store, path = store_at(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
@@ -33,7 +34,7 @@ def replaced(uri: str):
 def mapped(uri: str, dtype):
     """The file as a memory-mapped flat array; a file of a remote store is first copied to the task's
     own temporary folder, for the time of the read."""
-    store, path = _at(uri)
+    store, path = store_at(uri)
     if store.type_name == "local":
         yield _map(path, dtype)
         return
@@ -60,7 +61,7 @@ class PackedWriter:
 
     def __init__(self, folder: str):
         self.name = f"{folder}/{uuid.uuid4().hex}"
-        store, path = _at(self.name)
+        store, path = store_at(self.name)
         store.create_dir(os.path.dirname(path), recursive=True)
         self._out, self._index, self._offset = store.open_output_stream(path), [], 0
 
@@ -81,7 +82,7 @@ class PackedWriter:
 
 def read_packed(uri: str, block: int, columns: int) -> list[np.ndarray]:
     """The columns of a block of a :class:`PackedWriter` file, as int64; empty ones if the file lacks it."""
-    store, path = _at(uri)
+    store, path = store_at(uri)
     with store.open_input_file(path) as f:
         size = f.size()
         f.seek(size - 8)

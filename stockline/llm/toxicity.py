@@ -3,8 +3,8 @@
 1. Token scores: log-odds of a word in toxic against clean labelled documents with an informative
    Dirichlet prior (pseudo-counts in proportion to the word's share of all words, of the size of the
    toxic class), counted once per document. Words whose log-odds are significant form the lexicon;
-   each scores its log-odds less one standard deviation. Every other word scores ``GAP``, so that a
-   clean text drifts downwards.
+   each scores its log-odds, one standard deviation nearer to zero: toxic words above zero, clean words
+   below it (``GAP`` at most). A word without evidence scores ``GAP``, so that such a text drifts downwards.
 2. Segments: a linear-time scan finds all maximal-scoring segments of the whole text.
 3. Calibration: under clean text a segment's score exceeds s with about K n exp(-lambda s) expected
    cases in n words. Lambda solves E[exp(lambda score)] = 1 over clean words; K is the maximum-likelihood
@@ -14,34 +14,38 @@
    into the probability of label 1.
 
 Labels are learned from a bounded sample: the ``train_docs`` labelled documents with the smallest id hashes
-(all of them, below that number). The sample's ids and the lexicon are therefore bounded and may be
-broadcast; every document is scored over its whole text.
+(all of them, below that number), whose ids may therefore be broadcast. The lexicon holds every significant
+word of the sample, a table in the shared folder that tasks read; the driver sees sums over equal scores
+alone. Every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.storage import drop_stored, lean, stored
+from stockline.llm.files import store_at
+from stockline.llm.storage import drop_stored, lean, smallest_hashes, stored
 from stockline.llm.words import encoded_words, slices
 
 TRAIN_DOCS = 200_000      # bound of the labelled sample
-LEXICON_WORDS = 50_000    # bound of the lexicon: the words with the largest z
 MIN_Z = 2.3
 GAP = -0.1
+SCORE_DECIMALS = 3        # of a word's score: few distinct scores, whatever the number of words
 MAX_EXPECTED = 0.01
 EDGE_MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 
 
 @dataclass
 class Model:
-    scores: dict[str, float]
+    lexicon: str | None       # folder of the (word, score) table; None: no word has evidence
     rate: float               # lambda
     size: float               # K
     intercept: float = 0.0
@@ -67,15 +71,27 @@ def bare(word: str) -> str:
     return word.lower().strip(EDGE_MARKS)
 
 
-def maximal_segments(places: list[int], scores: list[float], gap: float = GAP) -> list[tuple[int, int, float]]:
+@lru_cache(maxsize=1)
+def read_lexicon(folder: str | None) -> dict[str, float]:
+    """The scores of all words with evidence; a worker reads them once."""
+    if folder is None:
+        return {}
+    store, path = store_at(folder)
+    rows = pq.read_table(path, filesystem=store, columns=["word", "score"])
+    return dict(zip(rows["word"].to_pylist(), rows["score"].to_pylist()))
+
+
+def maximal_segments(places: list[int], scores: list[float], gap: float = GAP,
+                     before: list[float] | None = None) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, end, score) of a text whose words at ``places`` (ascending)
-    score ``scores`` (positive) and whose other words score ``gap`` (negative). Linear time: every candidate
-    links back to the nearest one with a smaller left sum."""
+    score ``scores`` (positive) and whose other words score below zero. ``before`` are the sums of all scores
+    before each place; without it, every other word scores ``gap``. Linear time: every candidate links back to
+    the nearest one with a smaller left sum."""
+    if before is None:
+        ahead = np.concatenate(([0.0], np.cumsum(scores)[:-1])) if len(scores) else np.zeros(0)
+        before = (ahead + gap * (np.array(places, float) - np.arange(len(places)))).tolist()
     found: list[tuple] = []          # (first, end, left sum, right sum, link)
-    hits = 0.0
-    for k, (place, score) in enumerate(zip(places, scores)):
-        left = hits + gap * (place - k)      # the sum of all scores before this word
-        hits += score
+    for place, score, left in zip(places, scores, before):
         first, end, right = place, place + 1, left + score
         j = len(found) - 1
         while True:
@@ -90,33 +106,38 @@ def maximal_segments(places: list[int], scores: list[float], gap: float = GAP) -
     return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
-def _hits(texts: pa.Array, lexicon: dict[str, float], cache: dict):
-    """Per row: (number of words, places of lexicon words, their scores)."""
+def _segments(texts: pa.Array, lexicon: dict[str, float], cache: dict):
+    """Per row: (number of words, its maximal segments)."""
     rows, codes, words = encoded_words(texts, lower=True)
     value = np.zeros(len(words))
     for i, w in enumerate(words):
         s = cache.get(w)
         if s is None:
-            s = lexicon.get(bare(w), 0.0)
+            s = lexicon.get(bare(w), GAP)
             if len(cache) < 300_000:
                 cache[w] = s
         value[i] = s
     per_token = value[codes] if len(words) else np.zeros(0)
     ends = np.cumsum(rows)
-    at = np.nonzero(per_token)[0]
-    owner = np.searchsorted(ends, at, side="right")
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    toxic = np.nonzero(per_token > 0)[0]
+    cuts = np.searchsorted(toxic, np.concatenate(([0], ends)))
     for r in range(len(rows)):
-        own = at[cuts[r]:cuts[r + 1]]
-        yield int(rows[r]), (own - (ends[r] - rows[r])).tolist(), per_token[own].tolist()
+        places = toxic[cuts[r]:cuts[r + 1]]
+        if not len(places):
+            yield int(rows[r]), []
+            continue
+        first = ends[r] - rows[r]
+        sums = np.concatenate(([0.0], np.cumsum(per_token[first:ends[r]])))
+        yield int(rows[r]), maximal_segments((places - first).tolist(), per_token[places].tolist(),
+                                             before=sums[places - first].tolist())
 
 
 def training_sample(labels: DataFrame, bucket, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(id, toxic) of the bounded labelled sample; ``bucket`` is true for ids that may be learned from.
     Repeated labels of an id count as toxic if one of them is; null labels and ids are no labels."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & bucket)
-    return (known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
+    return smallest_hashes(known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")),
+                           "doc_id", train_docs)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -143,29 +164,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.where("word != ''").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bucket, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on the labelled documents. Without toxic or clean labels, every text scores the same."""
-    sample = training_sample(labels, bucket, train_docs)
-    train = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_label_id")), F.col("id") == F.col("_label_id")
-                      ).select("text", "toxic")
-    counts = stored(word_counts(train), "toxic-words")
-    n_toxic, n_clean = counts.agg(F.sum("n_toxic"), F.sum("n_clean")).first()
-    if not n_toxic or not n_clean:
-        drop_stored(counts)
-        return Model({}, 1.0, 1.0, -2.0, 0.0)
-    total = float(n_toxic + n_clean)
-    prior = F.lit(float(n_toxic)) * (F.col("n_toxic") + F.col("n_clean")) / total
+def lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(word, score, n_toxic, n_clean) of every word whose log-odds are significant; ``n_toxic`` and ``n_clean``
+    are the sums over all words of :func:`word_counts`."""
+    prior = F.lit(float(n_toxic)) * (F.col("n_toxic") + F.col("n_clean")) / float(n_toxic + n_clean)
     t, c = F.col("n_toxic") + prior, F.col("n_clean") + prior
     odds = F.log(t / (2.0 * n_toxic - t)) - F.log(c / (float(n_clean + n_toxic) - c))
-    spread = F.sqrt(1 / t + 1 / c)
-    rows = (counts.select("word", odds.alias("odds"), spread.alias("spread"), (c / total).alias("share"))
-            .where((F.col("odds") / F.col("spread") >= MIN_Z) & (F.col("odds") > F.col("spread")))
-            .orderBy(F.desc(F.col("odds") / F.col("spread")), "word").limit(LEXICON_WORDS).collect())
-    drop_stored(counts)
-    scores = {r.word: r.odds - r.spread for r in rows}
-    if not scores:
-        return Model({}, 1.0, 1.0, -2.0, 0.0)
-    share, score = np.array([r.share for r in rows]), np.array([r.odds - r.spread for r in rows])
+    rows = counts.select("*", odds.alias("odds"), F.sqrt(1 / t + 1 / c).alias("spread"))
+    rows = rows.where(F.abs("odds") >= MIN_Z * F.col("spread"))
+    score = F.when(F.col("odds") > 0, F.col("odds") - F.col("spread")).otherwise(
+        F.least(F.lit(GAP), F.col("odds") + F.col("spread")))
+    return rows.select("word", F.round(score, SCORE_DECIMALS).alias("score"), "n_toxic", "n_clean")
+
+
+def decay(cells: list[tuple[float, int, int]], n_toxic: int, n_clean: int) -> float:
+    """Lambda: E[exp(lambda score)] = 1 over clean words. ``cells`` are (score, n_toxic, n_clean) sums over the
+    words of a score; all other words score ``GAP``."""
+    total = float(n_toxic + n_clean)
+    score = np.array([s for s, _, _ in cells])
+    share = np.array([(c + n_toxic * (t + c) / total) / total for _, t, c in cells])
 
     def excess(rate):
         return float((share * np.exp(rate * score)).sum() + (1 - share.sum()) * math.exp(rate * GAP) - 1)
@@ -174,7 +191,26 @@ def fit(docs: DataFrame, labels: DataFrame, bucket, train_docs: int = TRAIN_DOCS
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    model = Model(scores, max(low, 1e-3), 1.0)
+    return max(low, 1e-3)
+
+
+def fit(docs: DataFrame, labels: DataFrame, bucket, train_docs: int = TRAIN_DOCS) -> Model:
+    """Fit on the labelled documents. Without toxic or clean labels, or toxic words, every text scores the same."""
+    sample = training_sample(labels, bucket, train_docs)
+    train = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_label_id")), F.col("id") == F.col("_label_id")
+                      ).select("text", "toxic")
+    counts = stored(word_counts(train), "toxic-words")
+    n_toxic, n_clean = counts.agg(F.sum("n_toxic"), F.sum("n_clean")).first()
+    if not n_toxic or not n_clean:
+        drop_stored(counts)
+        return Model(None, 1.0, 1.0, -2.0, 0.0)
+    words = stored(lexicon(counts, n_toxic, n_clean), "toxic-lexicon")
+    drop_stored(counts)
+    cells = sorted(tuple(r) for r in words.groupBy("score").agg(F.sum("n_toxic"), F.sum("n_clean")).collect())
+    if not any(s > 0 for s, _, _ in cells):
+        drop_stored(words)
+        return Model(None, 1.0, 1.0, -2.0, 0.0)
+    model = Model(words._stored_path, decay(cells, n_toxic, n_clean), 1.0)
     # K over the clean documents' best segments, then the logistic curve over evidence bins.
     best = stored(_segment_table(train, model), "toxic-segments")
     clean = best.where("toxic = 0").agg(F.count("*"), F.sum(F.col("n") * F.exp(-model.rate * F.col("best")))).first()
@@ -205,15 +241,14 @@ def _segment_table(docs: DataFrame, model: Model) -> DataFrame:
     """(toxic, n, best, evidence) of the labelled documents."""
 
     def run(batches):
-        cache: dict = {}
+        words, cache = read_lexicon(model.lexicon), {}
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
                 n, best, evidence = [], [], []
-                for words, places, scores in _hits(batch.column(0).slice(lo, hi - lo), model.scores, cache):
-                    segments = maximal_segments(places, scores)
-                    n.append(words)
+                for size, segments in _segments(batch.column(0).slice(lo, hi - lo), words, cache):
+                    n.append(size)
                     best.append(max((s[2] for s in segments), default=0.0))
-                    evidence.append(model.evidence(segments, words))
+                    evidence.append(model.evidence(segments, size))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(best, pa.float64()),
                      pa.array(evidence, pa.float64())], ["toxic", "n", "best", "evidence"])
@@ -231,15 +266,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                                    ("expected", pa.float64())]))
 
     def run(batches):
-        cache: dict = {}
+        words, cache = read_lexicon(model.lexicon), {}
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 p, n, found = [], [], []
-                for words, places, scores in _hits(batch.column(1).slice(lo, hi - lo), model.scores, cache):
-                    segments = maximal_segments(places, scores)
-                    p.append(model.probability(model.evidence(segments, words)))
-                    n.append(words)
-                    kept = [(a, b, s, math.exp(-model.calibrated(s, words))) for a, b, s in segments]
+                for size, segments in _segments(batch.column(1).slice(lo, hi - lo), words, cache):
+                    p.append(model.probability(model.evidence(segments, size)))
+                    n.append(size)
+                    kept = [(a, b, s, math.exp(-model.calibrated(s, size))) for a, b, s in segments]
                     found.append([{"first": a, "end": b, "score": s, "expected": e} for a, b, s, e in kept
                                   if e <= MAX_EXPECTED])
                 yield pa.RecordBatch.from_arrays(
@@ -255,10 +289,11 @@ def score_column(model: Model):
 
     @F.arrow_udf("double")
     def score_of(texts: pa.Array) -> pa.Array:
-        out, cache = [], {}
+        out, words = [], read_lexicon(model.lexicon)
+        cache: dict = {}
         for lo, hi in slices(texts):
-            for words, places, scores in _hits(texts.slice(lo, hi - lo), model.scores, cache):
-                out.append(model.probability(model.evidence(maximal_segments(places, scores), words)))
+            for size, segments in _segments(texts.slice(lo, hi - lo), words, cache):
+                out.append(model.probability(model.evidence(segments, size)))
         return pa.array(out, pa.float64())
 
     return score_of
