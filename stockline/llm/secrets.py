@@ -4,8 +4,9 @@ The patterns find assignments of credentials, access-key ids and long hexadecima
 token-efficiency test looks at every run of 20 or more characters of the base64 / URL alphabet: a
 byte-pair vocabulary spends few characters per token on strings it has never seen, so a run with fewer
 than ``MAX_CHARS_PER_TOKEN`` characters per token is random. Known digests (hexadecimal strings of a
-digest's length, UUIDs) and identifiers (words, numbers and names joined by separators or by capital
-letters, where the vocabulary knows the words) are excluded first. A run that is not random as a whole, a path or
+digest's length, base64 of a digest's length after its algorithm's name, UUIDs) and identifiers (names, numbers,
+dates and versions joined by separators, few of whose characters are in long pieces or pieces of many parts; words joined by capital letters,
+where the vocabulary knows the words) are excluded first. A run that is not random as a whole, a path or
 a URL for instance, is tested piece by piece between its separators, and what a pattern's span leaves of a run on
 its own. The test adds spans; spans of the patterns stay.
 """
@@ -37,6 +38,13 @@ _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 _DIGEST = re.compile(r"(?:0x)?[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)")
+_TIME = re.compile(r"[0-9]{2,8}T[0-9]{2,9}Z?")
+LONGEST_PIECE = 12       # of an identifier that is judged by its pieces
+# Base64 digits of a digest of each algorithm, without padding (fixed values: ceil(bits / 6)).
+ENCODED_DIGITS = {"md5": 22, "sha1": 27, "sha224": 38, "sha256": 43, "sha384": 64, "sha512": 86, "h1": 43}
+_LABELLED = re.compile(r"(?<![A-Za-z0-9])(md5|sha-?(?:1|224|256|384|512)|h1)[-=_/:]([A-Za-z0-9+/_-]+)(={0,2})(?![A-Za-z0-9+/_=-])",
+                       re.IGNORECASE)
+_LABEL = 8               # characters before a run that may name its algorithm
 # Pieces between separators, from wide to narrow: of a path or URL (they may be base64url), of an assignment or
 # name (they may be base64), and without any separator.
 _PIECES = [re.compile(rf"[^{x}]{{{MIN_RANDOM},}}") for x in ("=", "/=.", "=._-", "+/_.=-")]
@@ -59,6 +67,9 @@ def is_known(run: str, tokens_of) -> bool:
     names = [n for p in parts for n in _NAME.findall(p)]
     if not names or all(n.isdigit() for n in names):
         return True
+    # What else is in it is tested piece by piece.
+    if 2 * sum(len(p) for p in parts if is_plain(p)) >= sum(map(len, parts)):
+        return True
     letters = [n for n in names if not n.isdigit()]
     # Names are words: few switches between cases and digits, letters in long stretches.
     if len(run) / len(names) < 4 or sum(map(len, letters)) / len(letters) < 4:
@@ -67,6 +78,23 @@ def is_known(run: str, tokens_of) -> bool:
     return sum(map(len, letters)) / sum(map(tokens_of, letters)) >= MAX_CHARS_PER_TOKEN
 
 
+def is_plain(piece: str) -> bool:
+    """A name, number, date or version: short, and of few stretches of one kind. Random pieces of four characters or
+    more seldom are, so that a random string is not excused by the separators it holds by chance."""
+    if len(piece) <= 3 or _TIME.fullmatch(piece):
+        return True
+    names = _NAME.findall(piece)
+    if len(piece) <= LONGEST_PIECE:
+        return len(names) <= 1 + len(piece) // 4
+    return len(names) <= 2 and sum(len(n) for n in names if not n.isdigit()) <= LONGEST_PIECE
+
+
+def labelled_digests(text: str) -> list[tuple[int, int]]:
+    """Ranges of base64 digests that follow their algorithm's name and have its length, name included."""
+    return [m.span() for m in _LABELLED.finditer(text)
+            if len(m[2]) == ENCODED_DIGITS[m[1].lower().replace("-", "")]]
+
+
 def is_random(run: str, tokens_of) -> bool:
     return len(run) / tokens_of(run) < MAX_CHARS_PER_TOKEN and not is_known(run, tokens_of)
 
@@ -117,7 +145,9 @@ def find(text: str | None, tokens_of) -> list[tuple[str, int, int]]:
             if assigns:
                 first = place(a) if first is None else first
                 taken += [(s - first, e - first) for s, e in assigns if s < first + b - a and first < e]
-            # What a pattern has found needs no second span.
+            # What a pattern has found needs no second span; a digest is none.
+            label = data[max(a - _LABEL, 0):a].decode("latin-1")
+            taken += [(max(s - len(label), 0), e - len(label)) for s, e in labelled_digests(label + run)]
             last = 0
             for s, e in [*sorted(taken), (b - a, b - a)]:
                 if s - last >= MIN_RANDOM:
