@@ -13,9 +13,9 @@ scatter of transformed statistics within each (language, source):
 A group of fewer than ``MIN_GROUP`` rows is judged by the estimate of all rows of its language, and where that
 has fewer rows too, by that of all rows, however few: every row that passes the base rule has a distance.
 
-Each step is two map-side combined aggregates over a compact table of the statistics (written once) and a
-join with one row per group, so a source that holds a third of all rows is split like any other. Native:
-DataFrame functions only.
+Each step is two map-side combined aggregates over a compact table of the statistics (written once) and joins with
+one row per group. A group's rows are dealt to ``SLICES`` slices by their values and ids, and its one row goes to each
+of them, so a source that holds a third of all rows is no task's alone. Native: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SUPPORT = 0.75
 STEPS = 4
+SLICES = 32                # of a group's rows in a join
 MIN_GROUP = 40             # smaller groups are judged by a wider one
 CUTOFF = 31.8              # chi-square quantile, 4 degrees of freedom, 1 - 2e-6
 MEDIAN = 3.357             # its median
@@ -84,6 +85,15 @@ def transformed(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) ->
             F.log1p(F.col(n_repeat_words) / (n + 20)).alias("x_repeats")]
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` with the one row that ``groups`` has for their ``key``. A column _slice of theirs deals them; without
+    it, their values do."""
+    if "_slice" not in rows.columns:
+        rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*X), F.lit(SLICES)).cast("int"))
+    each = groups.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return rows.join(each, [key, "_slice"], how)
+
+
 def _cholesky(groups: DataFrame) -> DataFrame:
     """Adds the lower factor l_i_j of the covariances v_i_j, one column of the factor after the other."""
     for j in range(len(X)):
@@ -98,7 +108,7 @@ def _cholesky(groups: DataFrame) -> DataFrame:
 def _distances(table: DataFrame, groups: DataFrame) -> DataFrame:
     """``table`` with the squared Mahalanobis distance d2 to its group (null without an estimate)."""
     factor = [f"l_{i}_{j}" for i in range(len(X)) for j in range(i + 1)]
-    rows = table.join(groups.select("g", *[f"m_{i}" for i in range(len(X))], *factor), "g", "left")
+    rows = _with_group(table, groups.select("g", *[f"m_{i}" for i in range(len(X))], *factor), "g")
     for i, x in enumerate(X):
         rest = F.col(x) - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
         rows = rows.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
@@ -118,9 +128,9 @@ def mcd(table: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataF
             start.append((spread if i == j else F.lit(0.0)).alias(f"v_{i}_{j}"))
     groups = stored(_cholesky(quartiles.select("g", *start)), "mcd")
     for _ in range(steps):
-        near = _distances(table, groups).where("d2 is not null").select("g", "d2", *X)
+        near = _distances(table, groups).where("d2 is not null").select("g", "_slice", "d2", *X)
         limit = stored(near.groupBy("g").agg(F.percentile_approx("d2", support, 10_000).alias("limit")), "mcd-limit")
-        inner = near.join(limit, "g").where("d2 <= limit")
+        inner = _with_group(near, limit, "g", "inner").where("d2 <= limit")
         moments = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)]
         for i in range(size):
             for j in range(i + 1):
@@ -166,16 +176,17 @@ def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", grou
     rows = statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), *widths,
                                   F.col(text_col).cast("string").alias("_body")), "_body")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    table = stored(rows.select("doc_id", *names, *made, failed.alias("base_failed"), *transformed(*made)), "quality")
+    dealt = F.pmod(F.xxhash64("doc_id", *made), F.lit(SLICES)).cast("int").alias("_slice")
+    table = stored(rows.select("doc_id", *names, *made, failed.alias("base_failed"), *transformed(*made), dealt), "quality")
     passed = table.where("not base_failed")
     wide = stored(judging_groups(passed.select(*names)), "quality-groups")
     # A wider estimate is of all its rows, those of groups with their own estimate included. Only the
     # estimates that some group is judged by are made.
-    members = passed.select(F.explode(F.array(*names)).alias("g"), *X)
-    members = stored(members.join(wide.select("g").distinct(), "g", "left_semi"), "quality-members")
+    members = passed.select(F.explode(F.array(*names)).alias("g"), "_slice", *X)
+    members = stored(_with_group(members, wide.select("g").distinct(), "g", "inner"), "quality-members")
     groups = mcd(members)
-    rows = table.join(wide, "g_0", "left").withColumn("g", F.coalesce("g", F.lit("")))
-    judged = _distances(rows, groups).join(groups.select("g", "scale"), "g", "left")
+    rows = _with_group(table, wide, "g_0").withColumn("g", F.coalesce("g", F.lit("")))
+    judged = _with_group(_distances(rows, groups), groups.select("g", "scale"), "g")
     distance = F.col("d2") / F.col("scale")
     return judged.select("doc_id", *made, "base_failed",
                          (~F.col("base_failed") & (distance <= CUTOFF)).alias("kept"),
