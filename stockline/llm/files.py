@@ -20,8 +20,8 @@ def store_at(uri: str):
 
 @contextlib.contextmanager
 def replaced(uri: str):
-    """A binary output stream whose file appears under ``uri`` only when it is complete; a task that is
-    repeated replaces the file by the same bytes."""
+    """A binary output stream whose file appears under ``uri`` only when it is complete. Tasks use a name of their own
+    for every attempt: not every store can replace a file."""
     store, path = store_at(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"

@@ -2,19 +2,21 @@
 
 Documents are range-partitioned and sorted by id; each task encodes its range in slices and writes
 
-* ``part-K.ids``  the ids of its documents, one after the other (uint16 if the vocabulary fits, else
+* ``part-K-A.ids``  the ids of its documents, one after the other (uint16 if the vocabulary fits, else
   uint32; little-endian), each document closed by the end id;
-* ``part-K.off``  uint64 offsets into it, one more than documents;
-* ``part-K.doc``  int64 document ids (and ``part-K.null``, one byte each: 1 if the id is null).
+* ``part-K-A.off``  uint64 offsets into it, one more than documents;
+* ``part-K-A.doc``  int64 document ids (and ``part-K-A.null``, one byte each: 1 if the id is null).
 
-The parts' bases are the prefix sums of their token counts (one row per part reaches the driver) and
-stand in ``index.json``: a document's global start is its part's base plus its offset. Files appear
-under their names only when complete, so a repeated task leaves the same files.
+A is new for every attempt of a task, so no store ever has to replace a file; the attempt that succeeds returns
+it, and the files of others are in no index. The parts' bases are the prefix sums of their token counts (one row per
+part reaches the driver) and stand with their names in ``index.json``: a document's global start is its part's base
+plus its offset.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from itertools import accumulate
 
@@ -27,7 +29,7 @@ from stockline.llm.bpe import WordEncoder, encoded_slices
 from stockline.llm.files import mapped, replaced
 from stockline.llm.storage import TEXT_ROWS, lean, partitions, rows_per_batch
 
-PART = "part int, n_docs long, n_tokens long"
+PART = "part int, n_docs long, n_tokens long, dtype string, name string"
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int,
@@ -43,9 +45,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         encoder = WordEncoder(vocabulary)
         dtype = "<u2" if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
-        name = f"{folder}/part-{part:05d}"
+        name = f"part-{part:05d}-{uuid.uuid4().hex}"
+        path = f"{folder}/{name}"
         ids_of, lengths = [], []
-        with replaced(f"{name}.ids") as out:
+        with replaced(f"{path}.ids") as out:
             for batch in batches:
                 ids_of.append(batch.column(0))
                 for _, _, sizes, ids in encoded_slices(batch.column(1), encoder):
@@ -58,21 +61,21 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     lengths.append(sizes + 1)
         lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         keys = pa.chunked_array(ids_of, pa.int64())
-        with replaced(f"{name}.off") as out:
+        with replaced(f"{path}.off") as out:
             out.write(np.concatenate(([0], np.cumsum(lengths))).astype("<u8").tobytes())
-        with replaced(f"{name}.doc") as out:
+        with replaced(f"{path}.doc") as out:
             out.write(keys.fill_null(0).to_numpy().astype("<i8").tobytes())
-        with replaced(f"{name}.null") as out:
+        with replaced(f"{path}.null") as out:
             out.write(keys.is_null().to_numpy().astype("u1").tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(lengths)],
-                                          "n_tokens": [int(lengths.sum())], "dtype": [dtype]})
+                                          "n_tokens": [int(lengths.sum())], "dtype": [dtype], "name": [name]})
 
     n = parts or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "id", "tie").sortWithinPartitions(
         "id", "tie", "text")
     with rows_per_batch(docs.sparkSession, TEXT_ROWS):
-        found = sorted(rows.select("id", "text").mapInArrow(lean(run), PART + ", dtype string").collect())
+        found = sorted(rows.select("id", "text").mapInArrow(lean(run), PART).collect())
     bases = accumulate((r.n_tokens for r in found), initial=0)
     index = [{**r.asDict(), "base": base} for r, base in zip(found, bases)]
     with replaced(f"{folder}/index.json") as out:
@@ -90,7 +93,7 @@ def read_token_files(spark: SparkSession, folder: str, index: list[dict]) -> Dat
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"{folder}/part-{row['part']:05d}"
+                name = f"{folder}/{row['name']}"
                 with mapped(f"{name}.ids", row["dtype"]) as ids, mapped(f"{name}.off", "<u8") as offsets, \
                         mapped(f"{name}.doc", "<i8") as docs, mapped(f"{name}.null", "u1") as null:
                     for lo in range(0, len(docs), 10_000):
@@ -101,6 +104,6 @@ def read_token_files(spark: SparkSession, folder: str, index: list[dict]) -> Dat
                             "start": at[:-1] + row["base"], "n_tokens": np.diff(at),
                             "ids_crc32": pa.array(crc, pa.int64())})
 
-    parts = spark.createDataFrame([(r["part"], r["base"], r["dtype"]) for r in index],
-                                  "part int, base long, dtype string")
-    return parts.repartition(len(index), "part").mapInArrow(run, schema)
+    parts = spark.createDataFrame([(r["name"], r["base"], r["dtype"]) for r in index], "name string, base long, dtype string")
+    # By ranges: a hash of the part would leave several to some tasks and none to others.
+    return parts.repartitionByRange(len(index), "name").mapInArrow(run, schema)
