@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockline.session import partitions_for
+
 
 # Fixed rule lists: (rule name, predicate that must hold). Limits are the
 # reference's field limits.
@@ -144,7 +146,10 @@ def dq_foreign_keys(products: DataFrame, categories: DataFrame, suppliers: DataF
 def dq_sale_lines(sales: DataFrame, sale_items: DataFrame) -> DataFrame:
     """Line ranges, and every sale has at least one line."""
     rows = row_rules(sale_items, "sale_items", SALE_LINE_CHECKS, line_key())
-    empty = (sales.join(sale_items.select(F.col("sale_id").alias("id")).distinct(), "id", "left_anti")
+    # Ids shuffle to so few bytes that partitions sized by bytes hold millions of them; these are sized by rows.
+    parts = partitions_for(sales.count() + sale_items.count())
+    with_lines = sale_items.select(F.col("sale_id").alias("id")).repartition(parts, "id").distinct()
+    empty = (sales.select("id").repartition(parts, "id").join(with_lines, "id", "left_anti")
              .select(F.lit("sales").alias("table_name"), F.col("id").cast("string").alias("record_key"),
                      F.lit("has_lines").alias("rule")))
     return rows.unionByName(empty)

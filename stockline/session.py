@@ -77,6 +77,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/stockline/{name}-{uuid.uuid4().hex}"
 
 
+# Rows of a task where a step's memory goes by rows, not by the bytes they shuffle.
+ROWS_PER_PARTITION = 500_000
+
+
+def partitions_for(rows: int) -> int:
+    """Partitions that hold ``ROWS_PER_PARTITION`` rows each, evenly dealt; given to ``repartition`` with a key, AQE
+    does not merge them by their bytes."""
+    return max(1, -(-rows // ROWS_PER_PARTITION))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss,
     unlike a local checkpoint)."""

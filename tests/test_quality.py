@@ -2,6 +2,7 @@
 from decimal import Decimal as D
 
 from conftest import dims, items_df, products_df, sales_df
+from pyspark.sql import functions as F
 
 from stockline.operators import quality as dq
 
@@ -30,3 +31,18 @@ def test_rules(spark):
     lines = {(r.record_key, r.rule) for r in dq.dq_sale_lines(sales, items).collect()}
     assert lines == {("1:1", "quantity_positive"), ("2", "has_lines")}
     assert {(r.record_key, r.rule) for r in dq.dq_sales(sales).collect()} == {("1", "payment_method_known")}
+
+
+def test_sale_lines_ids_are_dealt_by_rows(spark, monkeypatch):
+    """Ids take next to no bytes in a shuffle, so partitions merged by bytes would hold them all."""
+    from stockline import session
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 50)
+    sales = sales_df(spark, [{"id": i} for i in range(200)] + [{"id": 200}, {"id": 200}])
+    items = items_df(spark, [{"sale_id": i, "product_id": 1, "quantity": 1} for i in range(190)]
+                     + [{"sale_id": s, "product_id": 1, "quantity": 1} for s in [5] * 100 + [-7] * 20 + [-9] * 20])
+    items = items.withColumn("sale_id", F.expr("nullif(sale_id, -7)"))
+    out = dq.dq_sale_lines(sales, items)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ", 11), REPARTITION_BY_NUM" in plan          # 202 sales and 330 lines
+    got = sorted((r.record_key, r.rule) for r in out.collect())
+    assert got == sorted([(str(i), "has_lines") for i in range(190, 200)] + [("200", "has_lines")] * 2)
