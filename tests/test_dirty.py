@@ -1,9 +1,11 @@
 """J1-J8 on damaged tables: every rule finds rows, and only rows that were damaged."""
 import pytest
+from conftest import items_df, sales_df
 
 from stockline.operators import quality as dq
 from stockline.plans.registry import shop
 from stockline.sources.dirty import DAMAGE, dirty_shop
+from stockline.sources.tables import Shop
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +42,14 @@ def test_line_ids_are_unique_and_stable(spark):
     plan = items.groupBy("product_id").count()._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan      # a plan that does not read the id does not number lines
     assert set(DAMAGE) == {"products", "sales", "sale_items", "suppliers", "categories", "users"}
+
+
+def test_dirty_sale_lines_deal_ids_by_rows(spark, monkeypatch):
+    from stockline import session
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 50)
+    items = items_df(spark, [{"id": i, "sale_id": i // 2, "product_id": 1, "quantity": 1} for i in range(998)])
+    dirty = dirty_shop(Shop({"sales": lambda: sales_df(spark, [{"id": i} for i in range(500)]), "sale_items": lambda: items}))
+    out = dq.dq_sale_lines(dirty.sales, dirty.sale_items)
+    assert ", 30), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    # Lines 5 and 504 lose their sale, 17 and 516 point nowhere; each of their sales has another line. Sale 499 has none.
+    assert [r.record_key for r in out.where("rule = 'has_lines'").collect()] == ["499"]
