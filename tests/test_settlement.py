@@ -116,3 +116,19 @@ def test_fold_of_a_hot_group_over_many_ranges(spark):
         balance[r.g] += r.c if r.accepted else 0
         assert r.balance == balance[r.g]
     assert conditional_fold(df.limit(0), "g", ["i"], "c", "s").count() == 0
+
+
+def test_fold_goes_through_batches_and_stays_exact(spark):
+    """Python holds one Arrow batch, and a refused NULL change does not turn its neighbours into floats."""
+    big = 2 ** 53 + 1
+    rows = [(1, i, c, 0) for i, c in enumerate([big, None, -1, -big, 2])] + [(2, i, -1, 7) for i in range(100)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = conditional_fold(spark.createDataFrame(rows, "g long, i long, c long, s long"), "g", ["i"], "c", "s", partitions=5)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.g, r.i): (r.accepted, r.balance) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and "Join" not in plan
+    assert [got[1, i] for i in range(5)] == [(True, big), (False, big), (True, big - 1), (False, big - 1), (True, big + 1)]
+    assert [got[2, i] for i in range(100)] == [(i < 7, max(6 - i, 0)) for i in range(100)]
