@@ -44,8 +44,8 @@ def collapsed_lines(lines: DataFrame, headers: DataFrame, products: DataFrame) -
 
 def decide(scarce: DataFrame, rounds: int, slice_sales: int) -> DataFrame:
     """The refused request_ids of ``scarce`` lines (request_id, product_id, qty, stock, _ts), one row per sale and product
-    with a known product; a sale stands here with all its scarce lines."""
-    work = cut_lineage(scarce.withColumn("state", F.lit("open")))
+    with a known product; a sale stands here with all its scarce lines. Rounds read ``scarce`` again: cut it before."""
+    work = scarce.withColumn("state", F.lit("open"))
     refused: list[DataFrame] = []
     while True:
         for _ in range(max(1, rounds)):
