@@ -14,7 +14,9 @@ Request frames:
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +145,12 @@ def decide_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
     without a product, or of an unknown product. See :mod:`stockline.operators.settlement`; its two numbers
     (rounds of bounds before components are looked for, sales of a component settled at a time) do not change
     the result."""
+    return _decided(lines, headers, products, screening_rounds, chunk_sales)[0]
+
+
+def _decided(lines: DataFrame, headers: DataFrame, products: DataFrame,
+             screening_rounds: int = 3, chunk_sales: int = 50000) -> tuple[DataFrame, DataFrame]:
+    """:func:`decide_sales`'s table, and the stored lines (one row per sale and product) it was made from."""
     order = headers.select("request_id", F.col("sale_date").alias("_ts"))
     l = cut_lineage(collapsed_lines(lines, headers, products))
     seen = l.groupBy("request_id").agg(
@@ -165,12 +173,14 @@ def decide_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
              .agg(F.min_by(F.struct("pname", (F.col("stock") - F.col("low")).alias("avail")), F.col("product_id")).alias("s")))
     why = F.coalesce(F.col("fault"), F.when(F.col("s").isNotNull(), F.format_string(MSG_INSUFFICIENT, F.col("s.pname"), F.col("s.avail"))))
     return cut_lineage(checked.join(short, "request_id", "left").select(
-        "request_id", why.isNull().alias("accepted"), F.coalesce(why, F.lit(MSG_CREATED)).alias("message")))
+        "request_id", why.isNull().alias("accepted"), F.coalesce(why, F.lit(MSG_CREATED)).alias("message"))), l
 
 
-def _less_stock(products: DataFrame, lines: DataFrame, accepted: DataFrame, now) -> DataFrame:
-    """Products without the units of accepted sales (partial aggregate, then join)."""
-    taken = (lines.join(accepted, "request_id", "left_semi").groupBy("product_id").agg(F.sum("quantity").alias("_taken")))
+def _less_stock(products: DataFrame, collapsed: DataFrame, accepted: DataFrame, now) -> DataFrame:
+    """Products without the units of accepted sales (partial aggregate, then join). ``collapsed`` holds one quantity per
+    sale and product, in as many rows as the sale's header and the product have."""
+    units = collapsed.join(accepted, "request_id", "left_semi").groupBy("request_id", "product_id").agg(F.max("qty").alias("qty"))
+    taken = units.groupBy("product_id").agg(F.sum("qty").alias("_taken"))
     new_products = (products.join(taken, products.id == taken.product_id, "left")
                     .withColumn("current_stock", (F.col("current_stock")
                                                   - F.coalesce(F.col("_taken"), F.lit(0))).cast("int")))
@@ -183,16 +193,22 @@ def post_sales(lines: DataFrame, headers: DataFrame, products: DataFrame,
     """I4: post a batch of sales against stock, as :func:`decide_sales` decides. Every status lowers stock, drafts
     included. Returns ``(new products, result frame)``. With ``now``, products whose stock
     changes get it as ``updated_at``."""
-    result = decide_sales(lines, headers, products, screening_rounds, chunk_sales)
-    return _less_stock(products, lines, result.where("accepted").select("request_id"), now), result
+    result, collapsed = _decided(lines, headers, products, screening_rounds, chunk_sales)
+    return _less_stock(products, collapsed, result.where("accepted").select("request_id"), now), result
 
 
-class Posted(NamedTuple):
-    """What posting a batch of sales makes: new products, new sale and line rows, one result row per request."""
+@dataclass
+class Posted:
+    """What posting a batch of sales makes: new products, new sale and line rows, one result row per request. The lines
+    are numbered (a job of its own) when they are first asked for."""
     products: DataFrame
     sales: DataFrame
-    sale_items: DataFrame
     results: DataFrame
+    number_items: Callable[[], DataFrame]
+
+    @cached_property
+    def sale_items(self) -> DataFrame:
+        return self.number_items()
 
 
 def post_sales_tables(lines: DataFrame, headers: DataFrame, products: DataFrame, sales: DataFrame,
@@ -205,7 +221,7 @@ def post_sales_tables(lines: DataFrame, headers: DataFrame, products: DataFrame,
     of ``sale_items`` with the amounts and the product's name, sku and barcode at sale time; a line's id is made of its sale's
     id and its place there. ``created_at`` is ``now``.
     Requests of either table that are refused add no row."""
-    results = decide_sales(lines, headers, products)
+    results, collapsed = _decided(lines, headers, products)
     accepted = results.where("accepted").select("request_id")
     heads = headers.join(accepted, "request_id", "left_semi")
     taken = lines.join(accepted, "request_id", "left_semi")
@@ -220,10 +236,14 @@ def post_sales_tables(lines: DataFrame, headers: DataFrame, products: DataFrame,
     rows = (heads.drop(*[c for c in totals.columns if c != "request_id"], "sale_number", "id", "created_at", "updated_at")
             .join(ids, "request_id").join(numbers, "request_id").join(totals, "request_id")
             .withColumns({"sale_date": F.col("_made"), "created_at": made}))
-    priced = priced_lines(taken, products).join(ids.select("request_id", F.col("id").alias("sale_id")), "request_id")
-    items = running_totals(priced, ["sale_id"], ["product_id", "quantity", "unit_price", "tax_rate", "discount_percent"], {"place": None}).withColumns(
-        {"id": F.col("sale_id") * LINES_PER_SALE + F.col("place"), "created_at": made})
-    return Posted(_less_stock(products, lines, accepted, now), conform(rows, SALES), conform(items, SALE_ITEMS), results)
+
+    def number_items() -> DataFrame:
+        priced = priced_lines(taken, products).join(ids.select("request_id", F.col("id").alias("sale_id")), "request_id")
+        items = running_totals(priced, ["sale_id"], ["product_id", "quantity", "unit_price", "tax_rate", "discount_percent"], {"place": None}).withColumns(
+            {"id": F.col("sale_id") * LINES_PER_SALE + F.col("place"), "created_at": made})
+        return conform(items, SALE_ITEMS)
+
+    return Posted(_less_stock(products, collapsed, accepted, now), conform(rows, SALES), results, number_items)
 
 
 # ---------------------------------------------------------------- I5

@@ -132,3 +132,32 @@ def test_fold_goes_through_batches_and_stays_exact(spark):
     assert "MapInArrow" in plan and "MapInPandas" not in plan and "Join" not in plan
     assert [got[1, i] for i in range(5)] == [(True, big), (False, big), (True, big - 1), (False, big - 1), (True, big + 1)]
     assert [got[2, i] for i in range(100)] == [(i < 7, max(6 - i, 0)) for i in range(100)]
+
+
+def _small_batch(spark):
+    p = products_df(spark, [{"id": i, "sku": f"s{i}", "name": f"n{i}", "cost_price": D("1"), "selling_price": D("2"), "current_stock": 5} for i in (1, 2)])
+    t0 = dt.datetime(2001, 1, 1)
+    headers = spark.createDataFrame([(1, t0), (1, t0), (2, t0), (3, t0)], "request_id long, sale_date timestamp_ntz")
+    lines = spark.createDataFrame([(1, 1, 2), (1, 1, 1), (2, 1, 3), (3, 2, 5)], "request_id long, product_id long, quantity int")
+    return lines.selectExpr("*", "cast(1 as decimal(10,2)) unit_price", "0D tax_rate", "0D discount_percent"), headers, p
+
+
+def test_posting_reads_the_lines_once(spark, tmp_path):
+    """Stock is lowered by the stored lines that decided the sales; a header that comes twice takes its units once."""
+    lines, headers, p = _small_batch(spark)
+    lines.write.parquet(str(tmp_path / "given_lines"))
+    new, result = po.post_sales(spark.read.parquet(str(tmp_path / "given_lines")), headers.where("request_id <> 2"), p)
+    assert "given_lines" not in new._jdf.queryExecution().toString()
+    accepted = {r.request_id for r in result.where("accepted").collect()}
+    assert 3 in accepted
+    assert {r.id: r.current_stock for r in new.collect()} == {1: 2 if 1 in accepted else 5, 2: 0}
+
+
+def test_lines_are_numbered_when_asked_for(spark, monkeypatch):
+    numbered, plain = [], po.running_totals
+    monkeypatch.setattr(po, "running_totals", lambda df, group, *a, **k: numbered.append(group) or plain(df, group, *a, **k))
+    lines, headers, p = _small_batch(spark)
+    out = po.post_sales_tables(lines, headers.distinct(), p, sales_df(spark, [{"id": 10}]))
+    assert sorted(r.id for r in out.sales.select("id").collect()) == [11, 12] and ["sale_id"] not in numbered
+    assert sorted((r.sale_id, r.quantity) for r in out.sale_items.collect()) == [(11, 1), (11, 2), (12, 5)]
+    assert out.sale_items is out.sale_items and numbered.count(["sale_id"]) == 1
