@@ -13,12 +13,13 @@ up to ``DEPTH`` preceding words of the same document.
   the one class of unknown words, so every text has a probability.
 * Each token is scored in the longest retained suffix of what precedes it.
 
-The tree grows with the corpus and is never collected or sent out: its sequences are tables keyed by a 64-bit hash
-(sequences whose hashes are equal would be counted as one), counts and divergences are map-side combined
-aggregates. Documents are re-coded once into blocks (the distinct words of a few megabytes of text, and word
-numbers in text order). A block gives the key of each of its distinct sequences once to a level's counts, and gets the
-counts of the frequent ones and the weights of the retained contexts back in files of the shared folder, one a part
-of the blocks; the blocks themselves are never shuffled.
+The tree grows with the corpus and is never collected or sent out: its sequences are keyed by a 64-bit hash
+(sequences whose hashes are equal would be counted as one). Documents are re-coded once into blocks (the distinct
+words of a few megabytes of text, and word numbers in text order). A block gives each of its distinct keys once, sorted
+and packed, one cell for each range of keys; Spark shuffles the cells by range, a task adds up one range at a time
+and answers every cell, and the answers go back by block into files of the shared folder, one a part of the blocks.
+The blocks themselves are never shuffled, and a key takes one row of a range for each block that has it, so
+no frequent word or context makes a range large.
 
 :class:`Tree` is the same model in memory, for small vocabularies; the tests compare the two.
 """
@@ -29,12 +30,14 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockline.llm.files import PackedWriter, packed, read_packed
-from stockline.llm.storage import bytes_per_batch, delete_path, drop_stored, lean, partitions, shuffles_freed, stored
+from stockline.llm.files import PackedWriter, packed, read_packed, unpacked
+from stockline.llm.storage import bytes_per_batch, delete_path, lean, partitions, shuffles_freed, stored
 from stockline.llm.words import encoded_words, slices
 from stockline.session import scratch_path
 
@@ -43,6 +46,7 @@ MIN_COUNT = 2
 MIN_DIVERGENCE = 0.02
 DISCOUNT = 0.75
 BLOCK_BYTES = 4 << 20
+RANGE_KEYS = 2_000_000     # keys of all blocks that a task adds up at a time, at most on average
 
 
 @dataclass
@@ -185,7 +189,8 @@ def root_probability(c: np.ndarray, n: int, v: int, discount: float) -> np.ndarr
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Re-coded documents: one row per few megabytes of text. ``docs`` has (id, held, text)."""
+    """Re-coded documents: two rows per few megabytes of text, the block (what = 0) and its distinct words in the order of
+    their hashes (what = 1), which go when they are counted. ``docs`` has (id, held, text)."""
     from pyspark import TaskContext
 
     def run(batches):
@@ -194,34 +199,35 @@ def blocks(docs: DataFrame) -> DataFrame:
             held_all = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in slices(batch.column(2), BLOCK_BYTES):
                 rows, codes, words = encoded_words(batch.column(2).slice(lo, hi - lo), lower=True, as_list=False)
+                hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
+                order = np.argsort(hashes, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                codes, hashes, words = rank[codes], hashes[order], words.take(pa.array(order))
                 held = held_all[lo:hi]
                 train = np.bincount(codes[~np.repeat(held, rows)], minlength=len(words))
                 one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
+                first = lambda x: pa.concat_arrays([x, pa.nulls(1, x.type)])
+                last = lambda x: pa.concat_arrays([pa.nulls(1, x.type), x])
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([task << 32 | k], pa.int64()),
-                    "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)),
-                    "held": one(held, pa.bool_()),
-                    "sizes": pa.array([rows.astype("<i4").tobytes()]),
-                    "codes": pa.array([pa.compress(codes.astype("<i4").tobytes(), codec="zstd", asbytes=True)]),
-                    "words": one(words, pa.string()),
-                    "train": one(train, pa.int64())})
+                    "what": pa.array([0, 1], pa.int32()),
+                    "block": pa.array([task << 32 | k] * 2, pa.int64()),
+                    "ids": first(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))),
+                    "held": first(one(held, pa.bool_())),
+                    "sizes": first(pa.array([rows.astype("<i4").tobytes()])),
+                    "codes": first(pa.array([pa.compress(codes.astype("<i4").tobytes(), codec="zstd", asbytes=True)])),
+                    "hashes": pa.array([packed([np.diff(hashes, prepend=0)])[0]] * 2),
+                    "n": pa.array([len(hashes)] * 2, pa.int64()),
+                    "words": last(one(words, pa.string())),
+                    "train": last(one(train, pa.int64())),
+                    "tokens": first(pa.array([len(codes) + hi - lo], pa.int64())),
+                    "ends": first(pa.array([int((~held).sum())], pa.int64()))})
                 k += 1
                 pa.default_memory_pool().release_unused()
 
     return docs.select("id", "held", "text").mapInArrow(
-        run, "block long, ids array<long>, held array<boolean>, sizes binary, codes binary, "
-             "words array<string>, train array<long>")
-
-
-def counted_words(table: DataFrame) -> DataFrame:
-    """(block, at, c, word) of every distinct word of every block: its place and its training count in the
-    whole corpus. The word itself stands in the first of its rows only."""
-    rows = table.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train"))
-    same = Window.partitionBy("word")
-    return rows.withColumn("c", F.sum("train").over(same)).withColumn(
-        "turn", F.row_number().over(same.orderBy("block", "at"))).select(
-        "block", "at", "c", F.when(F.col("turn") == 1, F.col("word")).alias("word"))
+        run, "what int, block long, ids array<long>, held array<boolean>, sizes binary, codes binary, hashes binary, n long, "
+             "words array<string>, train array<long>, tokens long, ends long")
 
 
 @dataclass
@@ -229,7 +235,6 @@ class Packed:
     """Columns of 8 bytes a block, in one file per part of the blocks."""
     files: dict[int, str]       # part -> file
     columns: int
-    folder: str = ""
 
     def of(self, part: int, block: int) -> list[np.ndarray]:
         if part not in self.files:
@@ -242,72 +247,156 @@ def part_of(spark, block="block"):
     return F.pmod(F.hash(block), F.lit(partitions(spark)))
 
 
-def write_blocks(rows: DataFrame, order: str, columns: dict[str, str], name: str) -> Packed:
-    """``rows`` (block, ...) as files: a block's ``columns`` (name: numpy type of 8 bytes), sorted by ``order``, one
-    file a part. Only the files' names reach the driver."""
-    spark = rows.sparkSession
-    folder = scratch_path(spark, name)
+# What cells carry, and the number of columns of the answer.
+WORDS, SEQUENCES, TOTALS, GAINS = range(4)
+ANSWERED = {WORDS: 1, SEQUENCES: 1, TOTALS: 2, GAINS: 2}
+CELLS = "kind int, slice int, block long, data binary, plain long"
 
-    def run(batches):
-        writer, part_now, block_now, parts, done = None, None, None, [], []
 
-        def flush():
-            if parts:
-                writer.add(block_now, [np.concatenate(column).astype(kind) for column, kind in zip(zip(*parts), columns.values())])
-                parts.clear()
+def ranges_of(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, last) of the ranges that the sorted ``keys`` fall into."""
+    slot = ((keys >> 32) + (1 << 31)) * ranges >> 32
+    edge = np.nonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))[0] if len(keys) else np.zeros(1, np.int64)
+    return list(zip(slot[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist()))
 
-        for batch in batches:
-            part, block, *cells = (batch.column(k).to_numpy() for k in range(batch.num_columns))
-            edge = np.nonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))[0]
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if block[lo] != block_now:
-                    flush()
-                    if part[lo] != part_now:
-                        if writer:
-                            done.append((part_now, writer.close()))
-                        writer, part_now = PackedWriter(folder), int(part[lo])
-                    block_now = int(block[lo])
-                parts.append([x[lo:hi].copy() for x in cells])
-        flush()
-        if writer:
-            done.append((part_now, writer.close()))
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int32()), pa.array([f for _, f in done])], ["part", "file"])
 
-    rows = rows.select(part_of(spark).alias("part"), "block", *columns).repartition(partitions(spark), "part").sortWithinPartitions(
-        "part", "block", order)
-    return Packed({r.part: r.file for r in rows.mapInArrow(lean(run), "part int, file string").collect()}, len(columns), folder)
+def dealt(block: int, kind: int, keys: np.ndarray, columns: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """Cells of a block's sorted keys and their columns of 8 bytes, one for each range."""
+    cells = [(slot, *packed([np.diff(keys[lo:hi], prepend=0), *(c[lo:hi] for c in columns)])) for slot, lo, hi in ranges_of(keys, ranges)]
+    return _cells(block, kind, cells)
 
 
-def write_marks(rows: DataFrame, name: str) -> Packed:
-    """The marks of ``rows`` (block, data, plain), packed by the blocks themselves, as files of one column, one a part."""
-    spark = rows.sparkSession
-    folder = scratch_path(spark, name)
+def _cells(block: int, kind: int, cells: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+    n = len(cells)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), pa.array([c[0] for c in cells], pa.int32()), pa.array(np.full(n, block, np.int64)),
+         pa.array([c[1] for c in cells], pa.binary()), pa.array([c[2] for c in cells], pa.int64())],
+        ["kind", "slice", "block", "data", "plain"])
+
+
+def word_cells(table: DataFrame, ranges: int) -> DataFrame:
+    """Cells of the blocks' words themselves and their training counts: words are counted as such, not by hash."""
 
     def run(batches):
-        writer, now, done = None, None, []
         for batch in batches:
-            for part, block, data, plain in zip(*[c.to_pylist() for c in batch.columns]):
-                if part != now:
-                    if writer:
-                        done.append((now, writer.close()))
-                    writer, now = PackedWriter(folder), part
-                writer.add_packed(block, data, plain)
-        if writer:
-            done.append((now, writer.close()))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.int32()), pa.array([f for _, f in done])], ["part", "file"])
+            for k in range(batch.num_rows):
+                block, hashes, n, words, train = (batch.column(i)[k] for i in range(5))
+                rows = pa.RecordBatch.from_arrays([words.values, train.values], ["word", "train"])
+                cells = []
+                for slot, lo, hi in ranges_of(_hashes(hashes.as_py(), n.as_py()), ranges):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(rows.slice(lo, hi - lo))
+                    cells.append((slot, sink.getvalue().to_pybytes(), 0))
+                yield _cells(block.as_py(), WORDS, cells)
+
+    return table.select("block", "hashes", "n", "words", "train").mapInArrow(lean(run), CELLS)
+
+
+def _hashes(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, 8 * n, 1)[0])
+
+
+def _words_answer(cells: list[tuple[bytes, int]]) -> tuple[list[int], list[np.ndarray], list[int]]:
+    tables = [pa.ipc.open_stream(data).read_all().combine_chunks() for data, _ in cells]
+    words = pa.concat_arrays([x.cast(pa.large_string()) for t in tables for x in t.column("word").chunks])
+    which = pc.dictionary_encode(words).indices.to_numpy(zero_copy_only=False)
+    c = np.bincount(which, np.concatenate([t.column("train").to_numpy() for t in tables])).astype(np.int64)
+    return [len(t) for t in tables], [c[which]], [int(c.sum()), *(int(x.sum()) for x in (c > 0, c == 1, c == 2))]
+
+
+def _answer(kind: int, cells: list[tuple[bytes, int]], floor: float) -> tuple[list[int], list[np.ndarray], list[int]]:
+    """(rows of each cell, columns of the answer to all rows, totals) of one range; ``cells`` in the order of their blocks.
+
+    To words: the count. To sequences: 2 * count + whether the block speaks for the sequence, 0 for rare ones. To totals:
+    kinds and sum of the frequent next symbols of a context. To gains: these two of retained contexts, 0 for others."""
+    if kind == WORDS:
+        return _words_answer(cells)
+    columns = {SEQUENCES: 2, TOTALS: 3, GAINS: 4}[kind]
+    rows = [unpacked(data, plain, columns) for data, plain in cells]
+    sizes = [len(r[0]) for r in rows]
+    distinct, which = np.unique(np.concatenate([np.cumsum(r[0]) for r in rows]), return_inverse=True)
+    cols = [np.concatenate([r[k] for r in rows]) for k in range(1, columns)]
+    del rows
+    added = lambda x: np.bincount(which, x, len(distinct))
+    if kind == SEQUENCES:
+        many, seen = added(cols[0]).astype(np.int64), np.nonzero(cols[0] > 0)[0][::-1]
+        first = np.full(len(distinct), -1, np.int64)
+        first[which[seen]] = seen           # the last to be assigned, of the smallest block, stays
+        mark = np.where(many[which] >= floor, 2 * many[which] + (first[which] == np.arange(len(which))), 0)
+        return sizes, [mark], [int((many >= floor).sum())]
+    if kind == TOTALS:
+        return sizes, [added(c).astype(np.int64)[which] for c in cols], [0]
+    # Rounded: the order of a sum decides nothing.
+    kept = np.round(added(cols[0].view(np.float64)), 9) >= MIN_DIVERGENCE
+    out = []
+    for c in cols[1:]:
+        total = np.zeros(len(distinct), np.int64)
+        np.maximum.at(total, which, c)      # every block that speaks in the context knows it; others say 0
+        out.append(np.where(kept, total, 0)[which])
+    return sizes, out, [0]
+
+
+def _rest(kinds: np.ndarray, seen: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Weight of the shorter context, from the kinds and the sum of a context's frequent next symbols and its count."""
+    return np.maximum(1.0 - (seen - DISCOUNT * kinds) / np.maximum(big, 1), 1e-12)
+
 
-    rows = rows.select(part_of(spark).alias("part"), "block", "data", "plain").repartition(partitions(spark), "part").sortWithinPartitions(
-        "part", "block")
-    return Packed({r.part: r.file for r in rows.mapInArrow(lean(run), "part int, file string").collect()}, 1, folder)
+def exchanged(cells: DataFrame, ranges: int, floor: float, name: str) -> dict[int, tuple[Packed, list[int]]]:
+    """kind -> (files with the answers to the blocks' keys, totals). Only the files' names and totals reach the driver."""
+    spark = cells.sparkSession
+    folder = scratch_path(spark, name)
 
+    def groups(batches, keys: int):
+        """(first ``keys`` columns, rows of the others) of neighbouring rows that agree in the first."""
+        now, rows = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:keys] != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = row[:keys], []
+                rows.append(row[keys:])
+        if rows:
+            yield now, rows
+
+    def answer(batches):
+        for (kind, slot), rows in groups(batches, 2):
+            sizes, columns, totals = _answer(kind, [r[1:] for r in rows], floor)
+            ends = np.cumsum(sizes).tolist()
+            out = [packed([c[hi - size:hi] for c in columns]) for size, hi in zip(sizes, ends)]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, slot, np.int32)), pa.array([r[0] for r in rows], pa.int64()),
+                 pa.array([d for d, _ in out], pa.binary()), pa.array([p for _, p in out], pa.int64()),
+                 pa.array([totals] + [None] * (n - 1), pa.list_(pa.int64()))],
+                ["kind", "slice", "block", "data", "plain", "totals"])
+
+    def write(batches):
+        writer, now, totals, done = None, None, None, []
+        for (part, kind, block), rows in groups(batches, 3):
+            if (part, kind) != now:
+                if writer:
+                    done.append((*now, writer.close(), totals))
+                writer, now, totals = PackedWriter(folder), (part, kind), None
+            cells = [unpacked(data, plain, ANSWERED[kind]) for data, plain, _ in rows]
+            writer.add(block, [np.concatenate(c) for c in zip(*cells)])
+            for t in (r[2] for r in rows if r[2] is not None):
+                totals = [x + y for x, y in zip(totals, t)] if totals else t
+        if writer:
+            done.append((*now, writer.close(), totals))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())))],
+                ["part", "kind", "file", "totals"])
 
-def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of ``wanted`` in the sorted ``keys``, whether they are there)."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    answers = cells.repartition(ranges, "slice").sortWithinPartitions("kind", "slice", "block").mapInArrow(
+        lean(answer), CELLS + ", totals array<long>")
+    files = answers.select(part_of(spark).alias("part"), "kind", "block", "data", "plain", "totals", "slice").repartition(
+        partitions(spark), "part").sortWithinPartitions("part", "kind", "block", "slice").drop("slice").mapInArrow(
+        lean(write), "part int, kind int, file string, totals array<long>").collect()
+    return {kind: (Packed({r.part: r.file for r in files if r.kind == kind}, columns),
+                   [sum(t) for t in zip(*[r.totals for r in files if r.kind == kind and r.totals])])
+            for kind, columns in ANSWERED.items()}
 
 
 def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -323,10 +412,10 @@ END_HASH = 0x5EED_0E4D
 
 @dataclass
 class LevelFiles:
-    """What the blocks know of their frequent sequences of one length."""
-    keys: Packed | None                # for a while: key, and its mark (2 * count + whether the block speaks for the sequence)
-    marks: Packed | None = None        # then: the marks of the block's sequences in the order of their keys, 0 for rare ones
-    rests: Packed | None = None        # retained contexts one word shorter, and the weight of the shorter context
+    """What the blocks know of their sequences of one length, in the order of their keys."""
+    marks: Packed                   # 2 * count + whether the block speaks for the sequence, 0 for rare ones
+    totals: Packed | None = None    # of the contexts the block speaks in: kinds and sum of the frequent next symbols
+    kept: Packed | None = None      # of all the block's contexts: these two if retained, else 0
 
 
 @dataclass
@@ -337,6 +426,7 @@ class Facts:
     discount: float
     ends: int
     floor: float
+    ranges: int
     counts: Packed                                              # words' counts
     levels: list[LevelFiles] = field(default_factory=list)      # frequent sequences of 2, 3, ... words
 
@@ -349,54 +439,75 @@ class Walk:
     count: np.ndarray      # of the word
     key: np.ndarray        # hash of the sequence
     valid: np.ndarray      # it is frequent
-    many: np.ndarray       # its count
-    p: np.ndarray          # probability of the word after the context one word shorter (last level), or after it
-    context: np.ndarray | None = None   # hash of the sequence before the word
-    known: np.ndarray | None = None     # it is frequent
-    big: np.ndarray | None = None       # its count
-    speaks: np.ndarray | None = None    # the block speaks for the sequence
-    asked: np.ndarray | None = None     # the sequence may be frequent
-    mark: np.ndarray | None = None
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of the sequence before each token, whether it is a frequent one of the same document)."""
-        known = np.concatenate(([False], self.valid[:-1]))
-        known[self.starts] = False
-        return _shift(self.key, self.starts), known
+    number: np.ndarray     # its place in ``names``; -1 for rare ones
+    names: np.ndarray      # the block's frequent sequences, sorted
+    sizes: np.ndarray      # their counts
+    p: np.ndarray          # probability of the word in its longest retained context so far
+    cells: list[tuple[int, np.ndarray, list[np.ndarray]]] = field(default_factory=list)   # (kind, keys, columns) to be exchanged
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the sequence before each token; places of the sequences one word longer that may be frequent; their
+        hashes)."""
+        context = _shift(self.number, self.starts)
+        at = np.nonzero((context >= 0) & self.valid)[0]
+        return context, at, _longer(_shift(self.key, self.starts)[at], self.word[at])
 
 
 def walk(part: int, block: int, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray, facts: Facts) -> Walk:
     c = np.append(facts.counts.of(part, block)[0] if len(hashes) else np.zeros(0, np.int64), facts.ends)
     tokens, starts = with_ends(codes, sizes, len(hashes))
-    word, count = np.append(hashes, END_HASH)[tokens], c[tokens]
-    out = Walk(starts, word, count, word, count >= facts.floor, count,
-               root_probability(c, facts.n, facts.v, facts.discount)[tokens])
+    word, frequent = np.append(hashes, END_HASH)[tokens], c[:-1] >= facts.floor
+    out = Walk(starts, word, c[tokens], word, c[tokens] >= facts.floor, np.append(_places(frequent), -1)[tokens],
+               hashes[frequent], c[:-1][frequent], root_probability(c, facts.n, facts.v, facts.discount)[tokens])
     for level in facts.levels:
-        out.context, out.known = out.contexts()
-        out.big = _shift(out.many, starts)
-        out.key = _longer(out.context, word)
-        out.asked = out.valid & out.known
-        out.mark = np.zeros(len(word), np.int64)
-        if level.marks:
-            which = np.unique(out.key[out.asked], return_inverse=True)[1]
-            out.mark[out.asked] = level.marks.of(part, block)[0][which]
+        context, at, keys = out.longer()
+        distinct, which = np.unique(keys, return_inverse=True)
+        marks = level.marks.of(part, block)[0]
+        frequent, many = marks > 0, marks >> 1
+        if level.kept is None:
+            _tell(out, level.totals and level.totals.of(part, block), context, at, which, marks)
         else:
-            keys, marks = level.keys.of(part, block)
-            at, there = _at(keys, out.key)
-            if len(keys):
-                out.mark = np.where(out.asked & there, marks[at], 0)
-        out.valid = out.mark > 0
-        out.many, out.speaks = out.mark >> 1, (out.mark & 1).astype(bool)
-        if level.rests:
-            contexts, rests = level.rests.of(part, block)
-            place, there = _at(contexts, out.context)
-            use = out.known & there
-            if use.any():
-                own = np.where(out.valid, (out.many - DISCOUNT) / np.maximum(out.big, 1), 0.0)
-                out.p = np.where(use, own + rests.view(np.float64)[place] * out.p, out.p)
+            kinds, seen = level.kept.of(part, block)
+            known = np.nonzero(context >= 0)[0]
+            known = known[kinds[context[known]] > 0]
+            own = np.zeros(len(word))
+            own[at] = np.where(frequent, (many - DISCOUNT), 0.0)[which] / out.sizes[context[at]]
+            place = context[known]
+            out.p[known] = own[known] + _rest(kinds, seen, out.sizes)[place] * out.p[known]
+        out.key, out.valid, out.number = np.zeros(len(word), np.int64), np.zeros(len(word), bool), np.full(len(word), -1, np.int64)
+        out.key[at], out.valid[at], out.number[at] = keys, frequent[which], _places(frequent)[which]
+        out.names, out.sizes = distinct[frequent], many[frequent]
     return out
 
 
+def _places(marked: np.ndarray) -> np.ndarray:
+    """Place of each marked value among the marked; -1 for others."""
+    return np.where(marked, np.cumsum(marked) - 1, -1)
+
+
+def _tell(state: Walk, totals: list[np.ndarray] | None, context: np.ndarray, at: np.ndarray, which: np.ndarray, marks: np.ndarray) -> None:
+    """What the block has to say of the contexts of a level that is not finished, for the sequences it speaks for: kinds
+    and sum of the next symbols; then, when their totals are known, its share of the divergence."""
+    some = np.empty(len(marks), np.int64)
+    some[which] = at                       # one of the places of each sequence
+    spoken = np.nonzero(marks & 1)[0]
+    some, many, n = some[spoken], marks[spoken] >> 1, len(state.names)
+    holder = context[some]
+    here = np.bincount(holder, minlength=n)
+    own = here > 0
+    if totals is None:
+        state.cells.append((TOTALS, state.names[own], [here[own], np.bincount(holder, many, n).astype(np.int64)[own]]))
+        return
+    kinds, seen = (np.zeros(n, np.int64) for _ in range(2))
+    kinds[own], seen[own] = totals
+    rest, shorter = _rest(kinds, seen, state.sizes), state.p[some]
+    p = (many - DISCOUNT) / state.sizes[holder] + rest[holder] * shorter
+    gain = np.bincount(holder, p * np.log(p / shorter), n).astype(float)      # without holders, bincount gives integers
+    # What is left to unseen symbols, and what a sample diverges by chance, shared by kinds.
+    gain += rest * np.log(rest) * (here / np.maximum(kinds, 1) - np.bincount(holder, shorter, n)) - here / (2.0 * np.maximum(state.sizes, 1))
+    state.cells.append((GAINS, state.names, [gain, kinds, seen]))
+
+
 def _walks(batches, facts: Facts):
     """(batch, row, block, sizes, held, walk) of every block."""
     for batch in batches:
@@ -404,97 +515,44 @@ def _walks(batches, facts: Facts):
             cell = lambda name: batch.column(batch.schema.get_field_index(name))[k]  # noqa: B023, E731
             sizes = np.frombuffer(cell("sizes").as_py(), "<i4").astype(np.int64)
             codes = np.frombuffer(pa.decompress(cell("codes").as_py(), 4 * int(sizes.sum()), codec="zstd"), "<i4").astype(np.int64)
-            hashes = cell("hashes").values.to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = _hashes(cell("hashes").as_py(), cell("n").as_py())
             held = cell("held").values.to_numpy(zero_copy_only=False).astype(bool)
             block = cell("block").as_py()
             yield batch, k, block, sizes, held, walk(cell("part").as_py(), block, sizes, codes, hashes, facts)
 
 
-def sequences(table: DataFrame, facts: Facts) -> DataFrame:
-    """(block, key, n) of every block's distinct sequences one word longer than the levels in ``facts``; n is the
-    training count in the block."""
+def cells(table: DataFrame, facts: Facts, longer: bool) -> DataFrame:
+    """Cells of every block: what the levels that are not finished need, and if ``longer`` its distinct sequences one word
+    longer than the levels, with their training count in the block."""
 
     def run(batches):
         for _, _, block, sizes, held, state in _walks(batches, facts):
-            context, known = state.contexts()
-            at = np.nonzero(known & state.valid)[0]
-            key, which = np.unique(_longer(context[at], state.word[at]), return_inverse=True)
-            n = np.bincount(which, np.repeat(~held, sizes + 1)[at], len(key)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(n)],
-                                             ["block", "key", "n"])
-
-    return table.mapInArrow(lean(run), "block long, key long, n int")
-
-
-def spoken(table: DataFrame, facts: Facts) -> DataFrame:
-    """Of the last level, once each: (key, context, n, big, shorter) of every frequent sequence, by the block that speaks
-    for it; (context, block) of every block's frequent contexts; and (block, data, plain), a block's packed marks."""
-
-    def run(batches):
-        for _, _, block, _, _, state in _walks(batches, facts):
-            at = np.nonzero(state.speaks)[0]
-            key, first = np.unique(state.key[at], return_index=True)
-            at = at[first]
-            contexts = np.unique(state.context[state.known])
-            marks = state.mark[state.asked][np.unique(state.key[state.asked], return_index=True)[1]]
-            data, plain = packed([marks])
-            n, m = len(key), len(contexts)
-            none = lambda k, kind: pa.nulls(k, kind)
-            long, real, raw = pa.int64(), pa.float64(), pa.binary()
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(key), none(m + 1, long)]),
-                 pa.concat_arrays([pa.array(np.concatenate([state.context[at], contexts])), none(1, long)]),
-                 pa.concat_arrays([pa.array(state.many[at]), none(m + 1, long)]), pa.concat_arrays([pa.array(state.big[at]), none(m + 1, long)]),
-                 pa.concat_arrays([pa.array(state.p[at]), none(m + 1, real)]),
-                 pa.concat_arrays([none(n, long), pa.array(np.full(m + 1, block, np.int64))]),
-                 pa.concat_arrays([none(n + m, raw), pa.array([data], raw)]), pa.concat_arrays([none(n + m, long), pa.array([plain])])],
-                ["key", "context", "n", "big", "shorter", "block", "data", "plain"])
-
-    return table.mapInArrow(lean(run), "key long, context long, n long, big long, shorter double, block long, data binary, plain long")
-
-
-def add_level_files(table: DataFrame, facts: Facts) -> bool:
-    """Counts the next level and gives it back to the blocks (one more in ``facts``); False if no sequence is frequent.
-
-    Each block names a sequence once, so the rows of one sequence are at most the number of blocks, far below a
-    task's share. Only its key and a small count are shuffled; what the divergence test needs of a sequence
-    comes from the one block that speaks for it, after the rare ones are gone."""
-    same = Window.partitionBy("key")
-    found = sequences(table, facts).withColumns({
-        "all": F.sum("n").over(same), "first": F.min(F.when(F.col("n") > 0, F.col("block"))).over(same)})
-    found = found.where(F.col("all") >= facts.floor).select(
-        "block", "key", (F.col("all") * 2 + (F.col("first") == F.col("block")).cast("int")).alias("mark"))
-    # Stored, so that the shuffle of all sequences is gone before that of the frequent ones.
-    found = stored(found, "lm-frequent")
-    files = write_blocks(found, "key", {"key": "<i8", "mark": "<i8"}, "lm-level")
-    drop_stored(found)
-    if not files.files:
-        return False
-    level = LevelFiles(files)
-    facts.levels.append(level)
-    told = stored(spoken(table, facts), "lm-spoken")
-    level.marks = write_marks(told.where("data is not null"), "lm-marks")
-    level.keys = None
-    delete_path(table.sparkSession, files.folder)
-    grams = told.where("key is not null")
-    # Hot contexts are combined map-side; their rows meet the one row of the context in joins that can be split.
-    sums = stored(grams.groupBy("context").agg(
-        F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum("shorter").alias("mass"), F.first("big").alias("all")).select(
-        "context", "kinds", "mass", "all",
-        F.greatest(1.0 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("all"), F.lit(1e-12)).alias("rest")), "lm-contexts")
-    p = (F.col("n") - DISCOUNT) / F.col("big") + F.col("rest") * F.col("shorter")
-    gains = grams.join(sums.select("context", "rest").hint("merge"), "context").groupBy("context").agg(
-        F.sum(p * F.log(p / F.col("shorter"))).alias("gain"))
-    unseen = F.greatest(1.0 - F.col("mass"), F.lit(0.0))
-    gain = F.col("gain") + F.col("rest") * unseen * F.log("rest") - F.col("kinds") / (2.0 * F.col("all"))
-    # Rounded: the order of a sum decides nothing.
-    retained = sums.join(gains.hint("merge"), "context").where(F.round(gain, 9) >= MIN_DIVERGENCE).select("context", "rest")
-    users = told.where("block is not null and context is not null").select("block", "context")
-    level.rests = write_blocks(users.join(retained.hint("merge"), "context"), "context",
-                                          {"context": "<i8", "rest": "<f8"}, "lm-rests")
-    drop_stored(told)
-    drop_stored(sums)
-    return True
+            if longer:
+                _, at, keys = state.longer()
+                keys, which = np.unique(keys, return_inverse=True)
+                state.cells.append((SEQUENCES, keys, [np.bincount(which, np.repeat(~held, sizes + 1)[at], len(keys)).astype(np.int64)]))
+            for kind, keys, columns in state.cells:
+                yield dealt(block, kind, keys, columns, facts.ranges)
+
+    return table.mapInArrow(lean(run), CELLS)
+
+
+def grow(table: DataFrame, facts: Facts, depth: int) -> None:
+    """Adds the levels to ``facts``. A pass over the blocks counts the next level, adds up the contexts of the last one and
+    tests those of the one before."""
+    longer = depth > 0
+    while longer or any(level.kept is None for level in facts.levels):
+        found = exchanged(cells(table, facts, longer), facts.ranges, facts.floor, "lm-level")
+        for level in facts.levels:
+            if level.totals is None:
+                level.totals = found[TOTALS][0]
+            elif level.kept is None:
+                level.kept = found[GAINS][0]
+        if longer:
+            marks, totals = found[SEQUENCES]
+            if sum(totals):
+                facts.levels.append(LevelFiles(marks))
+            longer = sum(totals) > 0 and len(facts.levels) < depth
 
 
 def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = 0.0,
@@ -514,18 +572,17 @@ def scored(docs: DataFrame, held_out, depth: int = DEPTH, min_share: float = 0.0
 
 def _scored(rows: DataFrame, depth: int, min_share: float) -> DataFrame:
     spark = rows.sparkSession
-    table = stored(blocks(rows), "lm-blocks")
-    counted = stored(counted_words(table), "lm-words")
-    counts = write_blocks(counted, "at", {"c": "<i8"}, "lm-counts")
-    ends = int(table.select(F.explode("held").alias("h")).agg(F.sum(F.expr("int(not h)"))).first()[0] or 0)
-    n, v, once, twice = counted.where("word is not null").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
-    n, v = int(n) + ends, int(v) + (ends > 0)
+    table = stored(blocks(rows), "lm-blocks", "what")
+    with bytes_per_batch(spark, BLOCK_BYTES):
+        ends, most = (int(x or 0) for x in table.where("what = 0").agg(F.sum("ends"), F.sum("tokens")).first())
+        ranges = max(partitions(spark), -(-most // RANGE_KEYS))
+        counts, totals = exchanged(word_cells(table.where("what = 1"), ranges), ranges, 0.0, "lm-counts")[WORDS]
+        delete_path(spark, f"{table._stored_path}/what=1")
+    n, v, once, twice = totals or [0] * 4
+    n, v = n + ends, v + (ends > 0)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    facts = Facts(n, v, discount, ends, max(float(MIN_COUNT), min_share * n), counts)
-    drop_stored(counted)
-    table = table.select("block", part_of(spark).alias("part"), "ids", "held", "sizes", "codes",
-                         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    facts = Facts(n, v, discount, ends, max(float(MIN_COUNT), min_share * n), ranges, counts)
+    table = table.where("what = 0").select("block", part_of(spark).alias("part"), "ids", "held", "sizes", "codes", "hashes", "n")
 
     def finish(batches):
         log_all = math.log10(n + 0.1 * (v + 1))
@@ -539,9 +596,7 @@ def _scored(rows: DataFrame, depth: int, min_share: float) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     with bytes_per_batch(spark, BLOCK_BYTES):
-        for _ in range(depth):
-            if not add_level_files(table.drop("ids"), facts):
-                break
+        grow(table.drop("ids"), facts, depth)
         return stored(table.mapInArrow(
             lean(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                           "score double"), "lm-scores")

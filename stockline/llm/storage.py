@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from stockline.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to a fresh shared path, and read back."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet to a fresh shared path, in a folder for each value of ``by``, and read back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
